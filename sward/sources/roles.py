@@ -124,16 +124,18 @@ def cover_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def plot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plot_years_from(cover_rows: DataFrame) -> DataFrame:
     """Plot-year attributes: live mass and published richness, key (site, plot, year_trt)."""
-    per_species = cover(spark, sf_dir).groupBy("site_code", "plot", "year_trt", "trt", "Taxon").agg(
-        F.sum("mass").alias("mass")
-    )
+    per_species = cover_rows.groupBy("site_code", "plot", "year_trt", "trt", "Taxon").agg(F.sum("mass").alias("mass"))
     return per_species.groupBy("site_code", "plot", "year_trt", "trt").agg(
         F.sum("mass").alias("live_mass"), F.count(F.lit(1)).alias("rich")
     )
 
 
+def plot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plot_years_from(cover(spark, sf_dir))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abundance series grouped to (study, year, sample, species) with both measures."""
     grouped = (
