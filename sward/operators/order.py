@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.functions.semantics import MAD_SCALE, rescale, safe_div
+from sward.session import checkpoint
 
 
 def attach(df: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -103,8 +104,12 @@ def exact_quantiles(
 
 
 def median_abs_deviation(df: DataFrame, by: Sequence[str], value: str, name: str = "mad") -> DataFrame:
-    """1.4826 x median of |x - median(x)| per group."""
-    med = exact_quantiles(df, by, value, {"_median": 0.5})
+    """1.4826 x median of |x - median(x)| per group.
+
+    The medians (one row per group) are checkpointed before the deviations are formed, so that the second quantile does
+    not carry the plan of the first in each of its branches.
+    """
+    med = checkpoint(exact_quantiles(df, by, value, {"_median": 0.5}))
     dev = attach(df.where(F.col(value).isNotNull()).select(*by, value), med, by, "inner").select(
         *by, F.abs(F.col(value) - F.col("_median")).alias("_dev")
     )
@@ -113,7 +118,7 @@ def median_abs_deviation(df: DataFrame, by: Sequence[str], value: str, name: str
 
 def mad_filter(df: DataFrame, col: str, k: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
     """Keep rows with |x| <= k x mad(x). The comparison is with zero, not with the median; NULL rows are dropped."""
-    mad = median_abs_deviation(df, by, col, "_mad")
+    mad = checkpoint(median_abs_deviation(df, by, col, "_mad"))
     return attach(df, mad, by, "inner").where(F.abs(F.col(col)) <= F.lit(k) * F.col("_mad")).drop("_mad")
 
 

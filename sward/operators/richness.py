@@ -60,21 +60,39 @@ def richness_by(
 ) -> DataFrame:
     """Distinct species per unit that meet each condition.
 
-    Rows are first reduced to one per (unit, species) with a flag per condition; the counts are then plain sums, so no
-    row is copied per condition. With ``na_as_level`` a unit where a condition cannot be decided for some row counts
-    one more (the undecided rows taken together as one level).
+    Rows are first reduced to one per (unit, species) and the counts are then plain sums, so no row is copied per
+    condition. The conditions of a row travel as bits of a few integers, which keeps the first grouping narrow however
+    many conditions there are. With ``na_as_level`` a unit where a condition cannot be decided for some row counts one
+    more (the undecided rows taken together as one level).
     """
-    flags = {f"_f{i}": is_true(p).cast("int") for i, p in enumerate(preds.values())}
-    marks = {f"_u{i}": p.isNull().cast("int") for i, p in enumerate(preds.values())} if na_as_level else {}
-    cols = {**flags, **marks}
-    per_species = df.groupBy(*unit, species).agg(*[F.max(c).alias(n) for n, c in cols.items()])
+    met = _pack([is_true(p) for p in preds.values()], "_met")
+    open_ = _pack([p.isNull() for p in preds.values()], "_open") if na_as_level else {}
+    per_species = df.groupBy(*unit, species).agg(*[F.bit_or(c).alias(n) for n, c in {**met, **open_}.items()])
     out = []
     for i, name in enumerate(preds):
-        n = F.sum(f"_f{i}")
-        out.append((n + F.max(f"_u{i}") if na_as_level else n).cast("long").alias(prefix + name))
+        n = F.sum(_bit("_met", i))
+        out.append((n + F.max(_bit("_open", i)) if na_as_level else n).cast("long").alias(prefix + name))
     return per_species.groupBy(*unit).agg(*out)
 
 
+_BITS = 60
+
+
+def _pack(flags: Sequence[Column], name: str) -> dict[str, Column]:
+    """Flags as bits of as many long columns as needed."""
+    out = {}
+    for start in range(0, len(flags), _BITS):
+        word = F.lit(0).cast("long")
+        for i, f in enumerate(flags[start : start + _BITS]):
+            word = word + F.when(f, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        out[f"{name}{start // _BITS}"] = word
+    return out
+
+
+def _bit(name: str, i: int) -> Column:
+    return F.getbit(F.col(f"{name}{i // _BITS}"), F.lit(i % _BITS))
+
+
 def cover_by(
     df: DataFrame,
     unit: Sequence[str],

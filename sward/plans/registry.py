@@ -8,9 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sward.plans import cover_oracles, cover_queries
-
-_MODULES = [(cover_queries, cover_oracles)]
+from sward.plans import (
+    cover_oracles,
+    cover_queries,
+    effect_oracles,
+    effect_queries,
+    series_oracles,
+    series_queries,
+)
+
+_MODULES = [
+    (cover_queries, cover_oracles),
+    (effect_queries, effect_oracles),
+    (series_queries, series_oracles),
+]
 
 
 def presented(df: DataFrame, digits: int = 6) -> DataFrame:

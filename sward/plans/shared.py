@@ -1,43 +1,45 @@
-"""Tables that many queries start from, kept once per session.
+"""Prepared tables that many queries start from, written once per session to the shared folder.
 
-The grouped cover and series tables feed nearly every query, several of them more than once. They are persisted lazily
-(memory, then disk): the first query that needs one builds it, a lost executor only costs the rebuild of its part, and
-later plans read it with its real size known. ``release`` drops them.
+The grouped cover table is far smaller than the raw records and feeds nearly every query, several of them more than
+once. It is written as Parquet, stored by plot, so that every later grouping or window by plot, plot-year or
+plot-species starts without a shuffle and reads only the columns it needs. ``release`` deletes the tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from sward import operators as op
+from sward.session import materialize, remove
 from sward.sources import roles
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+PLOT = ("site_code", "plot")
+_KEPT: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
 
-def keep(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def keep(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], bucket_by: Sequence[str] = ()
+) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
-        _KEPT[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _KEPT[key]
+        _KEPT[key] = materialize(build(), name, bucket_by)
+    return _KEPT[key][0]
 
 
-def release() -> None:
-    for df in _KEPT.values():
-        df.unpersist()
-    _KEPT.clear()
+def release(spark: SparkSession) -> None:
+    for app, sf_dir, name in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        remove(spark, _KEPT.pop((app, sf_dir, name))[1])
 
 
 def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep(spark, sf_dir, "cover", lambda: roles.cover(spark, sf_dir))
+    return keep(spark, sf_dir, "cover", lambda: roles.cover(spark, sf_dir), PLOT)
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live cover with shares, baseline, dominance index and classes."""
-    return keep(spark, sf_dir, "enriched", lambda: op.enriched_cover(cover(spark, sf_dir)))
+    return keep(spark, sf_dir, "enriched", lambda: op.enriched_cover(cover(spark, sf_dir)), PLOT)
 
 
 def plot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,18 +48,15 @@ def plot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline metrics and dominance groups per (site, species)."""
-    return op.dominance_groups(op.site_species_metrics(enriched(spark, sf_dir)))
+    return keep(
+        spark, sf_dir, "metrics", lambda: op.dominance_groups(op.site_species_metrics(enriched(spark, sf_dir)))
+    )
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed cover panel."""
     return op.complete_panel(
-        enriched(spark, sf_dir),
-        ["site_code"],
-        ["plot", "year_trt", "trt"],
-        "Taxon",
-        "rel_cover",
-        cluster_by=["site_code", "plot"],
+        enriched(spark, sf_dir), ["site_code"], ["plot", "year_trt", "trt"], "Taxon", "rel_cover", cluster_by=PLOT
     )
 
 

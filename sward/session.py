@@ -1,9 +1,11 @@
-"""Session and checkpoint helpers."""
+"""Session, checkpoint and prepared-table helpers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,21 +20,57 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SWARD_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that a lost executor costs a re-read, not a re-run.
+_LOCAL: dict[str, str] = {}
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where the session names none (a
-    single-machine test) is a local folder used.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session without one gets a temporary
+    folder; on a cluster a machine-local folder would be lost with its machine, so it is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="sward-")
+    return _LOCAL[sc.applicationId]
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage through the shared folder, so that a lost executor costs a re-read, not a re-run."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sward-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
+
+
+def materialize(df: DataFrame, name: str, bucket_by: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """Write an intermediate to the shared folder and read it back; returns the table and its path.
+
+    Unlike a checkpoint the result is columnar: later reads prune columns, push filters down and know the true size, so
+    Spark picks broadcast joins by measured size. With ``bucket_by`` the rows are stored by the hash of those columns
+    and later groupings and windows by any superset of them need no shuffle.
+    """
+    spark = df.sparkSession
+    tag = uuid.uuid4().hex[:12]
+    path = f"{shared_folder(spark)}/sward-{spark.sparkContext.applicationId}/{name}-{tag}"
+    if not bucket_by:
+        df.write.parquet(path)
+        return spark.read.parquet(path), path
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"sward_{name}_{tag}"
+    placed = df.repartition(n, *bucket_by)
+    placed.write.format("parquet").bucketBy(n, *bucket_by).option("path", path).saveAsTable(table)
+    return spark.table(table), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder written by :func:`materialize`."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
