@@ -36,6 +36,7 @@ from sward.operators.events import (  # noqa: F401
 from sward.operators.grids import even, grid, predict_grid, values  # noqa: F401
 from sward.operators.models import *  # noqa: F401,F403
 from sward.operators.order import *  # noqa: F401,F403
+from sward.functions.semantics import safe_div  # noqa: F401
 from sward.operators.panel import *  # noqa: F401,F403
 from sward.operators.richness import *  # noqa: F401,F403
 from sward.operators.series import *  # noqa: F401,F403

@@ -254,14 +254,18 @@ def _needed(text: str, found: list[str]) -> None:
 def sql(cols: str, body: str, **extra: str) -> str:
     """An oracle: the common tables it needs, extra ones of its own, and typed output columns.
 
-    ``cols``: space-separated ``name:type`` with s text, i integer, d number rounded to 6 places, b boolean.
+    ``cols``: space-separated ``name:type`` with s text, i integer, d number rounded to 6 places, b boolean. Numbers are
+    rounded after adding 1e-9, as in the Spark output, so that an exact tie (a count of cents over 64) rounds the same
+    way whichever side of it the last bit of a sum falls. Extra tables named ``m_...`` are evaluated once.
     """
     found: list[str] = []
     for text in [*extra.values(), body]:
         _needed(text, found)
     # a table may be referred to only by later ones, so keep the definition order
     ordered = [n for n in CTES if n in found]
-    with_ = [f"{n} AS ({_body(n)})" for n in ordered] + [f"{n} AS ({t})" for n, t in extra.items()]
+    with_ = [f"{n} AS ({_body(n)})" for n in ordered] + [
+        f"{n} AS {'MATERIALIZED ' if n.startswith('m_') else ''}({t})" for n, t in extra.items()
+    ]
     out = []
     for c in cols.split():
         name, kind = c.split(":")
@@ -269,13 +273,11 @@ def sql(cols: str, body: str, **extra: str) -> str:
         if kind == "i":
             out.append(f"CAST({q} AS BIGINT) AS {q}")
         elif kind == "d":
-            r = f"round(CAST({q} AS DOUBLE), 6)"
+            r = f"round(CAST({q} AS DOUBLE) + 1e-9, 6)"
             out.append(f"CASE WHEN {r} = 0 THEN 0.0 ELSE {r} END AS {q}")
         elif kind == "s":
             out.append(f"CAST({q} AS VARCHAR) AS {q}")
         else:
             out.append(f"CAST({q} AS BOOLEAN) AS {q}")
-    head = "WITH RECURSIVE " if extra.get("_recursive") else "WITH "
-    return f"{head}{', '.join(with_)} SELECT {', '.join(out)} FROM ({body})" if with_ else (
-        f"SELECT {', '.join(out)} FROM ({body})"
-    )
+    head = f"WITH {', '.join(with_)} " if with_ else ""
+    return f"{head}SELECT {', '.join(out)} FROM ({body})"
