@@ -85,22 +85,38 @@ def with_class_systems(df: DataFrame) -> DataFrame:
     )
 
 
-def enriched_cover(cover: DataFrame) -> DataFrame:
-    """Live cover with shares, baseline, frequency, dominance index and every class system."""
+def enriched_cover(cover: DataFrame, freq: DataFrame | None = None) -> DataFrame:
+    """Live cover with shares, baseline, frequency, dominance index and every class system.
+
+    ``freq`` is the table of :func:`rel_freq_space`, if it exists already."""
     live = live_cover(cover)
-    return with_class_systems(with_dominance(live, rel_freq_space(cover.where(F.col("live") == 1))))
+    if freq is None:
+        freq = rel_freq_space(cover.where(F.col("live") == 1))
+    return with_class_systems(with_dominance(live, freq))
 
 
 def dominance_index(cover: DataFrame, cuts: Sequence[float] = CUTS_STANDARD) -> DataFrame:
-    """One row per (site, plot, species): baseline share, frequency, dominance index and class."""
-    live = cover.where(F.col("live") == 1)
-    rows = with_dominance(live_cover(cover), rel_freq_space(live), cuts=cuts)
-    return rows.groupBy(*SPECIES_KEY).agg(
-        F.max("rel_t0").alias("rel_t0"),
-        F.max("rel_freq").alias("rel_freq"),
-        F.max("di").alias("di"),
-        F.max("di_class").alias("di_class"),
+    """One row per (site, plot, species): baseline share, frequency, dominance index and class.
+
+    Species rows are reduced to one per plot first; site frequencies are counted from that same reduced table, so the
+    records are read and shuffled once.
+    """
+    sp = live_cover(cover).groupBy(*SPECIES_KEY).agg(
+        F.max(F.when(F.col("year_trt") == 0, F.col("rel_cover"))).alias("rel_t0")
     )
+    n_sp = sp.groupBy("site_code", "Taxon").agg(F.count("rel_t0").alias("_n_sp"))
+    n_plots = (
+        sp.where(F.col("rel_t0").isNotNull())
+        .select("site_code", "plot")
+        .distinct()
+        .groupBy("site_code")
+        .agg(F.count(F.lit(1)).alias("_n_plots"))
+    )
+    freq = n_sp.join(n_plots, "site_code", "left").select(
+        "site_code", "Taxon", safe_div("_n_sp", "_n_plots").alias("rel_freq")
+    )
+    out = sp.join(freq, ["site_code", "Taxon"]).withColumn("di", (F.col("rel_t0") + F.col("rel_freq")) / 2)
+    return out.withColumn("di_class", cut_class("di", cuts))
 
 
 def di_over_time(live: DataFrame) -> DataFrame:

@@ -153,6 +153,8 @@ def logit_by(
         coef = _newton(compact, coef, by)
         if (i + 1) % every == 0 and i + 1 < rounds:
             coef = checkpoint(coef)
+            if (coef.agg(F.max("_step")).first()[0] or 0.0) < 1e-10:  # one number: every group has settled
+                break
     return _finish(compact, coef, by)
 
 

@@ -188,7 +188,7 @@ ORACLES = {
             w="n_year",
         ),
     ),
-    "two_stage_effect": sql("k:i q:d tau2:d pooled:d se:d", _pool("fit"), **_SITE),
+    "two_stage_effect": sql("k:i q:d tau2:d pooled:d se:d", _pool("(SELECT * FROM fit WHERE converged)"), **_SITE),
     "two_stage_trend": sql("k:i q:d tau2:d pooled:d se:d", _pool("o"), befy=_BEFY, o=_STUDY_OLS),
     "slope_vs_cv": sql(
         "STUDY_ID:i cv_b:d b1:d v11:d shrunken:d weight:d",
@@ -228,7 +228,7 @@ ORACLES = {
         "var_fixed:d tau2:d r2_marginal:d r2_conditional:d",
         f"""SELECT vf AS var_fixed, tau2, vf / (vf + tau2 + {_RES!r}) AS r2_marginal,
                    (vf + tau2) / (vf + tau2 + {_RES!r}) AS r2_conditional
-            FROM (SELECT var_pop(b0 + b1 * rel_rank_lag) AS vf FROM ({_LAGGED}), fita), ({_pool('fit')})""",
+            FROM (SELECT var_pop(b0 + b1 * rel_rank_lag) AS vf FROM ({_LAGGED}), fita), ({_pool('(SELECT * FROM fit WHERE converged)')})""",
         **_SITE,
         **_ALL,
     ),

@@ -111,7 +111,7 @@ def weighted_fraction_logit(spark, sf):
 
 
 def two_stage_effect(spark, sf):
-    return op.two_stage_effect(logit_by_site(spark, sf))
+    return op.two_stage_effect(logit_by_site(spark, sf).where("converged"))
 
 
 def two_stage_trend(spark, sf):
@@ -189,13 +189,16 @@ def coefficient_table_with_year(spark, sf):
 
 
 def aicc_table(spark, sf):
-    """Loss at the end against first-year rank: alone, with the length of the series, and with their product."""
-    rows = _series_losses(spark, sf).where(F.col("REL_RANK_TIMEPOINT").isNotNull())
-    rows = rows.withColumn("n_year", F.col("n_year").cast("double") + F.col("STUDY_ID") % 3)
+    """Loss at the next survey against rank: alone, with treatment year, and with their product."""
+    rows = _at_risk(spark, sf)
     fits = {}
-    for name, also, interact in (("rank", [], False), ("rank + years", ["n_year"], False), ("rank * years", ["n_year"], True)):
-        data, terms = op.design(rows, "REL_RANK_TIMEPOINT", also=also, interact=interact)
-        fits[name] = op.pooled_glm(data, "absent_at_some_point", terms)
+    for name, also, interact in (
+        ("rank", [], False),
+        ("rank + year", ["year_trt"], False),
+        ("rank * year", ["year_trt"], True),
+    ):
+        data, terms = op.design(rows, "rel_rank_lag", also=also, interact=interact)
+        fits[name] = op.pooled_glm(data, "lost", terms)
     return op.information_table(spark, fits)
 
 

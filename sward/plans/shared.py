@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sward import operators as op
 from sward.session import materialize, remove
@@ -38,8 +39,11 @@ def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live cover with shares, baseline, dominance index and classes."""
-    return keep(spark, sf_dir, "enriched", lambda: op.enriched_cover(cover(spark, sf_dir)), PLOT)
+    """Live cover with shares, baseline, dominance index and classes. The frequency table is written first: its size is
+    then known when it is joined, and the cover rows are not shuffled for it unless it is large."""
+    rows = cover(spark, sf_dir)
+    freq = keep(spark, sf_dir, "freq", lambda: op.rel_freq_space(rows.where(F.col("live") == 1)))
+    return keep(spark, sf_dir, "enriched", lambda: op.enriched_cover(rows, freq), PLOT)
 
 
 def plot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
