@@ -306,7 +306,9 @@ def design(
 
 
 def pooled_glm(df: DataFrame, y: str, terms: Sequence[str], family: str = "binomial", w: str | None = None) -> dict:
-    """Fit a pooled generalised linear model with the distributed solver; returns the fitted model and its size."""
+    """Fit a pooled generalised linear model with the distributed solver; returns the fitted model and its summary.
+
+    The solver passes over the rows once per iteration, so ``df`` should be a stored table, not a long plan."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
@@ -323,14 +325,28 @@ def pooled_glm(df: DataFrame, y: str, terms: Sequence[str], family: str = "binom
 
 
 def coefficient_table(spark, fit: dict) -> DataFrame:
-    """Terms with estimate, standard error, statistic and p-value: one row per term of the formula."""
+    """Terms with estimate, standard error, statistic and p-value: one row per term of the formula.
+
+    Uncertainty is NULL where the fit gives none (an outcome that never varies, a singular design)."""
     model, s = fit["model"], fit["summary"]
     est = [*model.coefficients.toArray().tolist(), model.intercept]
     names = [*fit["terms"], "(Intercept)"]
-    rows = list(zip(names, est, s.coefficientStandardErrors, s.tValues, s.pValues))
+
+    def column(get):
+        try:
+            return [float(v) for v in get()]
+        except Exception:  # raised by the JVM summary when no covariance could be formed
+            return [None] * len(names)
+
+    rows = zip(
+        names,
+        [float(e) for e in est],
+        column(lambda: s.coefficientStandardErrors),
+        column(lambda: s.tValues),
+        column(lambda: s.pValues),
+    )
     return spark.createDataFrame(
-        [(n, float(e), float(se), float(t), float(p)) for n, e, se, t, p in rows],
-        "term string, estimate double, se double, statistic double, p_value double",
+        list(rows), "term string, estimate double, se double, statistic double, p_value double"
     )
 
 

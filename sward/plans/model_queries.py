@@ -23,7 +23,7 @@ def _bef(spark, sf):
 
 
 def _at_risk(spark, sf):
-    return op.lagged_loss_set(shared.enriched(spark, sf))
+    return shared.at_risk(spark, sf)
 
 
 def _series_losses(spark, sf):
@@ -49,7 +49,7 @@ def ols_overall(spark, sf):
 
 def abundance_biomass_line(spark, sf):
     """Log biomass against log abundance of species, one line per study."""
-    ranks = op.abundance_biomass_ranks(shared.series_panel(spark, sf))
+    ranks = shared.pair_ranks(spark, sf)
     rows = ranks.select("STUDY_ID", F.log1p("Abundance").alias("log_a"), F.log1p("Biomass").alias("log_b"))
     return op.ols_by(rows, ["STUDY_ID"], "log_b", "log_a")
 
@@ -76,7 +76,7 @@ def binned_trend_limited(spark, sf):
 
 
 def rank_density(spark, sf):
-    ranks = op.abundance_biomass_ranks(shared.series_panel(spark, sf))
+    ranks = shared.pair_ranks(spark, sf)
     return op.bin2d(ranks, "rel_abund_rank", "rel_biomass_rank", 0.1, 0.1)
 
 
@@ -204,7 +204,7 @@ def aicc_table(spark, sf):
 
 def pair_rank_loss(spark, sf):
     """Loss against lagged abundance rank, lagged size rank and their product, pooled over studies."""
-    ranks = op.abundance_biomass_ranks(shared.series_panel(spark, sf))
+    ranks = shared.pair_ranks(spark, sf)
     rows = ranks.where((F.col("lag_rel_abund_rank") != 0) & F.col("lost").isNotNull())
     rows = rows.withColumn("lost", F.col("lost").cast("int"))
     data, terms = op.design(rows, "lag_rel_abund_rank", also=["lag_rel_percapita_rank"])

@@ -27,15 +27,20 @@ _MODULES = [
 ]
 
 
+LARGE = 1e6  # from here on a sum of doubles no longer carries six exact decimals
+
+
 def presented(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Output form: doubles rounded, all integers of one width. Both apply to the final projection only.
+    """Output form: doubles rounded (to half the digits from a million up), all integers of one width. Both apply to the
+    final projection only.
 
     1e-9 is added before rounding, so that exact ties at the last place do not hang on the last bit of a sum."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double") + F.lit(1e-9), digits)
+            x = c.cast("double") + F.lit(1e-9)
+            c = F.when(F.abs(c) >= LARGE, F.round(x, digits // 2)).otherwise(F.round(x, digits))
         elif isinstance(f.dataType, T.IntegralType):
             c = c.cast("long")
         cols.append(c.alias(f.name))

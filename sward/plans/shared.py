@@ -80,4 +80,16 @@ def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.series_panel(long_series(spark, sf_dir))
+    """Completed species series of every study and measure."""
+    return keep(spark, sf_dir, "series_panel", lambda: op.series_panel(long_series(spark, sf_dir)))
+
+
+def at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modelling rows of loss between surveys; the iterative fits read it many times."""
+    return keep(spark, sf_dir, "at_risk", lambda: op.lagged_loss_set(enriched(spark, sf_dir)))
+
+
+def pair_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep(
+        spark, sf_dir, "pair_ranks", lambda: op.abundance_biomass_ranks(series_panel(spark, sf_dir))
+    )
