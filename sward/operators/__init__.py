@@ -17,12 +17,13 @@ from sward.operators import (  # noqa: F401
 from sward.operators.coverage import (  # noqa: F401
     coverage,
     coverage_filter,
-    coverage_kept,
+    coverage_rows,
     fixed_locations,
     incidence_coverage,
     long_measures,
     sample_counts,
     sample_coverage,
+    with_sample_counts,
 )
 from sward.operators.dominance import *  # noqa: F401,F403
 from sward.operators.effects import *  # noqa: F401,F403

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.functions.semantics import is_true, safe_div
+from sward.session import materialize
 
 # Thresholds of the series preparation.
 MIN_COVERAGE = 0.8
@@ -27,6 +28,11 @@ def coverage(df: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
         F.sum((c == 2).cast("int")).alias("f2"),
         F.sum(c).cast("double").alias("n_total"),
     )
+    return out.withColumns(estimates())
+
+
+def estimates() -> dict[str, Column]:
+    """Coverage estimates from the columns f1, f2 and n_total."""
     f1, f2, total = F.col("f1").cast("double"), F.col("f2").cast("double"), F.col("n_total")
     rest = (total - 1) * f1
 
@@ -34,15 +40,13 @@ def coverage(df: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
         return 1 - safe_div(f1, total) * safe_div(rest, rest + denominator_extra)
 
     f0 = safe_div(total - 1, total) * F.when(f2 > 0, safe_div(f1 * f1, 2 * f2)).otherwise(f1 * (f1 - 1) / 2)
-    return out.withColumns(
-        {
-            "chat": estimate(2 * f2),
-            "chat_corrected": F.when(f2 > 0, estimate(2 * f2)).otherwise(estimate(F.lit(2.0))),
-            "sc": F.when(f1 == 0, F.lit(1.0)).otherwise(
-                1 - safe_div(f1, total) * safe_div(total * f0, total * f0 + f1)
-            ),
-        }
-    )
+    return {
+        "chat": estimate(2 * f2),
+        "chat_corrected": F.when(f2 > 0, estimate(2 * f2)).otherwise(estimate(F.lit(2.0))),
+        "sc": F.when(f1 == 0, F.lit(1.0)).otherwise(
+            1 - safe_div(f1, total) * safe_div(total * f0, total * f0 + f1)
+        ),
+    }
 
 
 def counted(series: DataFrame, meta: DataFrame) -> DataFrame:
@@ -109,33 +113,47 @@ def sample_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def coverage_kept(
-    series: DataFrame, meta: DataFrame, min_cov: float = MIN_COVERAGE, year_floor: int = YEAR_FLOOR
-) -> DataFrame:
-    """Series rows of well-covered samples: counts by sample, biomass by year, the two sets one under the other."""
+def coverage_rows(series: DataFrame, meta: DataFrame, min_cov: float = MIN_COVERAGE) -> DataFrame:
+    """Series rows of well-covered samples: counts by sample, biomass by year, the two sets one under the other.
+
+    A sample holds one row per species, so its coverage is formed in a window and needs no join; a study-year may hold
+    any number of samples, so the yearly coverage is grouped and joined.
+    """
+    keys = ["STUDY_ID", "YEAR", "SAMPLE_DESC"]
+    w = Window.partitionBy(*keys)
+    n = F.when(F.col("Abundance") > 0, F.col("Abundance"))
+    counts = counted(series, meta).withColumns(
+        {
+            "f1": F.sum((n == 1).cast("int")).over(w),
+            "f2": F.sum((n == 2).cast("int")).over(w),
+            "n_total": F.sum(n).over(w).cast("double"),
+        }
+    )
     good = F.col("chat_corrected") >= min_cov
-    by_sample = sample_coverage(series, meta).where(good)
-    by_year = incidence_coverage(series, meta).where(good)
-    counts = counted(series, meta).join(by_sample, ["STUDY_ID", "YEAR", "SAMPLE_DESC"])
-    biomass = weighed(series, meta).join(by_year, ["STUDY_ID", "YEAR"])
-    both = counts.unionByName(biomass, allowMissingColumns=True)
-    return both.join(sample_counts(both), "STUDY_ID").where(F.col("YEAR") > year_floor)
+    counts = counts.withColumns(estimates()).where(good)
+    biomass = weighed(series, meta).join(incidence_coverage(series, meta).where(good), ["STUDY_ID", "YEAR"])
+    return counts.unionByName(biomass, allowMissingColumns=True)
+
+
+def with_sample_counts(kept: DataFrame, year_floor: int = YEAR_FLOOR) -> DataFrame:
+    """Kept rows after the year floor, with the sample counts of their study. ``kept`` is read twice: store it first."""
+    return kept.join(sample_counts(kept), "STUDY_ID").where(F.col("YEAR") > year_floor)
 
 
 def coverage_filter(
     series: DataFrame, meta: DataFrame, min_cov: float = MIN_COVERAGE, year_floor: int = YEAR_FLOOR
 ) -> DataFrame:
     """Long form of the kept rows (MEASURE, VALUE) without measures a study never recorded."""
-    kept = coverage_kept(series, meta, min_cov, year_floor)
-    return long_measures(kept)
+    kept = materialize(coverage_rows(series, meta, min_cov), "kept")
+    return long_measures(with_sample_counts(kept, year_floor))
 
 
 def long_measures(wide: DataFrame) -> DataFrame:
     """Abundance and Biomass columns to (MEASURE, VALUE) rows; a measure that sums to zero in a study is dropped."""
+    totals = wide.groupBy("STUDY_ID").agg(F.sum("Abundance").alias("_a"), F.sum("Biomass").alias("_b"))
     ids = [c for c in wide.columns if c not in ("Abundance", "Biomass")]
-    long = wide.unpivot(
-        [F.col(c) for c in ids], [F.col("Abundance"), F.col("Biomass")], "MEASURE", "VALUE"
+    long = wide.join(totals, "STUDY_ID").unpivot(
+        [F.col(c) for c in [*ids, "_a", "_b"]], [F.col("Abundance"), F.col("Biomass")], "MEASURE", "VALUE"
     )
-    totals = long.groupBy("STUDY_ID", "MEASURE").agg(F.sum("VALUE").alias("_t"))
-    recorded = totals.where(is_true(F.col("_t") != 0)).select("STUDY_ID", "MEASURE")
-    return long.join(recorded, ["STUDY_ID", "MEASURE"], "left_semi")
+    total = F.when(F.col("MEASURE") == "Abundance", F.col("_a")).otherwise(F.col("_b"))
+    return long.where(is_true(total != 0)).drop("_a", "_b")

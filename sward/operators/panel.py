@@ -237,12 +237,12 @@ def dup_audit(
 ) -> DataFrame:
     """Per series: years seen, records stored and subplots used. More records than years means duplicates.
 
-    Years and subplots are counted through one grouping by (series, year, subplot), so no row is copied per
-    distinct count.
+    Records are first counted per (series, year, subplot); the years and subplots of one series are then short sets.
     """
-    cells = df.groupBy(*keys, year, subplot).agg((F.count(F.lit(1)) if n_records is None else F.sum(n_records)).alias("n"))
-    years = cells.groupBy(*keys, year).agg(F.sum("n").alias("n")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_years"), F.sum("n").alias("n_records")
+    n = F.count(F.lit(1)) if n_records is None else F.sum(n_records)
+    cells = df.groupBy(*keys, year, subplot).agg(n.alias("n"))
+    return cells.groupBy(*keys).agg(
+        F.size(F.collect_set(year)).alias("n_years"),
+        F.sum("n").alias("n_records"),
+        F.size(F.collect_set(subplot)).alias("n_subplots"),
     )
-    subplots = cells.select(*keys, subplot).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_subplots"))
-    return years.join(subplots, list(keys))

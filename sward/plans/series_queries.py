@@ -46,18 +46,18 @@ def coverage_overall(spark, sf):
 
 
 def coverage_filtered(spark, sf):
-    return op.coverage_filter(shared.series(spark, sf), roles.series_meta(spark, sf)).select(
+    return op.long_measures(op.with_sample_counts(shared.kept_series(spark, sf))).select(
         "STUDY_ID", "YEAR", "SAMPLE_DESC", "GENUS_SPECIES", "MEASURE", "VALUE", "chat_corrected", "min_samples"
     )
 
 
 def sample_counts(spark, sf):
-    return op.sample_counts(op.coverage_kept(shared.series(spark, sf), roles.series_meta(spark, sf)))
+    return op.sample_counts(shared.kept_series(spark, sf))
 
 
 def kept_ratio(spark, sf):
-    series = shared.series(spark, sf)
-    return op.kept_ratio(series, op.coverage_kept(series, roles.series_meta(spark, sf)), "STUDY_ID")
+    kept = shared.kept_series(spark, sf).where(F.col("YEAR") > op.coverage_ops.YEAR_FLOOR)
+    return op.kept_ratio(shared.series(spark, sf), kept, "STUDY_ID")
 
 
 def series_completed(spark, sf):

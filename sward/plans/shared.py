@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sward import operators as op
-from sward.session import materialize, remove
+from sward.session import cleanup, materialize
 from sward.sources import roles
 
 PLOT = ("site_code", "plot")
-_KEPT: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def keep(
@@ -26,12 +26,13 @@ def keep(
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
         _KEPT[key] = materialize(build(), name, bucket_by)
-    return _KEPT[key][0]
+    return _KEPT[key]
 
 
 def release(spark: SparkSession) -> None:
-    for app, sf_dir, name in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
-        remove(spark, _KEPT.pop((app, sf_dir, name))[1])
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
+    cleanup(spark)
 
 
 def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +66,23 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep(spark, sf_dir, "series", lambda: roles.series(spark, sf_dir))
+    """Series rows, stored by sample."""
+    return keep(spark, sf_dir, "series", lambda: roles.series(spark, sf_dir), ("STUDY_ID", "YEAR", "SAMPLE_DESC"))
+
+
+def kept_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of well-covered samples."""
+    return keep(
+        spark, sf_dir, "kept", lambda: op.coverage_rows(series(spark, sf_dir), roles.series_meta(spark, sf_dir))
+    )
 
 
 def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage-filtered series in long form, summed over samples."""
 
     def build():
-        kept = op.coverage_filter(series(spark, sf_dir), roles.series_meta(spark, sf_dir))
-        keys = ["STUDY_ID", "MEASURE", "YEAR", "GENUS_SPECIES"]
-        return kept.groupBy(*keys).agg({"VALUE": "sum"}).withColumnRenamed("sum(VALUE)", "VALUE")
+        kept = op.long_measures(op.with_sample_counts(kept_series(spark, sf_dir)))
+        return kept.groupBy("STUDY_ID", "MEASURE", "YEAR", "GENUS_SPECIES").agg(F.sum("VALUE").alias("VALUE"))
 
     return keep(spark, sf_dir, "long_series", build)
 

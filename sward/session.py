@@ -26,6 +26,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,27 +51,30 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def materialize(df: DataFrame, name: str, bucket_by: Sequence[str] = ()) -> tuple[DataFrame, str]:
-    """Write an intermediate to the shared folder and read it back; returns the table and its path.
+def materialize(df: DataFrame, name: str, bucket_by: Sequence[str] = ()) -> DataFrame:
+    """Write an intermediate to the shared folder and read it back.
 
     Unlike a checkpoint the result is columnar: later reads prune columns, push filters down and know the true size, so
     Spark picks broadcast joins by measured size. With ``bucket_by`` the rows are stored by the hash of those columns
-    and later groupings and windows by any superset of them need no shuffle.
+    and later groupings and windows by any superset of them need no shuffle. :func:`cleanup` deletes what was written.
     """
     spark = df.sparkSession
+    app = spark.sparkContext.applicationId
     tag = uuid.uuid4().hex[:12]
-    path = f"{shared_folder(spark)}/sward-{spark.sparkContext.applicationId}/{name}-{tag}"
+    path = f"{shared_folder(spark)}/sward-{app}/{name}-{tag}"
+    _WRITTEN.setdefault(app, []).append(path)
     if not bucket_by:
         df.write.parquet(path)
-        return spark.read.parquet(path), path
+        return spark.read.parquet(path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"sward_{name}_{tag}"
     placed = df.repartition(n, *bucket_by)
     placed.write.format("parquet").bucketBy(n, *bucket_by).option("path", path).saveAsTable(table)
-    return spark.table(table), path
+    return spark.table(table)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by :func:`materialize`."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables this session wrote with :func:`materialize`."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
