@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.functions.semantics import is_true, safe_div
-from sward.session import materialize
+from sward.session import materialize, settle
 
 # Thresholds of the series preparation.
 MIN_COVERAGE = 0.8
@@ -131,13 +131,14 @@ def coverage_rows(series: DataFrame, meta: DataFrame, min_cov: float = MIN_COVER
     )
     good = F.col("chat_corrected") >= min_cov
     counts = counts.withColumns(estimates()).where(good)
-    biomass = weighed(series, meta).join(incidence_coverage(series, meta).where(good), ["STUDY_ID", "YEAR"])
+    by_year = settle(incidence_coverage(series, meta).where(good), "year_coverage")
+    biomass = weighed(series, meta).join(by_year, ["STUDY_ID", "YEAR"])
     return counts.unionByName(biomass, allowMissingColumns=True)
 
 
 def with_sample_counts(kept: DataFrame, year_floor: int = YEAR_FLOOR) -> DataFrame:
     """Kept rows after the year floor, with the sample counts of their study. ``kept`` is read twice: store it first."""
-    return kept.join(sample_counts(kept), "STUDY_ID").where(F.col("YEAR") > year_floor)
+    return kept.join(settle(sample_counts(kept), "sample_counts"), "STUDY_ID").where(F.col("YEAR") > year_floor)
 
 
 def coverage_filter(
@@ -150,7 +151,9 @@ def coverage_filter(
 
 def long_measures(wide: DataFrame) -> DataFrame:
     """Abundance and Biomass columns to (MEASURE, VALUE) rows; a measure that sums to zero in a study is dropped."""
-    totals = wide.groupBy("STUDY_ID").agg(F.sum("Abundance").alias("_a"), F.sum("Biomass").alias("_b"))
+    totals = settle(
+        wide.groupBy("STUDY_ID").agg(F.sum("Abundance").alias("_a"), F.sum("Biomass").alias("_b")), "study_totals"
+    )
     ids = [c for c in wide.columns if c not in ("Abundance", "Biomass")]
     long = wide.join(totals, "STUDY_ID").unpivot(
         [F.col(c) for c in [*ids, "_a", "_b"]], [F.col("Abundance"), F.col("Biomass")], "MEASURE", "VALUE"

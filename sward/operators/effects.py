@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from sward.functions.semantics import corrected_div, pct_diff, safe_div
 from sward.operators.order import mad_filter
 from sward.operators.panel import latest
+from sward.session import settle
 
 CONTROL = "Control"
 TREATMENTS = ("N", "NP", "NPK")
 
 
 def site_length(live: DataFrame) -> DataFrame:
-    """Length of the experiment at each site: its largest treatment year."""
-    return live.groupBy("site_code").agg(F.max("year_trt").alias("length"))
+    """Length of the experiment at each site: its largest treatment year. Stored, as it is joined to species rows."""
+    return settle(live.groupBy("site_code").agg(F.max("year_trt").alias("length")), "site_length")
 
 
 def treated_plots(live: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sward.functions.semantics import as_col, is_true, na_agg, positive_ln, presence, safe_div
 from sward.operators.order import attach
+from sward.session import at_most, settle
 
 
 def relative_abundance(
@@ -53,33 +54,34 @@ def complete_panel(
     fill: float = 0.0,
     cluster_by: Sequence[str] | None = None,
     salts: int = 16,
+    max_broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """Every survey of a group x every species ever seen in that group, absent species at ``fill``, plus ``pa``.
 
     Duplicate keys are summed first. Each survey is folded into one row holding the species present in it (bounded by
     the species of one survey) and meets the species list of its group once, so the completed panel - the large
-    result - is produced by the join itself and never shuffled. A group key may be hot: surveys carry a salt and the
-    short species list is repeated per salt, so when the list is too long for Spark to broadcast, the join still
-    spreads one group over ``salts`` partitions.
+    result - is produced by the join itself and never shuffled. The species lists are stored and counted: up to
+    ``max_broadcast_rows`` (group, species) pairs they are broadcast; beyond that, as a group may be hot, surveys carry a
+    salt, the lists are repeated per salt, and one group is joined in ``salts`` parts.
 
     ``cluster_by`` (a subset of the keys, e.g. site and plot) places the folded rows so that later windows by any
-    superset of those columns need no further shuffle.
+    superset of those columns need no further shuffle after the broadcast.
     """
     group, unit_time = list(group), list(unit_time)
+    if not unit_time:
+        raise ValueError("unit_time must name at least one column")
+    pool = settle(df.select(*group, species).distinct(), "species_pool")
     facts = df.groupBy(*group, *unit_time, species).agg(F.sum(value).alias(value))
-    pool = (
-        facts.select(*group, species)
-        .distinct()
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
     placed = facts.repartition(*cluster_by) if cluster_by else facts
     folded = placed.groupBy(*group, *unit_time).agg(
         F.map_from_entries(F.collect_list(F.struct(species, value))).alias("_present")
     )
-    if not unit_time:
-        raise ValueError("unit_time must name at least one column")
-    folded = folded.withColumn("_salt", F.pmod(F.xxhash64(*unit_time), F.lit(salts)).cast("int"))
-    out = folded.join(pool, [*group, "_salt"])
+    if at_most(pool, max_broadcast_rows):
+        out = folded.join(F.broadcast(pool), group)
+    else:
+        salted = pool.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salt = F.pmod(F.xxhash64(*unit_time), F.lit(salts)).cast("int")
+        out = folded.withColumn("_salt", salt).join(salted, [*group, "_salt"])
     filled = F.coalesce(F.try_element_at("_present", F.col(species)), F.lit(float(fill)))
     return out.select(*group, *unit_time, species, filled.alias(value)).withColumn("pa", presence(value))
 

@@ -73,6 +73,20 @@ def materialize(df: DataFrame, name: str, bucket_by: Sequence[str] = ()) -> Data
     return spark.table(table)
 
 
+def settle(df: DataFrame, name: str = "small") -> DataFrame:
+    """Store a table of one row per group before it is joined to rows.
+
+    The planner takes an aggregate to be as large as its input and would shuffle the rows for it; stored, its size is
+    measured, so it is broadcast exactly when it is small and joined by key when it is not.
+    """
+    return materialize(df, name)
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether a stored table has at most ``rows`` rows; reads no more than one row beyond the limit per partition."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables this session wrote with :func:`materialize`."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
