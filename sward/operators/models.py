@@ -158,6 +158,11 @@ def logit_by(
     return _finish(compact, coef, by)
 
 
+def pooled_logit(df: DataFrame, y: str, x: str, w: str | None = None, rounds: int = 12) -> DataFrame:
+    """One logistic curve over all rows."""
+    return logit_by(df, [], y, x, w, rounds)
+
+
 def _sums(compact: DataFrame, coef: DataFrame, by: list[str]) -> DataFrame:
     d = attach(compact, coef, by, "inner")
     d = d.withColumn("_eta", F.col("b0") + F.col("b1") * F.col("_x"))

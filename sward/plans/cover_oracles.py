@@ -187,6 +187,19 @@ ORACLES = {
         """SELECT site_code, plot, Taxon, count(DISTINCT year) AS n_years, count(*) AS n_records,
                   count(DISTINCT subplot) AS n_subplots FROM records GROUP BY ALL""",
     ),
+    "multi_subplot_plots": sql(
+        "site_code:s year:i n_species_plots:i",
+        """SELECT site_code, year, count(*) AS n_species_plots FROM (
+             SELECT site_code, plot, Taxon, year FROM records GROUP BY ALL HAVING count(DISTINCT subplot) > 1)
+           GROUP BY ALL""",
+    ),
+    "facet_classes": sql(
+        "facet:s trt:s n:i mean:d",
+        """SELECT CASE WHEN v >= 0 AND v <= 0.25 THEN '0 to .25' WHEN v > 0.25 AND v <= 0.5 THEN '.25 to .5'
+                       WHEN v > 0.5 AND v <= 0.75 THEN '.5 to .75' WHEN v > 0.75 AND v <= 1 THEN '.75 to 1' END AS facet,
+                  trt, count(*) AS n, avg(rel_cover) AS mean
+           FROM (SELECT *, coalesce(rel_t0, 0) AS v FROM enriched) GROUP BY 1, 2""",
+    ),
     "latest_rows": sql(
         f"{_ROW} max_cover:d",
         f"SELECT * FROM (SELECT *, max(year) OVER ({_W_SP}) AS last FROM live) WHERE year = last",

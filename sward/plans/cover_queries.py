@@ -142,6 +142,21 @@ def duplicate_audit(spark, sf):
     return op.dup_audit(roles.cover_records(spark, sf), SPECIES, "year", "subplot")
 
 
+def multi_subplot_plots(spark, sf):
+    """Site-years in which some species of a plot was recorded in several subplots."""
+    rows = roles.cover_records(spark, sf)
+    audit = op.dup_audit(rows, [*SPECIES, "year"], "year_trt", "subplot").where(F.col("n_subplots") > 1)
+    return audit.groupBy("site_code", "year").agg(F.count(F.lit(1)).alias("n_species_plots"))
+
+
+def facet_classes(spark, sf):
+    """Quarter-width classes of baseline share with the lowest edge included."""
+    labels = ("0 to .25", ".25 to .5", ".5 to .75", ".75 to 1")  # fixed values: facet labels
+    rows = shared.enriched(spark, sf)
+    facet = sem.cut_class(F.coalesce("rel_t0", F.lit(0.0)), (0.0, 0.25, 0.5, 0.75, 1.0), labels, include_lowest=True)
+    return rows.groupBy(facet.alias("facet"), "trt").agg(F.count(F.lit(1)).alias("n"), F.avg("rel_cover").alias("mean"))
+
+
 def latest_rows(spark, sf):
     return op.latest(shared.enriched(spark, sf), SPECIES, "year").select(*ROW, "max_cover")
 
@@ -328,6 +343,8 @@ QUERIES = {
         site_min_years,
         first_differences,
         duplicate_audit,
+        multi_subplot_plots,
+        facet_classes,
         latest_rows,
         quarantine,
         years_since_start,

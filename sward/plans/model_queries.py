@@ -101,7 +101,7 @@ def logit_by_study(spark, sf):
 
 
 def pooled_logit(spark, sf):
-    return op.logit_by(_at_risk(spark, sf), [], "lost", "rel_rank_lag")
+    return op.pooled_logit(_at_risk(spark, sf), "lost", "rel_rank_lag")
 
 
 def weighted_fraction_logit(spark, sf):
@@ -150,7 +150,7 @@ def adjusted_means(spark, sf):
 
 def explained_variance(spark, sf):
     rows = _at_risk(spark, sf).select("lost", "rel_rank_lag")
-    fit = op.logit_by(rows, [], "lost", "rel_rank_lag").select("b0", "b1")
+    fit = op.pooled_logit(rows, "lost", "rel_rank_lag").select("b0", "b1")
     tau2 = two_stage_effect(spark, sf).select("tau2")
     eta = rows.crossJoin(F.broadcast(fit)).select((F.col("b0") + F.col("b1") * F.col("rel_rank_lag")).alias("eta"))
     spread = eta.agg(F.var_pop("eta").alias("var_fixed")).crossJoin(F.broadcast(tau2))

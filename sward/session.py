@@ -21,21 +21,23 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("SWARD_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session without one gets a temporary
     folder; on a cluster a machine-local folder would be lost with its machine, so it is refused."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     if sc.applicationId not in _LOCAL:
@@ -51,6 +53,18 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+BUCKET_BYTES = 64 << 20
+
+
+def _buckets(df: DataFrame) -> int:
+    """One bucket per 64 MB of source files, at least one per core and at most the session's shuffle partitions."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, size // BUCKET_BYTES)))
+
+
 def materialize(df: DataFrame, name: str, bucket_by: Sequence[str] = ()) -> DataFrame:
     """Write an intermediate to the shared folder and read it back.
 
@@ -66,8 +80,9 @@ def materialize(df: DataFrame, name: str, bucket_by: Sequence[str] = ()) -> Data
     if not bucket_by:
         df.write.parquet(path)
         return spark.read.parquet(path)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _buckets(df)
     table = f"sward_{name}_{tag}"
+    _TABLES.setdefault(app, []).append(table)
     placed = df.repartition(n, *bucket_by)
     placed.write.format("parquet").bucketBy(n, *bucket_by).option("path", path).saveAsTable(table)
     return spark.table(table)
@@ -89,6 +104,8 @@ def at_most(df: DataFrame, rows: int) -> bool:
 
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables this session wrote with :func:`materialize`."""
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
