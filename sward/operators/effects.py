@@ -84,22 +84,28 @@ def pct_diff_wide(
     )
 
 
-def years_absent(live: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """Fraction of treatment years a baseline species is absent from its plot, with its baseline cover.
-
-    One row per (site, plot, species) present at the baseline in a plot that was surveyed afterwards.
-    """
+def _baseline_species(live: DataFrame, *extra) -> DataFrame:
+    """Species of a plot's baseline in plots surveyed afterwards, with years present and length, from one grouping."""
     species = live.groupBy("site_code", "plot", "Taxon").agg(
         F.max(F.when(F.col("year_trt") == 0, F.col("rel_cover"))).alias("pretrt_cover"),
         F.sum(((F.col("year_trt") > 0) & (F.col("rel_cover") > 0)).cast("int")).alias("years_present"),
+        *extra,
     )
-    out = (
+    return (
         species.where(F.col("pretrt_cover").isNotNull())
         .join(treated_plots(live), ["site_code", "plot"])
         .join(site_length(live), "site_code")
         .where(F.col("length") > 0)
         .withColumn("yrs_absent", safe_div(F.col("length") - F.col("years_present"), "length"))
     )
+
+
+def years_absent(live: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """Fraction of treatment years a baseline species is absent from its plot, with its baseline cover.
+
+    One row per (site, plot, species) present at the baseline in a plot that was surveyed afterwards.
+    """
+    out = _baseline_species(live)
     return out.join(metrics, ["site_code", "Taxon"]) if metrics is not None else out
 
 
@@ -207,16 +213,9 @@ def losses_by_group(
 
 def final_abundance(live: DataFrame, t_final: int = 9) -> DataFrame:
     """Cover in the final year of species present at the baseline, 0 where the plot was surveyed without them."""
-    at_end = live.where(F.col("year_trt") == t_final)
-    surveyed = at_end.select("site_code", "plot").distinct()
-    cover = at_end.groupBy("site_code", "plot", "Taxon").agg(F.max("rel_cover").alias("_c"))
-    return (
-        years_absent(live)
-        .join(surveyed, ["site_code", "plot"])
-        .join(cover, ["site_code", "plot", "Taxon"], "left")
-        .withColumn("final_cover", F.coalesce("_c", F.lit(0.0)))
-        .drop("_c")
-    )
+    surveyed = live.where(F.col("year_trt") == t_final).select("site_code", "plot").distinct()
+    at_end = F.coalesce(F.max(F.when(F.col("year_trt") == t_final, F.col("rel_cover"))), F.lit(0.0))
+    return _baseline_species(live, at_end.alias("final_cover")).join(surveyed, ["site_code", "plot"], "left_semi")
 
 
 def prop_lost(panel: DataFrame, grouping: str, trt: str = "trt", time: str = "year_trt", pa: str = "pa") -> DataFrame:
@@ -234,14 +233,15 @@ def prop_lost(panel: DataFrame, grouping: str, trt: str = "trt", time: str = "ye
     )
 
 
-def prop_lost_sparse(live: DataFrame, grouping: str) -> DataFrame:
-    """The table of :func:`prop_lost` from presences alone.
+def prop_lost_sparse(live: DataFrame, grouping: str, trts: Sequence[str] = (CONTROL, *TREATMENTS)) -> DataFrame:
+    """The table of :func:`prop_lost` from presences alone, for the plots of the given treatments.
 
     A survey contributes as many rows as its plot has species of the class, so counts per plot and class replace the
     completed panel; the sd of a 0/1 variable follows from its mean and n. Everything is keyed by plot first, so only
     small per-plot counts are joined.
     """
     plot = ["site_code", "plot"]
+    live = live.where(F.col("trt").isin(*trts))
     rows = live.where(F.col(grouping).isNotNull())
     classed = rows.select(*plot, "Taxon", grouping).distinct().groupBy(*plot, grouping).agg(
         F.count(F.lit(1)).alias("n_species")

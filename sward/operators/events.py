@@ -18,16 +18,18 @@ def surveys(cover: DataFrame) -> DataFrame:
 def dominant_losses(cover: DataFrame, grouping: str = "rel_class", label: str = "Dominant") -> DataFrame:
     """(plot, survey, species) where a dominant species of the plot is missing.
 
-    Only plots with a dominant species enter: their few dominant species are paired with their surveys, and the pairs
-    without a record are the losses.
+    Each dominant species of a plot carries the short set of surveys it was seen in; the surveys of its plot that are
+    not in the set are its losses. Only per-plot and per-species rows are joined, on the plot.
     """
-    dominant = cover.where(F.col(grouping) == label).select(*PLOT, "Taxon").distinct()
-    seen = cover.where(F.col("max_cover") > 0).select(*PLOT, "year_trt", "Taxon").distinct()
+    seen = cover.groupBy(*PLOT, "Taxon").agg(
+        F.max((F.col(grouping) == label).cast("int")).alias("_dom"),
+        F.collect_set(F.when(F.col("max_cover") > 0, F.col("year_trt"))).alias("_seen"),
+    )
+    times = cover.groupBy(*PLOT).agg(F.collect_set("year_trt").alias("_times"))
     return (
-        surveys(cover)
-        .join(dominant, PLOT)
-        .join(seen, [*PLOT, "year_trt", "Taxon"], "left_anti")
-        .select(*PLOT, "year_trt", "Taxon")
+        seen.where(F.col("_dom") == 1)
+        .join(times, PLOT)
+        .select(*PLOT, F.explode(F.array_except("_times", "_seen")).alias("year_trt"), "Taxon")
     )
 
 

@@ -370,15 +370,16 @@ def information_table(spark, fits: dict[str, dict]) -> DataFrame:
     )
 
 
-def explained_variance(fitted: DataFrame, eta: str, tau2: Column | float, residual: float) -> DataFrame:
+def explained_variance(fitted: DataFrame, eta: str, between: DataFrame, residual: float) -> DataFrame:
     """Marginal and conditional share of variance: fixed part from the spread of the linear predictor, between-study part
-    ``tau2``, residual part (pi^2 / 3 for a logit)."""
-    v = fitted.agg(F.var_pop(eta).alias("_f"))
-    t = tau2 if isinstance(tau2, Column) else F.lit(float(tau2))
-    return v.select(
-        F.col("_f").alias("var_fixed"),
-        safe_div("_f", F.col("_f") + t + F.lit(residual)).alias("r2_marginal"),
-        safe_div(F.col("_f") + t, F.col("_f") + t + F.lit(residual)).alias("r2_conditional"),
+    from the one-row table ``between`` (tau2), residual part (pi^2 / 3 for a logit)."""
+    spread = fitted.agg(F.var_pop(eta).alias("var_fixed")).crossJoin(F.broadcast(between.select("tau2")))
+    total = F.col("var_fixed") + F.col("tau2") + F.lit(residual)
+    return spread.select(
+        "var_fixed",
+        "tau2",
+        safe_div("var_fixed", total).alias("r2_marginal"),
+        safe_div(F.col("var_fixed") + F.col("tau2"), total).alias("r2_conditional"),
     )
 
 

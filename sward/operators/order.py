@@ -41,7 +41,7 @@ def value_positions(df: DataFrame, by: Sequence[str], value: str, splits: int |
     cuts = counts.groupBy(*by).agg(
         F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), F.lit(10 * splits)).alias("_cuts")
     )
-    ranged = attach(counts, cuts, by).withColumn(
+    ranged = attach(counts, cuts, by, "inner").withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")
     # at most ``splits`` rows per group from here

@@ -125,10 +125,15 @@ def unit_table(df: DataFrame, unit: Sequence[str], time: str, cols: Sequence[str
     return df.groupBy(*unit, time).agg(*[F.max(c).alias(c) for c in cols])
 
 
-def first_diff(df: DataFrame, unit: Sequence[str], time: str, cols: Sequence[str]) -> DataFrame:
-    """Change since the previous survey of the unit: ``lag_<col>`` and ``d_<col>``, NULL at the first survey."""
+def first_diff(
+    df: DataFrame, unit: Sequence[str], time: str, cols: Sequence[str], one_row: bool = False
+) -> DataFrame:
+    """Change since the previous survey of the unit: ``lag_<col>`` and ``d_<col>``, NULL at the first survey.
+
+    ``one_row`` states that the frame already holds one row per unit and time; its other columns are then kept.
+    """
     w = Window.partitionBy(*unit).orderBy(time)
-    out = unit_table(df, unit, time, cols)
+    out = df if one_row else unit_table(df, unit, time, cols)
     out = out.withColumns({f"lag_{c}": F.lag(c).over(w) for c in cols})
     return out.withColumns({f"d_{c}": F.col(c) - F.col(f"lag_{c}") for c in cols})
 

@@ -75,6 +75,26 @@ def richness_by(
     return per_species.groupBy(*unit).agg(*out)
 
 
+def profile_by(
+    df: DataFrame,
+    unit: Sequence[str],
+    species: str,
+    value: str,
+    richness: Mapping[str, Column],
+    cover: Mapping[str, Column],
+) -> DataFrame:
+    """Richness under one set of conditions and cover under another, per unit, in one pass (``sr_*``, ``cover_*``)."""
+    met = _pack([is_true(p) for p in richness.values()], "_met")
+    sums = {f"_sum{i}": F.sum(F.when(p, F.col(value))) for i, p in enumerate(cover.values())}
+    per_species = df.groupBy(*unit, species).agg(
+        *[F.bit_or(c).alias(n) for n, c in met.items()], *[c.alias(n) for n, c in sums.items()]
+    )
+    return per_species.groupBy(*unit).agg(
+        *[F.sum(_bit("_met", i)).cast("long").alias(f"sr_{name}") for i, name in enumerate(richness)],
+        *[F.coalesce(F.sum(f"_sum{i}"), F.lit(0.0)).alias(f"cover_{name}") for i, name in enumerate(cover)],
+    )
+
+
 _BITS = 60
 
 

@@ -23,18 +23,22 @@ def baseline_ranks(live: DataFrame) -> DataFrame:
 
 
 def lost_at_end_set(live: DataFrame, trts: Sequence[str] = TRTS) -> DataFrame:
-    """Baseline species of each plot: absent at the plot's last survey or not, against baseline rank."""
-    last = (
-        live.groupBy(*PLOT).agg(F.max("year_trt").alias("year_trt")).where(F.col("year_trt") > 0)
-    )
-    there = live.where(F.col("rel_cover") > 0).select(*PLOT, "year_trt", "Taxon").distinct().withColumn("_there", F.lit(1))
-    return (
-        baseline_ranks(live)
-        .where(F.col("trt").isin(*trts))
-        .join(last, PLOT)
-        .join(there, [*PLOT, "year_trt", "Taxon"], "left")
-        .withColumn("lost_at_end", F.col("_there").isNull().cast("int"))
-        .drop("_there")
+    """Baseline species of each plot: absent at the plot's last survey or not, against baseline rank.
+
+    A species is lost when its own last record is older than the plot's last survey; both are windows inside the plot.
+    """
+    last = F.max("year_trt").over(Window.partitionBy(*PLOT))
+    seen = F.max(F.when(F.col("rel_cover") > 0, F.col("year_trt"))).over(Window.partitionBy(*PLOT, "Taxon"))
+    rows = live.withColumns({"_last": last, "_seen": seen})
+    base = rows.where((F.col("year_trt") == 0) & F.col("rel_cover").isNotNull())
+    ranked = rescaled_rank(base, ["site_code", "trt", "plot"], "rel_cover", rel_name="rel_rank_year0")
+    return ranked.where(F.col("trt").isin(*trts) & (F.col("_last") > 0)).select(
+        *PLOT,
+        "trt",
+        "Taxon",
+        F.col("_last").alias("year_trt"),
+        "rel_rank_year0",
+        (~F.col("_seen").eqNullSafe(F.col("_last"))).cast("int").alias("lost_at_end"),
     )
 
 

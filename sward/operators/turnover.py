@@ -14,30 +14,36 @@ def turnover(
     """Appearances, disappearances and total species of each survey against the first (or the previous) one.
 
     A species is shared when its own first (previous) survey is the unit's first (previous) survey, so sets are never
-    built: one window over the surveys of a species, then counts.
+    built and nothing is joined: species are counted by (survey, own reference survey), and the unit's reference survey
+    is found among its few surveys.
     """
     unit = list(unit)
     rows = df.select(*unit, time, species).distinct()
-    per_time = rows.groupBy(*unit, time).agg(F.count(F.lit(1)).alias("n_now"))
-    w_unit = Window.partitionBy(*unit).orderBy(time)  # one row per survey of a unit
-    w_species = Window.partitionBy(*unit, species).orderBy(time)
+    by_species = Window.partitionBy(*unit, species)
+    by_unit = Window.partitionBy(*unit)
+    surveys = by_unit.orderBy(time)
     if reference == "first":
-        ref_time, ref_n = F.first(time).over(w_unit), F.first("n_now").over(w_unit)
-        own = F.min(time).over(Window.partitionBy(*unit, species))
+        own = F.min(time).over(by_species)
+        unit_ref = F.min(time).over(by_unit)
+        n_ref = F.first("n_now").over(surveys)
     elif reference == "previous":
-        ref_time, ref_n = F.lag(time).over(w_unit), F.lag("n_now").over(w_unit)
-        own = F.lag(time).over(w_species)
+        own = F.lag(time).over(by_species.orderBy(time))
+        unit_ref = F.max(time).over(surveys.rangeBetween(Window.unboundedPreceding, -1))
+        n_ref = F.lag("n_now").over(surveys)
     else:
         raise ValueError(f"unknown reference: {reference}")
-    refs = per_time.withColumn("_ref_time", ref_time).withColumn("n_ref", ref_n)
-    # counts by (survey, reference survey of the species) are small, so the reference is joined after grouping
-    shared = rows.withColumn("_own", own).groupBy(*unit, time, "_own").agg(F.count(F.lit(1)).alias("_n"))
-    common = (
-        refs.join(shared, [*unit, time])
-        .groupBy(*unit, time, "_ref_time", "n_now", "n_ref")
-        .agg(F.sum(F.when(F.col("_own") == F.col("_ref_time"), F.col("_n")).otherwise(0)).alias("n_common"))
+    # at most surveys x surveys rows per unit from here
+    counts = rows.withColumn("_own", own).groupBy(*unit, time, "_own").agg(F.count(F.lit(1)).alias("_n"))
+    per_time = (
+        counts.withColumn("_ref", unit_ref)
+        .groupBy(*unit, time, "_ref")
+        .agg(
+            F.sum("_n").alias("n_now"),
+            F.sum(F.when(F.col("_own") == F.col("_ref"), F.col("_n")).otherwise(0)).alias("n_common"),
+        )
+        .withColumn("n_ref", n_ref)
     )
-    return common.where(F.col("_ref_time") < F.col(time)).select(
+    return per_time.where(F.col("_ref") < F.col(time)).select(
         *unit,
         time,
         (F.col("n_now") - F.col("n_common")).alias("appear"),

@@ -275,6 +275,10 @@ ORACLES = {
         )
         + " FROM enriched GROUP BY ALL",
     ),
+    "class_profile": sql(
+        f"{_PY} {_ints(_preds('di_class'))} " + " ".join(f"cover_{k}:d" for k in _CLASS_COVER),
+        f"SELECT site_code, plot, year, {_richness(_preds('di_class'))}, {_sums(_CLASS_COVER)} FROM enriched GROUP BY ALL",
+    ),
     "richness_by_class_provenance": sql(
         f"{_PY} {_ints(_preds('di_class'))}",
         f"SELECT site_code, plot, year, {_richness(_preds('di_class'))} FROM enriched GROUP BY ALL",

@@ -130,7 +130,8 @@ def first_differences(spark, sf):
     rich = op.richness_by(
         shared.enriched(spark, sf), ["site_code", "plot", "year"], "Taxon", _classes("di_class")
     )
-    return op.first_diff(rich, ["site_code", "plot"], "year", [f"sr_{c}" for c in _classes("di_class")])
+    cols = [f"sr_{c}" for c in _classes("di_class")]
+    return op.first_diff(rich, ["site_code", "plot"], "year", cols, one_row=True)
 
 
 def _classes(system):
@@ -228,10 +229,20 @@ def dominance_index(spark, sf):
 
 
 def richness_by_class(spark, sf):
-    rows = shared.enriched(spark, sf)
-    clean = op.richness_by(rows, PLOT_YEAR, "Taxon", _classes("di_class"))
-    level = op.richness_by(rows, PLOT_YEAR, "Taxon", _classes("di_class"), na_as_level=True, prefix="na_sr_")
-    return clean.join(level, PLOT_YEAR)
+    """Richness per class, clean and with one level more where some species of the survey has no class."""
+    preds = _classes("di_class")
+    undecided = {f"open_{k}": p.isNull() for k, p in preds.items()}
+    out = op.richness_by(shared.enriched(spark, sf), PLOT_YEAR, "Taxon", {**preds, **undecided})
+    level = [(F.col(f"sr_{k}") + F.least(F.col(f"sr_open_{k}"), F.lit(1))).alias(f"na_sr_{k}") for k in preds]
+    return out.select(*PLOT_YEAR, *[f"sr_{k}" for k in preds], *level)
+
+
+def class_profile(spark, sf):
+    """Richness and cover by class and provenance in one pass."""
+    preds = op.class_predicates("di_class")
+    return op.profile_by(
+        shared.enriched(spark, sf), PLOT_YEAR, "Taxon", "rel_cover", preds, {**preds, **op.provenance_predicates()}
+    )
 
 
 def richness_by_class_provenance(spark, sf):
@@ -259,14 +270,11 @@ def di_over_time(spark, sf):
 
 
 def lifespan_richness(spark, sf):
-    rows = shared.enriched(spark, sf)
-    rich = op.richness_by(rows, PLOT_YEAR, "Taxon", op.lifespan_predicates())
-    change = op.first_diff(rich, ["site_code", "plot"], "year", ["sr_annual", "sr_peren"]).select(
-        *PLOT_YEAR, "d_sr_annual", "d_sr_peren"
-    )
-    two = {k: p for k, p in op.lifespan_predicates().items() if k in ("annual", "peren")}
-    cov = op.cover_by(rows, PLOT_YEAR, "rel_cover", two)
-    return rich.join(change, PLOT_YEAR).join(cov, PLOT_YEAR)
+    preds = op.lifespan_predicates()
+    two = {k: preds[k] for k in ("annual", "peren")}
+    out = op.profile_by(shared.enriched(spark, sf), PLOT_YEAR, "Taxon", "rel_cover", preds, two)
+    changed = op.first_diff(out, ["site_code", "plot"], "year", ["sr_annual", "sr_peren"], one_row=True)
+    return changed.drop("lag_sr_annual", "lag_sr_peren")
 
 
 def status_counts(spark, sf):
@@ -358,6 +366,7 @@ QUERIES = {
         rel_freq_space,
         dominance_index,
         richness_by_class,
+        class_profile,
         richness_by_class_provenance,
         richness_class_systems,
         cover_by_class,

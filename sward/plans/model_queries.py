@@ -151,17 +151,8 @@ def adjusted_means(spark, sf):
 def explained_variance(spark, sf):
     rows = _at_risk(spark, sf).select("lost", "rel_rank_lag")
     fit = op.pooled_logit(rows, "lost", "rel_rank_lag").select("b0", "b1")
-    tau2 = two_stage_effect(spark, sf).select("tau2")
     eta = rows.crossJoin(F.broadcast(fit)).select((F.col("b0") + F.col("b1") * F.col("rel_rank_lag")).alias("eta"))
-    spread = eta.agg(F.var_pop("eta").alias("var_fixed")).crossJoin(F.broadcast(tau2))
-    return spread.select(
-        "var_fixed",
-        "tau2",
-        op.safe_div("var_fixed", F.col("var_fixed") + F.col("tau2") + op.LOGIT_RESIDUAL).alias("r2_marginal"),
-        op.safe_div(
-            F.col("var_fixed") + F.col("tau2"), F.col("var_fixed") + F.col("tau2") + op.LOGIT_RESIDUAL
-        ).alias("r2_conditional"),
-    )
+    return op.explained_variance(eta, "eta", two_stage_effect(spark, sf), op.LOGIT_RESIDUAL)
 
 
 def centred_rank(spark, sf):

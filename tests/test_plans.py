@@ -56,10 +56,26 @@ def test_scan_is_narrow_and_filtered(spark, sf_dir):
         "lagged_loss_set",
         "lost_at_end_set",
         "turnover_first_year",
+        "turnover_previous_year",
+        "class_profile",
+        "lifespan_richness",
+        "richness_by_class",
     ],
 )
 def test_tables_stored_by_plot_need_no_shuffle(name, spark, sf_dir):
-    assert "Exchange hashpartitioning" not in plan_of(QUERIES[name](spark, sf_dir))
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    assert "Exchange hashpartitioning" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["years_absent", "final_year_abundance", "dominant_loss_events", "di_over_time"])
+def test_plot_joins_are_co_located_without_broadcast(name, spark, sf_dir):
+    """With broadcasts off (tables too large for them) only joins on site-level keys may move rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"Exchange hashpartitioning\(site_code, plot", plan)
 
 
 def test_no_row_copies_for_many_conditions(spark, sf_dir):
