@@ -85,11 +85,12 @@ def with_class_systems(df: DataFrame) -> DataFrame:
     )
 
 
-def enriched_cover(cover: DataFrame, freq: DataFrame | None = None) -> DataFrame:
+def enriched_cover(cover: DataFrame, freq: DataFrame | None = None, cluster: bool = True) -> DataFrame:
     """Live cover with shares, baseline, frequency, dominance index and every class system.
 
-    ``freq`` is the table of :func:`rel_freq_space`, if it exists already."""
-    live = live_cover(cover)
+    ``freq`` is the table of :func:`rel_freq_space`, if it exists already; ``cluster=False`` if ``cover`` is stored by
+    plot."""
+    live = live_cover(cover, cluster)
     if freq is None:
         freq = rel_freq_space(cover.where(F.col("live") == 1))
     return with_class_systems(with_dominance(live, freq))

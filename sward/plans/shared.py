@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sward import operators as op
-from sward.session import cleanup, materialize
+from sward.session import at_most, bucket_count, cleanup, materialize
 from sward.sources import roles
 
 PLOT = ("site_code", "plot")
@@ -21,11 +21,11 @@ _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def keep(
-    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], bucket_by: Sequence[str] = ()
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], bucket_by: Sequence[str] = (), **how
 ) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
-        _KEPT[key] = materialize(build(), name, bucket_by)
+        _KEPT[key] = materialize(build(), name, bucket_by, **how)
     return _KEPT[key]
 
 
@@ -40,11 +40,25 @@ def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live cover with shares, baseline, dominance index and classes. The frequency table is written first: its size is
-    then known when it is joined, and the cover rows are not shuffled for it unless it is large."""
+    """Live cover with shares, baseline, dominance index and classes.
+
+    The frequency table is written and counted first. While it is small it is broadcast, the cover rows stay in the
+    buckets they were stored in, and nothing is shuffled; otherwise it is joined by key and the rows are placed again.
+    """
+    if (spark.sparkContext.applicationId, sf_dir, "enriched") in _KEPT:
+        return keep(spark, sf_dir, "enriched", None)
     rows = cover(spark, sf_dir)
     freq = keep(spark, sf_dir, "freq", lambda: op.rel_freq_space(rows.where(F.col("live") == 1)))
-    return keep(spark, sf_dir, "enriched", lambda: op.enriched_cover(rows, freq), PLOT)
+    small = at_most(freq, 200_000)
+    return keep(
+        spark,
+        sf_dir,
+        "enriched",
+        lambda: op.enriched_cover(rows, F.broadcast(freq) if small else freq, cluster=False),
+        PLOT,
+        buckets=bucket_count(roles.cover(spark, sf_dir)),
+        placed=small,
+    )
 
 
 def plot_years(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.driver.memory", os.environ.get("SWARD_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -56,7 +57,7 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 BUCKET_BYTES = 64 << 20
 
 
-def _buckets(df: DataFrame) -> int:
+def bucket_count(df: DataFrame) -> int:
     """One bucket per 64 MB of source files, at least one per core and at most the session's shuffle partitions."""
     spark = df.sparkSession
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
@@ -65,12 +66,16 @@ def _buckets(df: DataFrame) -> int:
     return max(1, min(most, max(spark.sparkContext.defaultParallelism, size // BUCKET_BYTES)))
 
 
-def materialize(df: DataFrame, name: str, bucket_by: Sequence[str] = ()) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, bucket_by: Sequence[str] = (), buckets: int | None = None, placed: bool = False
+) -> DataFrame:
     """Write an intermediate to the shared folder and read it back.
 
     Unlike a checkpoint the result is columnar: later reads prune columns, push filters down and know the true size, so
     Spark picks broadcast joins by measured size. With ``bucket_by`` the rows are stored by the hash of those columns
-    and later groupings and windows by any superset of them need no shuffle. :func:`cleanup` deletes what was written.
+    and later groupings and windows by any superset of them need no shuffle. ``placed`` states that the rows come from a
+    table of the same ``buckets`` and have not moved since, so they are written where they are. :func:`cleanup` deletes
+    what was written.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
@@ -80,11 +85,11 @@ def materialize(df: DataFrame, name: str, bucket_by: Sequence[str] = ()) -> Data
     if not bucket_by:
         df.write.parquet(path)
         return spark.read.parquet(path)
-    n = _buckets(df)
+    n = buckets or bucket_count(df)
     table = f"sward_{name}_{tag}"
     _TABLES.setdefault(app, []).append(table)
-    placed = df.repartition(n, *bucket_by)
-    placed.write.format("parquet").bucketBy(n, *bucket_by).option("path", path).saveAsTable(table)
+    rows = df if placed else df.repartition(n, *bucket_by)
+    rows.write.format("parquet").bucketBy(n, *bucket_by).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
