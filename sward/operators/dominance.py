@@ -140,7 +140,7 @@ def di_over_time(live: DataFrame) -> DataFrame:
 
 def site_species_metrics(live: DataFrame, per_cent: bool = True) -> DataFrame:
     """Baseline metrics per (site, species): mean and largest share over plots, plots occupied, frequency, and the
-    modified importance index (share + frequency) / 2."""
+    modified importance index (share + frequency) / 2, also with the plain number of plots in place of the frequency."""
     base = live.where(F.col("year_trt") == 0)
     scale = 100.0 if per_cent else 1.0
     m = base.groupBy("site_code", "Taxon").agg(
@@ -148,8 +148,9 @@ def site_species_metrics(live: DataFrame, per_cent: bool = True) -> DataFrame:
         (F.max("rel_cover") * scale).alias("max_pt_abundance"),
     )
     f = rel_freq_space(live).select("site_code", "Taxon", "n_plots_sp", "n_plots", "rel_freq")
-    return m.join(f, ["site_code", "Taxon"]).withColumn(
-        "abund_metric", (F.col("mean_pt_abundance") / scale + F.col("rel_freq")) / 2
+    share = F.col("mean_pt_abundance") / scale
+    return m.join(f, ["site_code", "Taxon"]).withColumns(
+        {"abund_metric": (share + F.col("rel_freq")) / 2, "abund_metric_count": (share + F.col("n_plots_sp")) / 2}
     )
 
 

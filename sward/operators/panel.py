@@ -45,6 +45,15 @@ def baseline(
     return df.withColumn(name or f"{value}_t0", v if default is None else F.coalesce(v, F.lit(default)))
 
 
+def group_total(
+    df: DataFrame, part: Sequence[str], value: str, cond: Column | None = None, name: str = "group_total"
+) -> DataFrame:
+    """Total of a value over the group on each of its rows, of all rows or of those meeting a condition (0 if none do).
+    For groups bounded by the data model, such as a plot; wider ones are aggregated and joined."""
+    v = F.col(value) if cond is None else F.when(cond, F.col(value))
+    return df.withColumn(name, F.coalesce(F.sum(v).over(Window.partitionBy(*part)), F.lit(0.0)))
+
+
 def complete_panel(
     df: DataFrame,
     group: Sequence[str],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sward.functions.semantics import positive_ln, rescale, safe_div
+from sward.functions.semantics import cut_class, positive_ln, rescale, safe_div
 from sward.operators.order import min_rank, shifted_rank
 from sward.operators.panel import complete_panel, first_k_mean, years_since_start
 
@@ -153,7 +153,7 @@ def abundance_biomass_ranks(panel: DataFrame, min_years: int = 4, strict: bool =
 
     A species with no abundance is absent and has rank 0 whatever the column. ``*_t0`` is the relative rank in the first
     year, ``lag_*`` that of the year before; ``lost`` is absence after a non-zero lagged rank. ``strict`` reproduces a
-    variant in which the lagged rank is the first-year rank from the second year on.
+    variant in which the early mean and the lagged rank are both taken of the first-year rank.
     """
     both = panel.select("STUDY_ID", "MEASURE").distinct().groupBy("STUDY_ID").agg(
         F.count(F.lit(1)).alias("_n")
@@ -184,11 +184,11 @@ def abundance_biomass_ranks(panel: DataFrame, min_years: int = 4, strict: bool =
     out = out.withColumn("_rn", F.row_number().over(ordered))
     for tag in names.values():
         rel = f"rel_{tag}_rank"
+        out = out.withColumn(f"{rel}_t0", F.first(rel).over(full))
+        source = f"{rel}_t0" if strict else rel
         out = out.withColumns(
-            {f"{rel}_t0": F.first(rel).over(full), f"{rel}_first3": first_k_mean(rel, "_rn", sp)}
+            {f"{rel}_first3": first_k_mean(source, "_rn", sp), f"lag_{rel}": F.lag(source).over(ordered)}
         )
-        lagged = F.lag(f"{rel}_t0" if strict else rel).over(ordered)
-        out = out.withColumn(f"lag_{rel}", lagged)
     present = F.sum(F.when((F.col("_rn") <= 3) & (F.col("Abundance") != 0), 1).otherwise(0)).over(sp)
     return out.withColumns(
         {
@@ -212,3 +212,25 @@ def lost_at_end_by_rank(ranks: DataFrame) -> DataFrame:
 
 def standard_years(df: DataFrame, base: int = 0) -> DataFrame:
     return years_since_start(df, ["STUDY_ID"], "YEAR", base)
+
+
+# Facet edges of the trajectories, lowest edge included.
+SHARE_FACETS = (0.0, 0.01, 0.2, 0.5, 1.0)
+RANK_FACETS = (0.0, 0.01, 0.25, 0.5, 0.75, 1.0)
+
+
+def facet_labels(edges) -> list[str]:
+    return [f"{lo:g} to {hi:g}" for lo, hi in zip(edges, edges[1:])]
+
+
+def abundance_trajectories(metrics: DataFrame, min_years: int = 9) -> DataFrame:
+    """Series present in their first three years and long enough, by years since the study began (from 1), with the facet
+    of their early share and of their first rank."""
+    rows = metrics.where((F.col("REL_VALUE_COMM_T0_T3") > 0) & (F.col("N_YEARS") >= min_years))
+    out = years_since_start(rows, ["STUDY_ID"], "YEAR", base=1, name="YEAR_STD")
+    return out.withColumns(
+        {
+            "share_facet": cut_class("REL_VALUE_COMM_T0_T3", SHARE_FACETS, facet_labels(SHARE_FACETS), True),
+            "rank_facet": cut_class("REL_RANK_T0", RANK_FACETS, facet_labels(RANK_FACETS), True),
+        }
+    )

@@ -182,6 +182,16 @@ ORACLES = {
         + f" FROM (SELECT site_code, plot, year, {_richness(_FOUR)} FROM enriched GROUP BY ALL)"
         " WINDOW w AS (PARTITION BY site_code, plot ORDER BY year)",
     ),
+    "species_cover_change": sql(
+        f"{_ROW} rel_cover:d lag_rel_cover:d d_rel_cover:d",
+        f"""SELECT *, lag(rel_cover) OVER ({_W_SP} ORDER BY year) AS lag_rel_cover,
+                   rel_cover - lag(rel_cover) OVER ({_W_SP} ORDER BY year) AS d_rel_cover FROM live""",
+    ),
+    "baseline_total_cover": sql(
+        f"{_ROW} max_cover:d total_cover_t0:d",
+        """SELECT *, coalesce(sum(CASE WHEN year_trt = 0 THEN max_cover END) OVER (PARTITION BY site_code, plot), 0)
+                  AS total_cover_t0 FROM live""",
+    ),
     "duplicate_audit": sql(
         f"{_SP} n_years:i n_records:i n_subplots:i",
         """SELECT site_code, plot, Taxon, count(DISTINCT year) AS n_years, count(*) AS n_records,
@@ -326,8 +336,9 @@ ORACLES = {
                      AS class_code FROM enriched GROUP BY 1, 2""",
     ),
     "site_species_metrics": sql(
-        "site_code:s Taxon:s mean_pt_abundance:d max_pt_abundance:d n_plots_sp:i n_plots:i rel_freq:d abund_metric:d",
-        "SELECT * FROM metrics",
+        "site_code:s Taxon:s mean_pt_abundance:d max_pt_abundance:d n_plots_sp:i n_plots:i rel_freq:d abund_metric:d "
+        "abund_metric_count:d",
+        "SELECT *, (mean_pt_abundance / 100 + n_plots_sp) / 2 AS abund_metric_count FROM metrics",
     ),
     "dominance_ntile": sql("site_code:s Taxon:s abund_metric:d di_group:i abund_group:i", "SELECT * FROM groups"),
     "wide_ingest_roundtrip": sql(

@@ -139,6 +139,18 @@ def _classes(system):
     return {k: preds[k] for k in ("domspp", "rarespp", "subordspp", "non_rare")}
 
 
+def species_cover_change(spark, sf):
+    """Change of a species' relative cover since its plot's previous survey of it."""
+    rows = shared.enriched(spark, sf).select(*ROW, "rel_cover")
+    return op.first_diff(rows, SPECIES, "year", ["rel_cover"], one_row=True)
+
+
+def baseline_total_cover(spark, sf):
+    """Baseline cover of the whole plot on each of its rows, 0 for plots without a baseline."""
+    rows = shared.enriched(spark, sf).select(*ROW, "year_trt", "max_cover")
+    return op.group_total(rows, ["site_code", "plot"], "max_cover", F.col("year_trt") == 0, "total_cover_t0").drop("year_trt")
+
+
 def duplicate_audit(spark, sf):
     return op.dup_audit(roles.cover_records(spark, sf), SPECIES, "year", "subplot")
 
@@ -350,6 +362,8 @@ QUERIES = {
         baseline_abundance,
         site_min_years,
         first_differences,
+        species_cover_change,
+        baseline_total_cover,
         duplicate_audit,
         multi_subplot_plots,
         facet_classes,

@@ -188,6 +188,12 @@ ORACLES = {
             w="n_year",
         ),
     ),
+    "hurdle_logit": sql(
+        f"MEASURE:s {_FIT_COLS}",
+        "SELECT * FROM fit",
+        sl=_SLOSS,
+        **logit("SELECT * FROM sl", "MEASURE", "absent_at_some_point", "REL_RANK_TIMEPOINT", w="n_year"),
+    ),
     "two_stage_effect": sql("k:i q:d tau2:d pooled:d se:d", _pool("(SELECT * FROM fit WHERE converged)"), **_SITE),
     "two_stage_trend": sql("k:i q:d tau2:d pooled:d se:d", _pool("o"), befy=_BEFY, o=_STUDY_OLS),
     "slope_vs_cv": sql(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sward import operators as op
 from sward.plans import shared
 from sward.plans.effect_queries import before_after_loss
+from sward.session import materialize
 from sward.sources import roles
 
 TRTS = ("Control", "N", "NP", "NPK")  # fixed values: factor levels, the first is the reference level
@@ -110,6 +111,21 @@ def weighted_fraction_logit(spark, sf):
     return op.logit_by(rows, ["MEASURE"], "frac_missing_after_t0", "REL_RANK_TIMEPOINT", w="n_year")
 
 
+def hurdle_logit(spark, sf):
+    """Missing at some point or not, weighted by the length of the series, per measure."""
+    return op.logit_by(
+        _series_losses(spark, sf), ["MEASURE"], "absent_at_some_point", "REL_RANK_TIMEPOINT", w="n_year"
+    )
+
+
+def rank_trajectory_model(spark, sf):
+    """Rank over time with the first-year rank and their product, pooled straight-line model."""
+    rows = op.abundance_trajectories(op.species_panel_metrics(shared.long_series(spark, sf)), min_years=7)
+    rows = materialize(rows.select("YEAR_STD", "REL_RANK_T0", "REL_RANK_TIMEPOINT").na.drop(), "trajectories")
+    data, terms = op.design(rows, "YEAR_STD", also=["REL_RANK_T0"])
+    return op.coefficient_table(spark, op.pooled_glm(data, "REL_RANK_TIMEPOINT", terms, family="gaussian"))
+
+
 def two_stage_effect(spark, sf):
     return op.two_stage_effect(logit_by_site(spark, sf).where("converged"))
 
@@ -225,6 +241,8 @@ QUERIES = {
         logit_by_study,
         pooled_logit,
         weighted_fraction_logit,
+        hurdle_logit,
+        rank_trajectory_model,
         two_stage_effect,
         two_stage_trend,
         slope_vs_cv,

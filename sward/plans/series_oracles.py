@@ -130,6 +130,32 @@ ORACLES = {
         "STUDY_ID:i cv_b:d", "SELECT STUDY_ID, stddev_samp(b) / avg(b) AS cv_b FROM bef_series GROUP BY STUDY_ID"
     ),
     "abundance_biomass_ranks": sql(_DUO_COLS, "SELECT * FROM duo_all"),
+    "abundance_biomass_ranks_strict": sql(
+        "STUDY_ID:i YEAR:i GENUS_SPECIES:s rel_abund_rank_t0:d rel_abund_rank_first3:d lag_rel_abund_rank:d "
+        "lag_rel_percapita_rank:d lost:b",
+        """SELECT STUDY_ID, YEAR, GENUS_SPECIES, rel_abund_rank_t0,
+                  CASE WHEN count(*) OVER (PARTITION BY STUDY_ID, GENUS_SPECIES) >= 3 THEN rel_abund_rank_t0 END
+                    AS rel_abund_rank_first3,
+                  CASE WHEN rn > 1 THEN rel_abund_rank_t0 END AS lag_rel_abund_rank,
+                  CASE WHEN rn > 1 THEN rel_percapita_rank_t0 END AS lag_rel_percapita_rank,
+                  CASE WHEN rn > 1 THEN Abundance = 0 AND rel_abund_rank_t0 <> 0 END AS lost
+           FROM duo_all""",
+    ),
+    "abundance_trajectories": sql(
+        "MEASURE:s share_facet:s rank_facet:s YEAR_STD:i n:i mean_share:d mean_rank:d",
+        """SELECT MEASURE, share_facet, rank_facet, YEAR_STD, count(*) AS n, avg(REL_VALUE_COMM) AS mean_share,
+                  avg(REL_RANK_TIMEPOINT) AS mean_rank
+           FROM (SELECT *, YEAR - min(YEAR) OVER (PARTITION BY STUDY_ID) + 1 AS YEAR_STD,
+                        CASE WHEN REL_VALUE_COMM_T0_T3 <= 0.01 THEN '0 to 0.01' WHEN REL_VALUE_COMM_T0_T3 <= 0.2 THEN
+                             '0.01 to 0.2' WHEN REL_VALUE_COMM_T0_T3 <= 0.5 THEN '0.2 to 0.5' ELSE '0.5 to 1' END
+                          AS share_facet,
+                        CASE WHEN REL_RANK_T0 IS NULL THEN NULL WHEN REL_RANK_T0 <= 0.01 THEN '0 to 0.01'
+                             WHEN REL_RANK_T0 <= 0.25 THEN '0.01 to 0.25' WHEN REL_RANK_T0 <= 0.5 THEN '0.25 to 0.5'
+                             WHEN REL_RANK_T0 <= 0.75 THEN '0.5 to 0.75' ELSE '0.75 to 1' END AS rank_facet
+                 FROM sm WHERE REL_VALUE_COMM_T0_T3 > 0 AND N_YEARS >= 7)
+           GROUP BY ALL""",
+        sm=_METRICS,
+    ),
     "lost_at_end_by_rank": sql(
         "STUDY_ID:i GENUS_SPECIES:s lost_at_end:i rel_abund_rank_t0:d rel_percapita_rank_t0:d",
         """SELECT STUDY_ID, GENUS_SPECIES, CASE WHEN arg_max(Abundance, YEAR) = 0 THEN 1 ELSE 0 END AS lost_at_end,

@@ -115,6 +115,30 @@ def abundance_biomass_ranks(spark, sf):
     return op.abundance_biomass_ranks(shared.series_panel(spark, sf))
 
 
+def abundance_biomass_ranks_strict(spark, sf):
+    """The variant whose early means and lags are taken of the first-year rank."""
+    return op.abundance_biomass_ranks(shared.series_panel(spark, sf), strict=True).select(
+        "STUDY_ID",
+        "YEAR",
+        "GENUS_SPECIES",
+        "rel_abund_rank_t0",
+        "rel_abund_rank_first3",
+        "lag_rel_abund_rank",
+        "lag_rel_percapita_rank",
+        "lost",
+    )
+
+
+def abundance_trajectories(spark, sf):
+    """Mean share and rank over time by facet of the early share and of the first rank."""
+    rows = op.abundance_trajectories(op.species_panel_metrics(shared.long_series(spark, sf)), min_years=7)
+    return rows.groupBy("MEASURE", "share_facet", "rank_facet", "YEAR_STD").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("REL_VALUE_COMM").alias("mean_share"),
+        F.avg("REL_RANK_TIMEPOINT").alias("mean_rank"),
+    )
+
+
 def lost_at_end_by_rank(spark, sf):
     return op.lost_at_end_by_rank(op.abundance_biomass_ranks(shared.series_panel(spark, sf)))
 
@@ -155,6 +179,8 @@ QUERIES = {
         log_ratio_change,
         biomass_cv,
         abundance_biomass_ranks,
+        abundance_biomass_ranks_strict,
+        abundance_trajectories,
         lost_at_end_by_rank,
         standard_years,
         studies_with_both_measures,

@@ -149,3 +149,33 @@ def test_adjusted_means(rows):
     df = rows("g string, x double, y double", [("a", x, 2 * x) for x in (0.0, 1.0, 2.0)] + [("b", x, 2 * x + 5) for x in (4.0, 5.0)])
     got = {r.g: r.adjusted_mean for r in op.adjusted_means(df, "y", "g", "x").collect()}
     assert got["b"] - got["a"] == pytest.approx(5.0)
+
+
+def test_pooled_straight_line_model(spark, rows):
+    r = random.Random(9)
+    data = [(t, x, 0.2 + 0.1 * t - 0.5 * x + 0.3 * t * x + r.gauss(0, 0.1)) for t in range(8) for x in (0.1, 0.4, 0.8)]
+    wide, terms = op.design(rows("t int, x double, y double", data), "t", also=["x"])
+    got = {c.term: c for c in op.coefficient_table(spark, op.pooled_glm(wide, "y", terms, family="gaussian")).collect()}
+    X = np.array([[1, t, x, t * x] for t, x, _ in data])
+    b, rss, *_ = np.linalg.lstsq(X, np.array([y for *_, y in data]), rcond=None)
+    cov = np.linalg.inv(X.T @ X) * rss[0] / (len(data) - 4)
+    for i, name in enumerate(["(Intercept)", "t", "x", "t_x_x"]):
+        assert got[name].estimate == pytest.approx(b[i], abs=1e-5)
+        assert got[name].se == pytest.approx(math.sqrt(cov[i, i]), rel=1e-4)
+
+
+def test_explained_variance(spark, rows):
+    fitted = rows("eta double", [(0.0,), (2.0,)])
+    r = op.explained_variance(fitted, "eta", rows("tau2 double", [(0.5,)]), op.LOGIT_RESIDUAL).first()
+    total = 1.0 + 0.5 + math.pi**2 / 3
+    assert (r.r2_marginal, r.r2_conditional) == pytest.approx((1 / total, 1.5 / total))
+
+
+def test_residual_autocorrelation(rows):
+    r = random.Random(5)
+    data = [(1, t, float(t), 2.0 * t + r.gauss(0, 1)) for t in range(12)]
+    got = op.residual_autocorrelation(rows("g int, t int, x double, y double", data), ["g"], "t", "y", "x").first()
+    x, y = np.array([d[2] for d in data]), np.array([d[3] for d in data])
+    b, a = np.polyfit(x, y, 1)
+    res = y - a - b * x
+    assert got.n == 11 and got.lag_corr == pytest.approx(np.corrcoef(res[1:], res[:-1])[0, 1])

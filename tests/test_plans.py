@@ -10,7 +10,7 @@ from sward.plans.registry import queries
 from sward.sources import roles
 
 QUERIES = queries()
-EAGER = {"coefficient_table", "coefficient_table_with_year", "aicc_table", "pair_rank_loss"}
+EAGER = {"coefficient_table", "coefficient_table_with_year", "aicc_table", "pair_rank_loss", "rank_trajectory_model"}
 
 
 def plan_of(df) -> str:
@@ -60,6 +60,8 @@ def test_scan_is_narrow_and_filtered(spark, sf_dir):
         "class_profile",
         "lifespan_richness",
         "richness_by_class",
+        "species_cover_change",
+        "baseline_total_cover",
     ],
 )
 def test_tables_stored_by_plot_need_no_shuffle(name, spark, sf_dir):
