@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sward.functions.semantics import cut_class, positive_ln, rescale, safe_div
 from sward.operators.order import min_rank, shifted_rank
 from sward.operators.panel import complete_panel, first_k_mean, years_since_start
+from sward.session import settle
 
 SERIES_KEY = ["STUDY_ID", "MEASURE", "GENUS_SPECIES"]
 UNIT = ["STUDY_ID", "MEASURE", "YEAR"]
@@ -86,7 +87,7 @@ def species_panel_metrics(long: DataFrame) -> DataFrame:
         .agg(F.sum("_t").alias("WHOLE_SERIES_TOTAL"), F.count(F.lit(1)).alias("NUM_SPECIES"))
     )
     return (
-        out.join(totals, ["STUDY_ID", "MEASURE"])
+        out.join(settle(totals, "series_totals"), ["STUDY_ID", "MEASURE"])
         .withColumn("WHOLE_SERIES_REL_VALUE", safe_div("_SPECIES_TOTAL", "WHOLE_SERIES_TOTAL"))
         .drop("_rn", "_rn_back", "_SPECIES_TOTAL")
     )
@@ -155,13 +156,11 @@ def abundance_biomass_ranks(panel: DataFrame, min_years: int = 4, strict: bool =
     year, ``lag_*`` that of the year before; ``lost`` is absence after a non-zero lagged rank. ``strict`` reproduces a
     variant in which the early mean and the lagged rank are both taken of the first-year rank.
     """
-    both = panel.select("STUDY_ID", "MEASURE").distinct().groupBy("STUDY_ID").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    both = panel.select("STUDY_ID", "MEASURE").distinct().groupBy("STUDY_ID").agg(F.count(F.lit(1)).alias("_n"))
     years = panel.select("STUDY_ID", "YEAR").distinct().groupBy("STUDY_ID").agg(F.count(F.lit(1)).alias("_y"))
+    good = both.join(years, "STUDY_ID").where((F.col("_n") == 2) & (F.col("_y") >= min_years)).select("STUDY_ID")
     out = (
-        panel.join(both.where(F.col("_n") == 2).select("STUDY_ID"), "STUDY_ID", "left_semi")
-        .join(years.where(F.col("_y") >= min_years).select("STUDY_ID"), "STUDY_ID", "left_semi")
+        panel.join(settle(good, "two_measure_studies"), "STUDY_ID", "left_semi")
         .groupBy("STUDY_ID", "YEAR", "GENUS_SPECIES")
         .pivot("MEASURE", ["Abundance", "Biomass"])
         .agg(F.first("SUM_VALUE"))

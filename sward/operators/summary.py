@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sward.functions.semantics import as_col, is_true, safe_div
 from sward.operators.order import attach, exact_quantiles
+from sward.session import settle
 
 
 def bar_stats(df: DataFrame, value: str | Column, by: Sequence[str]) -> DataFrame:
@@ -85,7 +86,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ()) -> Dat
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str], whisker: float = 1.5) -> DataFrame:
     """Box-plot table: quartiles, the most extreme values within 1.5 box lengths of the box, and the outlier count."""
-    q = exact_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = settle(exact_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "quartiles")
     span = (F.col("q3") - F.col("q1")) * whisker
     inside = (F.col(value) >= F.col("q1") - span) & (F.col(value) <= F.col("q3") + span)
     rows = attach(df.where(F.col(value).isNotNull()), q, by, "inner")

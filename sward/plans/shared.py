@@ -73,9 +73,9 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completed cover panel."""
+    """Completed cover panel. The rows are stored by plot already, so nothing needs placing."""
     return op.complete_panel(
-        enriched(spark, sf_dir), ["site_code"], ["plot", "year_trt", "trt"], "Taxon", "rel_cover", cluster_by=PLOT
+        enriched(spark, sf_dir), ["site_code"], ["plot", "year_trt", "trt"], "Taxon", "rel_cover"
     )
 
 
