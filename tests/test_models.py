@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from sward import operators as op
-from sward.sources import files  # noqa: F401
 
 
 def logistic(X, y, w=None, rounds=40):
