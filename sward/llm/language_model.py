@@ -3,7 +3,7 @@
 The modelled text is the words (A-Z lower-cased) with one space after each and one end mark. A byte is eight binary
 decisions; each decision has a node in the tree of every context depth. A node holds how often each bit came there; its
 Krichevsky-Trofimov estimate is mixed with that of its longer contexts by the weights of context-tree weighting, over all
-depths from 0 to 3. Counts come from all training texts; then the tree is fixed and gives a code length for each byte.
+depths from 0 to 5. Counts come from all training texts; then the tree is fixed and gives a code length for each byte.
 """
 
 from __future__ import annotations
@@ -20,52 +20,43 @@ from pyspark.sql import types as T
 from sward.llm.common import chunks, space_words, text_bytes
 from sward.session import materialize
 
-DEPTH = 3
+DEPTH = 5
 END = 10  # the byte of the end mark; no word has it
 #: Most frequent words whose counts every task holds; all others are joined by key.
 FREQUENT = 1 << 18
-#: Contexts of depth 3 with nodes of their own; beyond the most frequent ones, depth 2 answers.
+#: Contexts with nodes of their own, the most frequent of all depths; elsewhere the next shorter context answers.
 CONTEXTS = 1 << 16
 
 
-def _classes() -> np.ndarray:
-    """Class of a byte as a context, 64 in all: letters, space, end, digits, common marks, then parts of long characters."""
-    table = np.full(256, 27, np.uint8)
-    for i in range(26):
-        table[97 + i] = i
-    table[32], table[END] = 26, 28
-    table[48:58] = 29
-    for i, b in enumerate(b".,;:'\"!?-()|%$&#*@"):
-        table[b] = 30 + i % 12
-    for b in range(128, 256):
-        table[b] = 42 + (b % 16 if b < 192 else 16 + b % 6)
-    return table
-
-
-CLASS = _classes()
-
-
 def symbols(text: bytes | None) -> np.ndarray:
     """The modelled bytes of a text; a null or blank one has only the end mark."""
     words = space_words(text)
     return np.frombuffer(b" ".join(words) + (b" \n" if words else b"\n"), np.uint8)
 
 
-def laid_out(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of several texts in one row, their contexts of three classes, and the starts. Before a text comes the end mark."""
+def laid_out(texts: list[bytes | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Bytes of several texts in one row, the bytes 1 to ``DEPTH`` places before each, and the starts. Before a text there
+    are only end marks."""
     parts = [symbols(t) for t in texts]
     data = np.concatenate(parts)
     starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
-    c = CLASS[data].astype(np.int32)
-    end = int(CLASS[END])
-    before = np.full((DEPTH, len(data)), end, np.int32)
+    before = []
     for d in range(1, DEPTH + 1):
-        before[d - 1, d:] = c[:-d]
-    for d in range(1, DEPTH):  # a text's first bytes do not see the one before it
+        own = np.concatenate((np.full(d, END, np.uint8), data))[: len(data)]
         for j in range(d):
             at = starts + j
-            before[d, at[at < len(data)]] = end
-    return data, before[0] << 12 | before[1] << 6 | before[2], starts
+            own[at[at < len(data)]] = END  # the rest of a shorter text sees its end mark there anyway
+        before.append(own)
+    return data, before, starts
+
+
+def gram_keys(texts: list[bytes | None]) -> np.ndarray:
+    """Context and byte at each place as one number, the nearest byte of the context in the highest place."""
+    data, before, _ = laid_out(texts)
+    key = np.zeros(len(data), np.int64)
+    for b in [*before, data]:
+        key = key << 8 | b
+    return key
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -91,73 +82,95 @@ def node_counts(by_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
+    out = np.zeros(zeros.shape, np.float32)
+    seen = zeros + ones > 0
+    a, b = zeros[seen], ones[seen]
+    out[seen] = _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - np.log(np.pi)
+    return out
 
 
-def weighted(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(log weighted probability, share of the node's own estimate) of nodes, given the sum over their children of the log
-    weighted probability; without children the node stands alone."""
-    own = kt_log(zeros, ones)
-    if children is None:
-        return own, np.ones_like(own)
-    both = np.logaddexp(own, children) - np.log(2)
-    return both, np.exp(own - np.log(2) - both)
-
-
-def _subtree(table: pa.Table) -> pa.Table:
-    """All nodes below one context of depth 1. Rows: (depth, context, total, log weighted, estimates).
-
-    The estimates of depth 3 mix depths 1 to 3, those of depth 2 mix 1 and 2, those of depth 1 are its own; the root is
-    mixed in when the model is put together.
-    """
-    context, byte, n = (table.column(c).to_numpy() for c in ("context", "byte", "n"))
-    deep, at = np.unique(context, return_inverse=True)
-    c3 = np.zeros((len(deep), 256))
-    np.add.at(c3, (at, byte), n)
-    mid, up = np.unique(deep >> 6, return_inverse=True)
-    c2 = np.zeros((len(mid), 256))
-    np.add.at(c2, up, c3)
-    c1 = c2.sum(axis=0, keepdims=True)
-    z3, o3 = node_counts(c3)
-    z2, o2 = node_counts(c2)
-    z1, o1 = node_counts(c1)
-    w3, _ = weighted(z3, o3, None)
-    below2 = np.zeros_like(z2)
-    np.add.at(below2, up, w3)
-    w2, s2 = weighted(z2, o2, below2)
-    w1, s1 = weighted(z1, o1, w2.sum(axis=0, keepdims=True))
-    k1, k2, k3 = ((o + 0.5) / (z + o + 1) for z, o in ((z1, o1), (z2, o2), (z3, o3)))
-    k1 = np.where(z1 + o1 > 0, k1, np.nan)  # filled in from the root
-    k3 = np.where(z3 + o3 > 0, k3, k2[up])  # a context that never came to this decision has nothing to add
-    p3 = s2[up] * k2[up] + (1 - s2[up]) * k3
-    k2 = np.where(z2 + o2 > 0, k2, k1)
-    p3 = s1 * k1 + (1 - s1) * np.where(z2[up] + o2[up] > 0, p3, k1)
-    p2 = s1 * k1 + (1 - s1) * k2
-    rows = [(3, int(c), float(t.sum()), None, p) for c, t, p in zip(deep, c3, p3, strict=True)]
-    rows += [(2, int(c), float(t.sum()), None, p) for c, t, p in zip(mid, c2, p2, strict=True)]
-    rows.append((1, int(mid[0] >> 6), float(c1.sum()), w1[0], k1[0]))
-    rows.append((0, int(mid[0] >> 6), float(c1.sum()), c1[0], k1[0]))
-    return pa.table(
-        {
-            "depth": pa.array([r[0] for r in rows], pa.int32()),
-            "context": pa.array([r[1] for r in rows], pa.int32()),
-            "total": pa.array([r[2] for r in rows], pa.float64()),
-            "extra": pa.array([None if r[3] is None else np.asarray(r[3], float).tobytes() for r in rows], pa.binary()),
-            "p": pa.array([np.asarray(r[4], np.float32).tobytes() for r in rows], pa.binary()),
-        }
-    )
+def _by_rows(fn, *arrays, size: int = 4096):
+    """``fn`` over slices of the rows, to bound the memory of what it makes on the way."""
+    out = [fn(*[a[i : i + size] for a in arrays]) for i in range(0, len(arrays[0]), size)]
+    return np.concatenate(out) if out else np.zeros((0, 256), np.float32)
 
 
 @dataclass
 class ContextTree:
-    """``logs[row_of[context] * 256 + byte]``: log10 of the probability of a byte after a context of three classes."""
+    """A trie of contexts. ``child[node, symbol]`` is the node one byte further back, or ``-node - 1`` where there is none;
+    ``head`` does the first three steps at once; ``logs[node, byte]`` is the log10 of the probability of a byte."""
 
-    row_of: np.ndarray
+    symbol_of: np.ndarray
+    head: np.ndarray
+    child: np.ndarray
     logs: np.ndarray
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        data, context, starts = laid_out(texts)
-        return np.add.reduceat(self.logs[self.row_of[context] * 256 + data], starts, dtype=np.float64)
+        data, before, starts = laid_out(texts)
+        size = self.child.shape[1]
+        s = [self.symbol_of[b] for b in before]
+        at = self.head[(s[0] * size + s[1]) * size + s[2]]
+        flat = self.child.ravel()
+        for sym in s[3:]:
+            at = np.where(at < 0, at, flat[np.maximum(at, 0) * size + sym])
+        at = np.where(at < 0, -at - 1, at)
+        return np.add.reduceat(self.logs.ravel()[at.astype(np.int64) * 256 + data], starts, dtype=np.float64)
+
+
+def build_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
+    """Weigh the contexts. ``levels``: for depths from 0, sorted contexts and their counts of 256 bytes.
+
+    Bottom up, a node's weighted probability is the mean of its own KT probability and the product of its children's;
+    contexts that have no node of their own form one child together. Top down, the share of a node's own estimate follows,
+    and each node gets the mixed estimate of its path; a context that never came to a decision has nothing to add there.
+    """
+    above = [np.zeros(1, np.int64)] + [np.searchsorted(levels[d - 1][0], levels[d][0] >> 8) for d in range(1, len(levels))]
+    shares: list[np.ndarray] = [np.empty(0)] * len(levels)
+    lower = None
+    for d in range(len(levels) - 1, -1, -1):
+        counts = levels[d][1]
+        own = _by_rows(lambda c: kt_log(*node_counts(c)), counts)
+        if d + 1 < len(levels) and len(levels[d + 1][0]):
+            rest, below = counts.copy(), np.zeros_like(own)
+            np.subtract.at(rest, above[d + 1], levels[d + 1][1])
+            np.add.at(below, above[d + 1], lower)
+            below += _by_rows(lambda c: kt_log(*node_counts(c)), rest)
+            both = np.logaddexp(own, below) - np.float32(np.log(2))
+            shares[d] = np.exp(own - np.float32(np.log(2)) - both)
+            lower = both
+        else:
+            shares[d] = np.ones_like(own)
+            lower = own
+    logs, passed = [], None
+    for d, (_, counts) in enumerate(levels):
+        def estimate(c):
+            z, o = node_counts(c)
+            return np.where(z + o > 0, (o + 0.5) / (z + o + 1), np.nan).astype(np.float32)
+
+        kt = _by_rows(estimate, counts)
+        if d == 0:
+            kt = np.nan_to_num(kt, nan=0.5)
+            mixed, spent, left = kt, np.zeros_like(kt), np.ones_like(kt)
+        else:
+            mixed_above, spent_above, left_above, kt_above = (x[above[d]] for x in passed)
+            gone = left_above * shares[d - 1][above[d]]
+            spent, left = spent_above + gone * kt_above, left_above - gone
+            mixed = np.where(np.isnan(kt), mixed_above, spent + left * kt)
+            kt = np.where(np.isnan(kt), mixed_above, kt)
+        passed = (mixed, spent, left, kt)
+        logs.append(_by_rows(lambda p: _byte_logs(np.clip(p.astype(float), 1e-9, 1 - 1e-9)), mixed))
+    first = np.cumsum([0] + [len(c) for c, _ in levels])
+    one = levels[1][0] if len(levels) > 1 else np.empty(0, np.int64)
+    symbol_of = np.zeros(256, np.int32)
+    symbol_of[one] = np.arange(1, len(one) + 1)
+    size = len(one) + 1
+    child = np.repeat(-np.arange(first[-1], dtype=np.int32)[:, None] - 1, size, axis=1)
+    for d in range(1, len(levels)):
+        child[first[d - 1] + above[d], symbol_of[levels[d][0] & 255]] = first[d] + np.arange(len(levels[d][0]))
+    head = np.zeros(1, np.int32)
+    for _ in range(3):
+        head = np.where(head[:, None] < 0, head[:, None], child[np.maximum(head, 0)]).ravel()
+    return ContextTree(symbol_of, head.astype(np.int32), child, np.concatenate(logs))
 
 
 def _byte_logs(p: np.ndarray) -> np.ndarray:
@@ -170,30 +183,6 @@ def _byte_logs(p: np.ndarray) -> np.ndarray:
     return logs[:, 256:].astype(np.float32)
 
 
-def _tree(rows: list) -> ContextTree:
-    """Put the subtrees under the root."""
-    by = {d: [r for r in rows if r["depth"] == d] for d in range(4)}
-    total = sum((np.frombuffer(r["extra"]) for r in by[0]), np.zeros(256))
-    z0, o0 = node_counts(total[None])
-    below = sum((np.frombuffer(r["extra"]) for r in by[1]), np.zeros(256))[None]
-    if by[1]:
-        _, s0 = weighted(z0, o0, below)
-    else:
-        s0 = np.ones_like(z0)
-    k0 = (o0 + 0.5) / (z0 + o0 + 1)
-    stacked = [k0]
-    row_of = np.zeros(1 << 18, np.int32)
-    at = 1
-    for depth in (1, 2, 3):
-        for r in by[depth]:
-            p = np.frombuffer(r["p"], np.float32)[None].astype(float)
-            stacked.append(s0 * k0 + (1 - s0) * np.where(np.isnan(p), k0, p))
-            first = r["context"] << 6 * (DEPTH - depth)
-            row_of[first : first + (1 << 6 * (DEPTH - depth))] = at
-            at += 1
-    return ContextTree(row_of, _byte_logs(np.clip(np.concatenate(stacked), 1e-9, 1 - 1e-9)).ravel())
-
-
 def _gather(batches):
     """Counts of words and of (context, byte) in all texts of a task, handed on whenever many words have come together."""
 
@@ -201,7 +190,7 @@ def _gather(batches):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([*words, *[None] * len(ids)], pa.binary()),
-                pa.array([*[None] * len(words), *ids.tolist()], pa.int32()),
+                pa.array([*[None] * len(words), *ids.tolist()], pa.int64()),
                 pa.array([*words.values(), *n.tolist()], pa.int64()),
             ],
             names=["word", "gram", "n"],
@@ -220,9 +209,8 @@ def _gather(batches):
             for t in texts[a:b]:
                 words.update(space_words(t))
                 words[b"\n"] += 1
-            data, context, _ = laid_out(texts[a:b])
-            parts.append(np.unique(context.astype(np.int64) << 8 | data, return_counts=True))
-            if len(parts) > 20:
+            parts.append(np.unique(gram_keys(texts[a:b]), return_counts=True))
+            if len(parts) > 12:
                 parts = [summed(parts)]
             if len(words) > 500_000:
                 yield batch_of(words, none, none)
@@ -240,17 +228,26 @@ class LanguageModel:
 
 def train(docs: DataFrame) -> LanguageModel:
     """Count words and contexts of all ``docs`` (null texts have only their end) and weigh the tree."""
-    partial = docs.select(text_bytes().alias("_text")).mapInArrow(_gather, "word binary, gram int, n long")
+    partial = docs.select(text_bytes().alias("_text")).mapInArrow(_gather, "word binary, gram long, n long")
     counted = materialize(partial.groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm_counts")
     words = counted.where(F.col("word").isNotNull()).select("word", "n")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    grams = counted.where(F.col("gram").isNotNull()).select(
-        F.shiftright("gram", 20).alias("top"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n"
-    )
-    nodes = materialize(grams.groupBy("top").applyInArrow(_subtree, "depth int, context int, total double, extra binary, p binary"), "lm_nodes")
-    upper = nodes.where("depth < 3").collect()  # 64 * 65 contexts at most
-    deep = nodes.where("depth = 3").orderBy(F.desc("total"), "context").limit(CONTEXTS).collect()
-    return LanguageModel(_tree(upper + deep), words, int(total["n"] or 0), int(total["v"]))
+    depths = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("gram", 8 * (DEPTH - d + 1)).alias("context")) for d in range(DEPTH + 1)])
+    grams = counted.where(F.col("gram").isNotNull()).select(F.explode(depths).alias("c"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
+    grams = materialize(grams.groupBy("c.depth", "c.context", "byte").agg(F.sum("n").alias("n")), "lm_grams")
+    totals = grams.groupBy("depth", "context").agg(F.sum("n").alias("total"))
+    # a shorter context comes at least as often and wins ties, so the chosen ones have all their shorter ones with them
+    chosen = materialize(totals.orderBy(F.desc("total"), "depth", "context").limit(CONTEXTS).select("depth", "context"), "lm_contexts")
+    kept = grams.join(F.broadcast(chosen), ["depth", "context"]).select("depth", "context", "byte", "n").toArrow()
+    depth, context, byte, n = (kept.column(c).to_numpy() for c in ("depth", "context", "byte", "n"))
+    levels = []
+    for d in range(DEPTH + 1):
+        own = depth == d
+        names, at = np.unique(context[own], return_inverse=True)
+        counts = np.zeros((max(len(names), d == 0), 256), np.float32)
+        counts[at, byte[own]] = n[own]
+        levels.append((names if len(names) or d else np.zeros(1, np.int64), counts))
+    return LanguageModel(build_tree(levels), words, int(total["n"] or 0), int(total["v"]))
 
 
 def score(docs: DataFrame, model: LanguageModel, key: str = "doc_id", others: dict[str, Column] | None = None) -> DataFrame:
