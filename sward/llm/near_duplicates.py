@@ -13,14 +13,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sward.llm.common import Memo, space_words, text_bytes
+from sward.llm.common import Memo, chunks, space_words, text_bytes
 from sward.session import materialize
 
 REGISTERS = 256
 MANTISSA = 10
 BANDS = 42
-#: Groupings of registers into bands for small sets; a band that is empty in both sets says nothing, another grouping may.
-GROUPINGS = 3
+#: Shingles of two linked sets that share a band, on average, and how often registers are grouped anew so that sets of
+#: up to so many shingles agree in some band: (size, groupings).
+PER_BAND = 6.5
+GROUPINGS = ((24, 3), (60, 8), (120, 6), (1 << 62, 3))
+#: Members from which a bucket with several components is not searched by pairs of members.
+CROWDED = 24
 #: Estimates this far below the limit are five standard errors away from it.
 SLACK = 0.15
 #: Stands for a null key: after all others.
@@ -77,46 +81,49 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used > 0, (same / np.maximum(used, 1) - chance) / (1 - chance), 0.0)
 
 
-def levels(n: int, limit: float) -> list[tuple[int, int]]:
-    """(level, bands) of a set of ``n`` shingles.
+def levels(n: int, limit: float) -> list[tuple[int, int, int]]:
+    """(level, bands, groupings) of a set of ``n`` shingles.
 
     Sets of level k have sizes from s^k to s^(k+1) with s = 1/limit, so linked sets are on the same level or neighbours;
-    each set joins its own level and the next. A level of sets below N has more bands than two linked sets of it can have
-    different shingles, up to ``BANDS``; all larger sets share one level.
+    each set joins its own level and the next. On the levels of the smallest sets there are more bands than two linked
+    sets can have different shingles, so some band agrees for certain. On the next levels a band holds ``PER_BAND``
+    shingles or so, and several groupings make a miss at the limit itself rarer than 1 in 20,000. All sets with ``BANDS``
+    bands share one level.
     """
     step = np.log(1 / limit)
     own = int(np.floor(np.log(n) / step + 1e-9))
     found = []
     for level in (own, own + 1):
         largest = int(np.ceil(np.exp((level + 1) * step) - 1e-9)) - 1
-        bands = int(2 * largest * (1 - limit) / (1 + limit) + 1e-9) + 1
-        found.append((level, bands) if bands < BANDS else (-1, BANDS))
+        certain = int(2 * largest * (1 - limit) / (1 + limit) + 1e-9) + 1
+        bands = certain if largest <= GROUPINGS[0][0] else max(4, round(largest / PER_BAND))
+        groupings = next(g for size, g in GROUPINGS if largest <= size)
+        found.append((level, bands, groupings if bands > 1 else 1) if bands < BANDS else (-1, BANDS, 1))
     return list(dict.fromkeys(found))
 
 
-_ORDERS = [np.arange(REGISTERS)] + [np.random.default_rng(g).permutation(REGISTERS) for g in range(1, GROUPINGS)]
+_MOST = max(g for _, g in GROUPINGS)
+_ORDERS = [np.arange(REGISTERS)] + [np.random.default_rng(g).permutation(REGISTERS) for g in range(1, _MOST)]
 
 
 def band_keys(registers: np.ndarray, sizes: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every non-empty band of the signatures."""
     values = mixed(registers.astype(np.uint64) * np.uint64(REGISTERS) + np.arange(REGISTERS, dtype=np.uint64)) * (registers > 0)
-    jobs: dict[tuple[int, int], list[int]] = {}
+    jobs: dict[tuple[int, int, int], list[int]] = {}
     for row, n in enumerate(sizes):
         for job in levels(int(n), limit):
             jobs.setdefault(job, []).append(row)
     rows, keys = [], []
-    for (level, bands), members in jobs.items():
+    for (level, bands, groupings), members in jobs.items():
         members = np.array(members)
-        for g, order in enumerate(_ORDERS if bands < BANDS else _ORDERS[:1]):
+        for g, order in enumerate(_ORDERS[:groupings]):
             own = values[members][:, order]
             for band in range(bands):
                 total = own[:, band::bands].sum(axis=1, dtype=np.uint64)
                 some = total != 0
-                name = mixed(np.array([((level + 2) * GROUPINGS + g) * (BANDS + 1) + band], np.uint64))
+                name = mixed(np.array([((level + 2) * _MOST + g) * (BANDS + 1) + band], np.uint64))
                 rows.append(members[some])
                 keys.append(mixed(total[some] + name))
-            if bands == 1:
-                break
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(rows), np.concatenate(keys).view(np.int64)
@@ -197,6 +204,37 @@ def _sets(k: int):
     return run
 
 
+def _members(batches):
+    for batch in batches:
+        sets = [np.frombuffer(s, np.int64) for s in batch.column("set").to_pylist()]
+        sizes = [len(s) for s in sets]
+        for a, b in chunks(batch.column("set").to_pylist(), 1 << 22):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column("doc").to_numpy()[a:b], sizes[a:b])), pa.array(np.repeat(sizes[a:b], sizes[a:b])), pa.array(np.concatenate(sets[a:b]))],
+                names=["doc", "n", "shingle"],
+            )
+
+
+def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
+    """Pairs (a, b) of different roots that can be linked, among the sets of ``member`` (doc, root).
+
+    Two linked sets share one of their rarest shingles: of n shingles in order of frequency, the first n - limit n + 1.
+    What very many sets have in common (a passage, common words) comes last in that order and makes no pairs.
+    """
+    items = materialize(sets.join(member.select("doc"), "doc").mapInArrow(_members, "doc long, n long, shingle long"), "nd_items")
+    often = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ranked = items.join(often, "shingle").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    # shingles of one set only come first in the order; they are not in the list, which is that much shorter
+    head = F.size("s") + 1 - F.expr(f"(n * {round(limit * 100)} + 99) div 100")
+    heads = ranked.where(head > 0).select("doc", "n", F.explode(F.slice("s", F.lit(1), head.cast("int"))).alias("s")).select("doc", "n", "s.shingle")
+    heads = materialize(heads.join(member, "doc"), "nd_heads")
+    mixed_ = heads.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    heads = materialize(heads.join(mixed_, "shingle", "left_semi"), "nd_heads")
+    one, two = (heads.select("shingle", F.col("doc").alias(d), F.col("root").alias(r), F.col("n").alias(m)) for d, r, m in (("a", "ra", "na"), ("b", "rb", "nb")))
+    fits = f"a < b AND ra <> rb AND 100 * least(na, nb) >= {round(limit * 100)} * greatest(na, nb)"
+    return one.join(two, "shingle").where(fits).select("a", "b")
+
+
 def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     one = table.select(F.col("doc").alias("a"), F.col(value).alias("sa"))
     two = table.select(F.col("doc").alias("b"), F.col(value).alias("sb"))
@@ -231,9 +269,10 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
     and ``kept`` (the row has that key).
 
     Two sets are linked if 100 times their intersection is at least 100 ``limit`` times their union. Equal sets are one
-    class and are never compared. Then, in every band bucket, members are compared with a hub, twice with different hubs;
-    last, in buckets that still hold several components, members of different components. So pairs within a group that is
-    connected already are never made, and none that could connect two groups is left out.
+    class and are never compared. Then, in every band bucket, members are compared with a hub, then with two other hubs;
+    last, in buckets that still hold several components, members of different components; the members of crowded ones by
+    their rarest shingles. So pairs within a group that is connected already are never made, and no pair of bucket members
+    that could connect two groups is left out.
 
     Null, empty and blank texts have no shingles and are linked with nothing; repeated rows share a component; of rows
     with one key and different texts each has the component of its own text; a null key comes after all others; an empty
@@ -269,10 +308,13 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
     links = links.unionByName(confirmed(apart.select(F.col("hub").alias("a"), F.col("doc").alias("b"))))
     roots = materialize(components(links), "nd_roots")
     member = materialize(rooted(near.select("key", "doc"), roots, "doc", "root"), "nd_member")
-    split = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialize(member.join(split, "key", "left_semi"), "nd_open")
-    one, two = (open_.select("key", F.col("doc").alias(d), F.col("root").alias(r)) for d, r in (("a", "ra"), ("b", "rb")))
+    split = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
+    open_ = materialize(member.join(split, "key"), "nd_open")
+    few = open_.where(F.col("c") < CROWDED)
+    one, two = (few.select("key", F.col("doc").alias(d), F.col("root").alias(r)) for d, r in (("a", "ra"), ("b", "rb")))
     last = confirmed(one.join(two, "key").where("a < b AND ra <> rb").select("a", "b"))
+    crowded = materialize(open_.where(F.col("c") >= CROWDED).select("doc", "root").distinct(), "nd_crowded")
+    last = last.unionByName(confirmed(sharing_rare(sets, crowded, limit)))
     roots = materialize(components(links.unionByName(last)), "nd_roots")
     tied = materialize(rooted(classes.select("doc", *mark, "first_key"), roots, "doc", "root"), "nd_tied")
     smallest = materialize(tied.groupBy("root").agg(F.min("first_key").alias("component")), "nd_smallest")
