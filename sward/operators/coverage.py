@@ -83,9 +83,10 @@ def fixed_locations(
     year: str = "YEAR",
     lat: str = "LATITUDE",
     lon: str = "LONGITUDE",
-    cutoff: float = LOCATION_CUTOFF,
+    cutoff: float | None = LOCATION_CUTOFF,
 ) -> DataFrame:
-    """Studies whose mean, largest and smallest coordinates all vary little between years."""
+    """Studies whose mean, largest and smallest coordinates all vary little between years; every study for ``cutoff=None``,
+    with a spread of NULL where it has one year."""
     per_year = df.groupBy(year, study).agg(
         *[
             fn(c).alias(f"{name}_{tag}")
@@ -95,6 +96,8 @@ def fixed_locations(
     )
     cols = [c for c in per_year.columns if c not in (year, study)]
     sds = per_year.groupBy(study).agg(*[F.stddev_samp(c).alias(f"sd_{c}") for c in cols])
+    if cutoff is None:
+        return sds
     keep = F.lit(True)
     for c in cols:
         keep = keep & (F.col(f"sd_{c}") < cutoff)

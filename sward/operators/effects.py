@@ -86,9 +86,13 @@ def pct_diff_wide(
 
 def _baseline_species(live: DataFrame, *extra) -> DataFrame:
     """Species of a plot's baseline in plots surveyed afterwards, with years present and length, from one grouping."""
-    species = live.groupBy("site_code", "plot", "Taxon").agg(
+    # presence is averaged over the rows (subplots) of a survey before it is summed over years
+    surveys = live.groupBy("site_code", "plot", "Taxon", "year_trt").agg(
+        F.max("rel_cover").alias("rel_cover"), F.avg((F.col("rel_cover") > 0).cast("int")).alias("_present")
+    )
+    species = surveys.groupBy("site_code", "plot", "Taxon").agg(
         F.max(F.when(F.col("year_trt") == 0, F.col("rel_cover"))).alias("pretrt_cover"),
-        F.sum(((F.col("year_trt") > 0) & (F.col("rel_cover") > 0)).cast("int")).alias("years_present"),
+        F.coalesce(F.sum(F.when(F.col("year_trt") > 0, F.col("_present"))), F.lit(0.0)).alias("years_present"),
         *extra,
     )
     return (
@@ -103,7 +107,8 @@ def _baseline_species(live: DataFrame, *extra) -> DataFrame:
 def years_absent(live: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """Fraction of treatment years a baseline species is absent from its plot, with its baseline cover.
 
-    One row per (site, plot, species) present at the baseline in a plot that was surveyed afterwards.
+    One row per (site, plot, species) present at the baseline in a plot that was surveyed afterwards. Several rows of one
+    survey (subplots) count by the share of them that have the species.
     """
     out = _baseline_species(live)
     return out.join(metrics, ["site_code", "Taxon"]) if metrics is not None else out
@@ -193,12 +198,14 @@ def absent_vs_present_control(live: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def losses_by_group(
-    live: DataFrame, metrics: DataFrame, max_time: int = 11, length: int | None = None
+    live: DataFrame, metrics: DataFrame, max_time: int | None = None, length: int | None = None
 ) -> DataFrame:
-    """Species lost and kept per site, year, treatment and dominance group; optionally only sites of one length."""
+    """Species lost and kept per site, year, treatment and dominance group; optionally only surveys before treatment year
+    ``max_time`` and only sites of one length."""
+    early = F.lit(True) if max_time is None else F.col("year_trt") < max_time
     out = (
         treatment_presence(live, metrics)
-        .where(F.col("di_group").isNotNull() & (F.col("year_trt") < max_time))
+        .where(F.col("di_group").isNotNull() & early)
         .groupBy("site_code", "year_trt", "trt", "di_group")
         .agg(
             F.sum((F.col("pa") == 0).cast("int")).alias("n_loss"),

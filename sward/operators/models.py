@@ -1,7 +1,7 @@
 """Trend and loss models as distributed aggregations.
 
-Straight lines, fixed-effect trends and quadratics come from sums per group. Logistic curves per group take a fixed
-number of Newton rounds, each one grouping of five sums over rows compacted to distinct covariate values. Effects that
+Straight lines, fixed-effect trends and quadratics come from sums per group. Logistic curves per group take Newton
+rounds until they settle, each one grouping of five sums over rows compacted to distinct covariate values. Effects that
 vary between studies are pooled in two stages (inverse variance, random effects by the method of moments): this is an
 approximation to a mixed model, not its likelihood.
 """
@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.functions.semantics import safe_div
 from sward.operators.order import attach
-from sward.session import checkpoint
+from sward.session import checkpoint, settle
 
 
 def ols_by(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
@@ -91,16 +93,24 @@ def site_slopes(df: DataFrame, y: str, t: str, entity: str) -> DataFrame:
 
 
 def quad_by(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
-    """y = c0 + c1 x + c2 x^2 per group from moments; NULL with fewer than three distinct x."""
-    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
-    m = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*by).agg(
+    """y = c0 + c1 x + c2 x^2 per group; NULL with fewer than three distinct x.
+
+    x is centred and scaled within its group before moments are formed, and the coefficients are turned back, so neither
+    the origin nor the unit of x matters."""
+    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = rows.where("_x IS NOT NULL AND _y IS NOT NULL")
+    spread = F.coalesce(F.nullif(F.stddev_pop("_x"), F.lit(0.0)), F.lit(1.0))
+    centre = settle(rows.groupBy(*by).agg(F.avg("_x").alias("_m"), spread.alias("_s")), "centres")
+    z = attach(rows, centre, by).withColumn("_z", (F.col("_x") - F.col("_m")) / F.col("_s"))
+    zc, yc = F.col("_z"), F.col("_y")
+    m = z.groupBy(*by, "_m", "_s").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.pow(xc, F.lit(k))).alias(f"s{k}") for k in (1, 2, 3, 4)],
-        F.sum(yc).alias("t0"),
-        F.sum(xc * yc).alias("t1"),
-        F.sum(xc * xc * yc).alias("t2"),
+        *[F.avg(F.pow(zc, F.lit(k))).alias(f"s{k}") for k in (1, 2, 3, 4)],
+        F.avg(yc).alias("t0"),
+        F.avg(zc * yc).alias("t1"),
+        F.avg(zc * zc * yc).alias("t2"),
     )
-    n, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+    one, s1, s2, s3, s4, t0, t1, t2 = (F.lit(1.0), *(F.col(c) for c in ("s1", "s2", "s3", "s4", "t0", "t1", "t2")))
 
     def det(a, b, c):
         return (
@@ -109,14 +119,22 @@ def quad_by(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
             + a[2] * (b[0] * c[1] - b[1] * c[0])
         )
 
-    d = det((n, s1, s2), (s1, s2, s3), (s2, s3, s4))
-    ok = F.when(F.abs(d) > 1e-9, d)
-    return m.select(
+    d = det((one, s1, s2), (s1, s2, s3), (s2, s3, s4))
+    ok = F.when(F.abs(d) > 1e-9, d)  # of a scaled x, so free of units
+    g = m.select(
         *by,
         "n",
-        safe_div(det((t0, s1, s2), (t1, s2, s3), (t2, s3, s4)), ok).alias("c0"),
-        safe_div(det((n, t0, s2), (s1, t1, s3), (s2, t2, s4)), ok).alias("c1"),
-        safe_div(det((n, s1, t0), (s1, s2, t1), (s2, s3, t2)), ok).alias("c2"),
+        "_m",
+        safe_div(det((t0, s1, s2), (t1, s2, s3), (t2, s3, s4)), ok).alias("_g0"),
+        (safe_div(det((one, t0, s2), (s1, t1, s3), (s2, t2, s4)), ok) / F.col("_s")).alias("_g1"),
+        (safe_div(det((one, s1, t0), (s1, s2, t1), (s2, s3, t2)), ok) / (F.col("_s") * F.col("_s"))).alias("_g2"),
+    )
+    return g.select(
+        *by,
+        "n",
+        (F.col("_g0") - F.col("_g1") * F.col("_m") + F.col("_g2") * F.col("_m") * F.col("_m")).alias("c0"),
+        (F.col("_g1") - 2 * F.col("_g2") * F.col("_m")).alias("c1"),
+        F.col("_g2").alias("c2"),
     )
 
 
@@ -126,13 +144,14 @@ def _softplus(e: Column) -> Column:
 
 
 def logit_by(
-    df: DataFrame, by: Sequence[str], y: str, x: str, w: str | None = None, rounds: int = 12, every: int = 3
+    df: DataFrame, by: Sequence[str], y: str, x: str, w: str | None = None, rounds: int = 100, every: int = 3
 ) -> DataFrame:
     """Logistic curve per group (one curve for ``by=[]``), optionally weighted.
 
-    y is 0/1, or a fraction of ``w`` trials. Rows are first compacted to distinct (group, x). Groups with one outcome
-    only have no finite estimate and are left out; groups whose estimate does not settle (outcomes separated by x) come
-    out with ``converged`` false. Returns coefficients, covariance, log-likelihood and n.
+    y is 0/1, or a fraction of ``w`` trials. Rows are first compacted to distinct (group, x). Every group
+    comes out with a ``status``: ``fitted``; ``one outcome``, ``one x`` or ``separated`` (a cut of x parts the outcomes), which
+    have no finite estimate and NULL coefficients; ``not settled`` after ``rounds`` rounds, a guard against endless ones.
+    Returns coefficients, covariance, log-likelihood and n.
     """
     by = list(by)
     weight = F.col(w) if w else F.lit(1.0)
@@ -141,24 +160,40 @@ def logit_by(
         F.sum(weight.cast("double")).alias("_m"), F.sum(weight * F.col(y)).cast("double").alias("_s")
     )
     compact = checkpoint(compact)
-    start = compact.groupBy(*by).agg(F.sum("_m").alias("_tm"), F.sum("_s").alias("_ts"))
-    start = start.where((F.col("_ts") > 0) & (F.col("_ts") < F.col("_tm")))
-    coef = start.select(
+    ends = [
+        f(F.when(c, F.col("_x"))).alias(n + tag)
+        for c, tag in ((F.col("_s") > 0, "1"), (F.col("_s") < F.col("_m"), "0"))
+        for f, n in ((F.min, "_lo"), (F.max, "_hi"))
+    ]
+    whole = [F.sum("_m").alias("_n"), F.sum("_s").alias("_ts"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+    status = (
+        F.when(F.col("_lo1").isNull() | F.col("_lo0").isNull(), "one outcome")
+        .when(F.col("_lo") == F.col("_hi"), "one x")
+        .when((F.col("_hi1") <= F.col("_lo0")) | (F.col("_hi0") <= F.col("_lo1")), "separated")
+        .otherwise("fitted")
+    )
+    start = settle(compact.groupBy(*by).agg(*whole, *ends).select(*by, "_n", "_ts", status.alias("status")), "logit_groups")
+    coef = start.where("status = 'fitted'").select(
         *by,
-        F.ln(F.col("_ts") / (F.col("_tm") - F.col("_ts"))).alias("b0"),
+        F.ln(F.col("_ts") / (F.col("_n") - F.col("_ts"))).alias("b0"),
         F.lit(0.0).alias("b1"),
         F.lit(1.0).alias("_step"),
     )
     for i in range(rounds):
         coef = _newton(compact, coef, by)
         if (i + 1) % every == 0 and i + 1 < rounds:
-            coef = checkpoint(coef)
+            coef = settle(coef, "logit_round")  # its size is known then, so a small one reaches the rows without a shuffle
             if (coef.agg(F.max("_step")).first()[0] or 0.0) < 1e-10:  # one number: every group has settled
                 break
-    return _finish(compact, coef, by)
+    fits = settle(_finish(compact, coef, by).drop("n"), "logit_fits")
+    out = start.join(fits, by, "left") if by else start.join(F.broadcast(fits), how="left")  # without keys one row each
+    out = out.withColumn("converged", F.coalesce("converged", F.lit(False)))
+    found = [F.when(F.col("converged"), F.col(c)).alias(c) for c in ("b0", "b1", "v00", "v01", "v11", "se_b1", "loglik")]
+    settled = F.when((F.col("status") == "fitted") & ~F.col("converged"), "not settled").otherwise(F.col("status"))
+    return out.select(*by, F.col("_n").alias("n"), *found, "converged", settled.alias("status"))
 
 
-def pooled_logit(df: DataFrame, y: str, x: str, w: str | None = None, rounds: int = 12) -> DataFrame:
+def pooled_logit(df: DataFrame, y: str, x: str, w: str | None = None, rounds: int = 100) -> DataFrame:
     """One logistic curve over all rows."""
     return logit_by(df, [], y, x, w, rounds)
 
@@ -182,7 +217,7 @@ def _sums(compact: DataFrame, coef: DataFrame, by: list[str]) -> DataFrame:
 def _newton(compact: DataFrame, coef: DataFrame, by: list[str]) -> DataFrame:
     s = _sums(compact, coef, by)
     det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-    ok = F.when(F.abs(det) > 1e-12, det)
+    ok = F.when(F.abs(det) > 1e-14 * F.col("h00") * F.col("h11"), det)
     d0 = F.coalesce(safe_div(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), ok), F.lit(0.0))
     d1 = F.coalesce(safe_div(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), ok), F.lit(0.0))
     step = F.when(ok.isNull(), F.lit(1.0)).otherwise(F.greatest(F.abs(d0), F.abs(d1)))
@@ -192,7 +227,7 @@ def _newton(compact: DataFrame, coef: DataFrame, by: list[str]) -> DataFrame:
 def _finish(compact: DataFrame, coef: DataFrame, by: list[str]) -> DataFrame:
     s = _sums(compact, coef, by)
     det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-    ok = F.when(F.abs(det) > 1e-12, det)
+    ok = F.when(F.abs(det) > 1e-14 * F.col("h00") * F.col("h11"), det)
     return s.select(
         *by,
         "n",
@@ -340,7 +375,9 @@ def coefficient_table(spark, fit: dict) -> DataFrame:
     def column(get):
         try:
             return [float(v) for v in get()]
-        except Exception:  # raised by the JVM summary when no covariance could be formed
+        except (Py4JJavaError, PySparkException) as e:
+            if not any(w in str(e).lower() for w in ("standard error", "singular", "not available", "unsupported")):
+                raise  # anything but a covariance that could not be formed
             return [None] * len(names)
 
     rows = zip(
@@ -361,8 +398,10 @@ def information_table(spark, fits: dict[str, dict]) -> DataFrame:
     for name, fit in fits.items():
         s = fit["summary"]
         k, n, aic = len(fit["terms"]) + 1, s.numInstances, s.aic
-        rows.append((name, k, n, (2 * k - aic) / 2, aic + 2 * k * (k + 1) / (n - k - 1)))
+        rows.append((name, k, n, (2 * k - aic) / 2, aic + 2 * k * (k + 1) / (n - k - 1) if n > k + 1 else math.inf))
     best = min(r[4] for r in rows)
+    if best == math.inf:
+        raise ValueError("every model has as many parameters as rows")
     total = sum(math.exp(-(r[4] - best) / 2) for r in rows)
     return spark.createDataFrame(
         [(*r, r[4] - best, math.exp(-(r[4] - best) / 2) / total) for r in rows],

@@ -45,18 +45,20 @@ def lost_at_end_set(live: DataFrame, trts: Sequence[str] = TRTS) -> DataFrame:
 def lagged_loss_set(live: DataFrame, trts: Sequence[str] = TRTS) -> DataFrame:
     """Species at risk: rank among the present species of a survey, and whether the next survey of the plot misses it.
 
-    Built from presences only. A species of relative rank 0 (the lowest of a survey) is not at risk, as in the completed
+    Built from presences and the list of all surveys of a plot, those without any cover included. Several rows of one
+    species in a survey are averaged first. A species of relative rank 0 (the lowest of a survey) is not at risk, as in the completed
     panel, where rank 0 also stands for absence.
     """
+    once = live.groupBy(*PLOT, "trt", "Taxon", "year_trt").agg(F.avg("rel_cover").alias("rel_cover"))
     ranked = rescaled_rank(
-        live.where(F.col("rel_cover") > 0),
+        next_survey(once).where(F.col("rel_cover") > 0),
         ["site_code", "trt", "plot", "year_trt"],
         "rel_cover",
         zero="skip",
         rel_name="rel_rank_lag",
     )
     seen_next = F.lead("year_trt").over(Window.partitionBy(*PLOT, "Taxon").orderBy("year_trt"))
-    rows = next_survey(ranked.withColumn("_seen_next", seen_next))
+    rows = ranked.withColumn("_seen_next", seen_next)
     return (
         rows.where(
             F.col("trt").isin(*trts) & F.col("next_survey").isNotNull() & (F.col("rel_rank_lag") != 0)

@@ -21,7 +21,7 @@ def relative_cover(spark, sf):
 
 def relative_cover_all(spark, sf):
     """Totals over dead and live records next to the live ones; a dead record has no live share."""
-    rows = shared.cover(spark, sf).repartition("site_code", "plot")
+    rows = shared.cover(spark, sf)
     out = op.relative_abundance(rows, PLOT_YEAR, "max_cover", total="total_all", rel="rel_all")
     out = op.relative_abundance(
         out, PLOT_YEAR, "max_cover", live=F.col("live") == 1, total="total_live", rel="rel_live"

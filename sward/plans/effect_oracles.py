@@ -118,14 +118,14 @@ def _absent_diff(src: str, value: str) -> str:
         f"SELECT site_code, trt, '{g}' AS \"grouping\", {g} AS grp, {value} AS v FROM ({src}) JOIN groups USING (site_code, Taxon)"
         for g in ("di_group", "abund_group")
     )
-    return f'SELECT * FROM ({_pct(parts, "site_code, " + chr(34) + "grouping" + chr(34) + ", grp", "v", "1")}) WHERE diff < 1000'
+    return _pct(parts, 'site_code, "grouping", grp', "v", "1")
 
 
 _A = {"after_t0": _AFTER}
 _S = {**_A, "site_pa": _SITE_PA}
 ORACLES = {
     "years_absent": sql(
-        f"{_SP} trt:s length:i years_present:i yrs_absent:d pretrt_cover:d abund_metric:d",
+        f"{_SP} trt:s length:i years_present:d yrs_absent:d pretrt_cover:d abund_metric:d",
         "SELECT * FROM yabs JOIN metrics USING (site_code, Taxon)",
         **_A,
         yabs=_YEARS_ABSENT,
@@ -177,7 +177,7 @@ ORACLES = {
         loss_rows_g=_LOSSES,
     ),
     "final_year_abundance": sql(
-        f"{_SP} trt:s years_present:i pretrt_cover:d final_cover:d",
+        f"{_SP} trt:s years_present:d pretrt_cover:d final_cover:d",
         """SELECT y.*, p.rel_cover AS final_cover FROM yabs y JOIN panel p
              ON p.site_code = y.site_code AND p.plot = y.plot AND p.Taxon = y.Taxon AND p.year_trt = 6""",
         **_A,

@@ -127,13 +127,13 @@ def _absent_by_group(rows, spark, sf, value):
 def absent_years_diff_by_group(spark, sf):
     rows = op.years_absent(shared.enriched(spark, sf)).where(F.col("length") > 2)
     rows = rows.withColumn("prop_absent", F.col("yrs_absent") / F.col("length"))
-    return _absent_by_group(rows, spark, sf, "prop_absent").where(F.col("diff") < 1000)
+    return _absent_by_group(rows, spark, sf, "prop_absent")
 
 
 def absence_run_diff_by_group(spark, sf):
     after = shared.panel(spark, sf).where(F.col("year_trt") > 0)
     runs = op.absence_runs(after, ["site_code", "plot", "trt", "Taxon"], "year_trt", longest=True)
-    return _absent_by_group(runs, spark, sf, "cons_abs_max").where(F.col("diff") < 1000)
+    return _absent_by_group(runs, spark, sf, "cons_abs_max")
 
 
 def plot_year_biomass_richness(spark, sf):

@@ -57,14 +57,23 @@ def logit(src: str, by: str, y: str, x: str, w: str = "1.0", rounds: int = 12, t
                    CASE WHEN det IS NULL THEN 1.0 ELSE greatest(abs(d0), abs(d1)) END AS step
             FROM (SELECT *, coalesce((h11 * g0 - h01 * g1) / det, 0) AS d0, coalesce((h00 * g1 - h01 * g0) / det, 0) AS d1
                   FROM (SELECT *, {ok} AS det FROM ({_SUMS.format(k=k, c=c, prev=f"m_it{tag}{i}")})))"""
-    out[f"fit{tag}"] = f"""
-        SELECT *, h11 / det AS v00, -h01 / det AS v01, h00 / det AS v11, sqrt(h00 / det) AS se_b1,
-               step < 1e-6 AND det IS NOT NULL AS converged
+    found = ", ".join(f"CASE WHEN conv THEN {c} END AS {c}" for c in ("b0", "b1", "v00", "v01", "v11", "se_b1", "loglik"))
+    out[f"m_last{tag}"] = f"""
+        SELECT * EXCLUDE (n), h11 / det AS v00, -h01 / det AS v01, h00 / det AS v11, sqrt(h00 / det) AS se_b1,
+               step < 1e-6 AND det IS NOT NULL AS ok
         FROM (SELECT *, {ok} AS det FROM ({_SUMS.format(k=k, c=c, prev=f"m_it{tag}{rounds}")}))"""
+    out[f"fit{tag}"] = f"""
+        SELECT {k}, n, {found}, conv AS converged, CASE WHEN st = 'fitted' AND NOT conv THEN 'not settled' ELSE st END AS status
+        FROM (SELECT *, st = 'fitted' AND coalesce(ok, false) AS conv FROM (
+                SELECT {k}, sum(m) AS n,
+                       CASE WHEN sum(s) = 0 OR sum(s) = sum(m) THEN 'one outcome' WHEN min(x) = max(x) THEN 'one x'
+                            WHEN max(x) FILTER (s > 0) <= min(x) FILTER (s < m)
+                              OR max(x) FILTER (s < m) <= min(x) FILTER (s > 0) THEN 'separated' ELSE 'fitted' END AS st
+                FROM {c} GROUP BY {k}) LEFT JOIN m_last{tag} USING ({k}))"""
     return out
 
 
-_FIT_COLS = "n:d b0:d b1:d v00:d v01:d v11:d se_b1:d loglik:d converged:b"
+_FIT_COLS = "n:d b0:d b1:d v00:d v01:d v11:d se_b1:d loglik:d converged:b status:s"
 
 
 def _pool(src: str) -> str:
@@ -171,7 +180,7 @@ ORACLES = {
     "logit_by_site": sql(f"site_code:s {_FIT_COLS}", "SELECT * FROM fit", **_SITE),
     "logit_by_study": sql(
         f"STUDY_ID:i MEASURE:s {_FIT_COLS}",
-        "SELECT * FROM fit WHERE converged",
+        "SELECT * FROM fit",
         sl=_SLOSS,
         **logit("SELECT * FROM sl", "STUDY_ID, MEASURE", "absent_at_some_point", "REL_RANK_TIMEPOINT"),
     ),

@@ -94,11 +94,10 @@ def logit_by_site(spark, sf):
 
 
 def logit_by_study(spark, sf):
-    """Absence at some point against first-year rank, per study and measure, where the curve has a finite estimate."""
-    fits = op.logit_by(
+    """Absence at some point against first-year rank, per study and measure."""
+    return op.logit_by(
         _series_losses(spark, sf), ["STUDY_ID", "MEASURE"], "absent_at_some_point", "REL_RANK_TIMEPOINT"
     )
-    return fits.where("converged")
 
 
 def pooled_logit(spark, sf):
@@ -220,7 +219,7 @@ def pair_rank_loss(spark, sf):
 
 def location_spread(spark, sf):
     """Spread of the locations of every study, kept or not."""
-    return op.fixed_locations(roles.series_locations(spark, sf), cutoff=1e9)
+    return op.fixed_locations(roles.series_locations(spark, sf), cutoff=None)
 
 
 QUERIES = {

@@ -27,20 +27,22 @@ _MODULES = [
 ]
 
 
-LARGE = 1e6  # from here on a sum of doubles no longer carries six exact decimals
+DIGITS = 9  # significant digits of a double
+TIES_UP = 1 + 1e-12  # so that an exact tie (cents over 64) does not hang on the last bit of a sum
+SMALLEST = 12  # and the last decimal place at most: what is left below comes from the order of summation
 
 
-def presented(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Output form: doubles rounded (to half the digits from a million up), all integers of one width. Both apply to the
-    final projection only.
-
-    1e-9 is added before rounding, so that exact ties at the last place do not hang on the last bit of a sum."""
+def presented(df: DataFrame) -> DataFrame:
+    """Output form: doubles rounded to the same number of significant digits whatever their size, all integers of one
+    width. Both apply to the final projection only."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            x = c.cast("double") + F.lit(1e-9)
-            c = F.when(F.abs(c) >= LARGE, F.round(x, digits // 2)).otherwise(F.round(x, digits))
+            x = c.cast("double")
+            places = F.least(F.lit(SMALLEST), F.lit(DIGITS - 1) - F.floor(F.log10(F.abs(x))))
+            scale = F.pow(F.lit(10.0), places)
+            c = F.when(x == 0, F.lit(0.0)).when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.rint(x * scale * TIES_UP) / scale + 0.0)
         elif isinstance(f.dataType, T.IntegralType):
             c = c.cast("long")
         cols.append(c.alias(f.name))

@@ -254,9 +254,8 @@ def _needed(text: str, found: list[str]) -> None:
 def sql(cols: str, body: str, **extra: str) -> str:
     """An oracle: the common tables it needs, extra ones of its own, and typed output columns.
 
-    ``cols``: space-separated ``name:type`` with s text, i integer, d number rounded to 6 places (3 from a million up), b
-    boolean. Numbers are rounded after adding 1e-9, as in the Spark output, so that an exact tie (a count of cents over 64) rounds the same
-    way whichever side of it the last bit of a sum falls. Extra tables named ``m_...`` are evaluated once.
+    ``cols``: space-separated ``name:type`` with s text, i integer, d number rounded to 9 significant digits, with 12 decimal places at most as in
+    the Spark output, b boolean. Extra tables named ``m_...`` are evaluated once.
     """
     found: list[str] = []
     for text in [*extra.values(), body]:
@@ -274,8 +273,9 @@ def sql(cols: str, body: str, **extra: str) -> str:
             out.append(f"CAST({q} AS BIGINT) AS {q}")
         elif kind == "d":
             x = f"CAST({q} AS DOUBLE)"
-            r = f"CASE WHEN abs({x}) >= 1e6 THEN round({x} + 1e-9, 3) ELSE round({x} + 1e-9, 6) END"
-            out.append(f"CASE WHEN {r} = 0 THEN 0.0 ELSE {r} END AS {q}")
+            scale = f"pow(10.0, least(12, 8 - floor(log10(abs({x})))))"
+            whole = f"CASE WHEN {x} = 0 THEN 0.0 WHEN isnan({x}) OR isinf({x}) THEN {x} ELSE round_even({x} * {scale} * (1 + 1e-12), 0) / {scale} + 0.0 END"
+            out.append(f"{whole} AS {q}")
         elif kind == "s":
             out.append(f"CAST({q} AS VARCHAR) AS {q}")
         else:

@@ -358,3 +358,18 @@ def test_schemas_parse():
 
     for name in ("COVER_DDL", "PLOT_YEAR_DDL", "BIOMASS_DDL", "SERIES_DDL", "SERIES_META_DDL"):
         assert len(StructType.fromDDL(getattr(schemas, name)).fields) > 2
+
+
+def test_losses_see_surveys_without_cover(rows):
+    data = [("s", "p", "N", t, 0, c) for t, c in (("a", 0.5), ("b", 0.3), ("c", 0.2))]
+    data += [("s", "p", "N", t, 1, 0.0) for t in "abc"] + [("s", "p", "N", "a", 2, 1.0), ("s", "p", "N", "a", 2, 1.0)]
+    live = rows("site_code string, plot string, trt string, Taxon string, year_trt int, rel_cover double", data)
+    got = {(r.Taxon, r.year_trt): r.lost for r in op.lagged_loss_set(live, ["N"]).collect()}
+    assert got == {("a", 1): 1, ("b", 1): 1}
+
+
+def test_years_absent_averages_subplots(rows):
+    data = [("s", "p", "N", "a", y, 0.5) for y in (0, 1, 1, 2, 2)] + [("s", "p", "N", "b", y, c) for y, c in ((0, 0.5), (1, 0.0), (1, 0.2), (2, 0.1))]
+    live = rows("site_code string, plot string, trt string, Taxon string, year_trt int, rel_cover double", data)
+    got = {r.Taxon: (r.years_present, r.yrs_absent) for r in op.years_absent(live).collect()}
+    assert got == {"a": (2.0, 0.0), "b": (1.5, 0.25)}
