@@ -25,7 +25,7 @@ END = 10  # the byte of the end mark; no word has it
 #: Most frequent words whose counts every task holds; all others are joined by key.
 FREQUENT = 1 << 18
 #: Contexts with nodes of their own, the most frequent of all depths; elsewhere the next shorter context answers.
-CONTEXTS = 1 << 16
+CONTEXTS = 3 << 14
 
 
 def symbols(text: bytes | None) -> np.ndarray:
@@ -118,7 +118,8 @@ class ContextTree:
 
 
 def build_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
-    """Weigh the contexts. ``levels``: for depths from 0, sorted contexts and their counts of 256 bytes.
+    """Weigh the contexts. ``levels``: for depths from 0, sorted contexts and their counts of 256 bytes; the counts are
+    given up on the way, as memory is the driver's.
 
     Bottom up, a node's weighted probability is the mean of its own KT probability and the product of its children's;
     contexts that have no node of their own form one child together. Top down, the share of a node's own estimate follows,
@@ -136,11 +137,14 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
             np.add.at(below, above[d + 1], lower)
             below += _by_rows(lambda c: kt_log(*node_counts(c)), rest)
             both = np.logaddexp(own, below) - np.float32(np.log(2))
-            shares[d] = np.exp(own - np.float32(np.log(2)) - both)
+            shares[d] = np.exp(own - np.float32(np.log(2)) - both).astype(np.float16)
             lower = both
+            del rest, below, both, own
         else:
-            shares[d] = np.ones_like(own)
+            shares[d] = np.ones(own.shape, np.float16)
             lower = own
+            del own
+    del lower
     logs, passed = [], None
     for d, (_, counts) in enumerate(levels):
         def estimate(c):
@@ -157,7 +161,9 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
             spent, left = spent_above + gone * kt_above, left_above - gone
             mixed = np.where(np.isnan(kt), mixed_above, spent + left * kt)
             kt = np.where(np.isnan(kt), mixed_above, kt)
-        passed = (mixed, spent, left, kt)
+            del mixed_above, spent_above, left_above, kt_above, gone
+        passed = (mixed, spent, left, kt) if d + 1 < len(levels) else None
+        levels[d] = (levels[d][0], None)  # the counts have served
         logs.append(_by_rows(lambda p: _byte_logs(np.clip(p.astype(float), 1e-9, 1 - 1e-9)), mixed))
     first = np.cumsum([0] + [len(c) for c, _ in levels])
     one = levels[1][0] if len(levels) > 1 else np.empty(0, np.int64)
@@ -240,6 +246,7 @@ def train(docs: DataFrame) -> LanguageModel:
     chosen = materialize(totals.orderBy(F.desc("total"), "depth", "context").limit(CONTEXTS).select("depth", "context"), "lm_contexts")
     kept = grams.join(F.broadcast(chosen), ["depth", "context"]).select("depth", "context", "byte", "n").toArrow()
     depth, context, byte, n = (kept.column(c).to_numpy() for c in ("depth", "context", "byte", "n"))
+    del kept
     levels = []
     for d in range(DEPTH + 1):
         own = depth == d
