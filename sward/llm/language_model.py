@@ -232,6 +232,18 @@ class LanguageModel:
     distinct: int
 
 
+def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest counts, ``most`` at most: all from the lowest step of counts (64 to a doubling) that
+    leaves no more than that. Only the sizes of the steps come to the driver."""
+    step = F.floor(64 * F.log2(count)).cast("int")
+    found, cut = 0, None
+    for at, n in sorted(rows.groupBy(step).count().collect(), reverse=True):
+        if found + n > most:
+            break
+        found, cut = found + n, at
+    return rows.where(step >= cut) if cut is not None else rows.limit(0)
+
+
 def train(docs: DataFrame) -> LanguageModel:
     """Count words and contexts of all ``docs`` (null texts have only their end) and weigh the tree."""
     partial = docs.select(text_bytes().alias("_text")).mapInArrow(_gather, "word binary, gram long, n long")
@@ -242,8 +254,8 @@ def train(docs: DataFrame) -> LanguageModel:
     grams = counted.where(F.col("gram").isNotNull()).select(F.explode(depths).alias("c"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
     grams = materialize(grams.groupBy("c.depth", "c.context", "byte").agg(F.sum("n").alias("n")), "lm_grams")
     totals = grams.groupBy("depth", "context").agg(F.sum("n").alias("total"))
-    # a shorter context comes at least as often and wins ties, so the chosen ones have all their shorter ones with them
-    chosen = materialize(totals.orderBy(F.desc("total"), "depth", "context").limit(CONTEXTS).select("depth", "context"), "lm_contexts")
+    # a shorter context comes at least as often, so the chosen ones have all their shorter ones with them
+    chosen = materialize(most_frequent(materialize(totals, "lm_totals"), "total", CONTEXTS).select("depth", "context"), "lm_contexts")
     kept = grams.join(F.broadcast(chosen), ["depth", "context"]).select("depth", "context", "byte", "n").toArrow()
     depth, context, byte, n = (kept.column(c).to_numpy() for c in ("depth", "context", "byte", "n"))
     del kept
@@ -267,13 +279,14 @@ def score(docs: DataFrame, model: LanguageModel, key: str = "doc_id", others: di
     """
     spark = docs.sparkSession
     n, v = model.tokens, model.distinct
-    frequent = {bytes(r["word"]): r["n"] for r in model.counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+    top = most_frequent(model.counts, "n", FREQUENT).toArrow()  # FREQUENT rows at most
+    frequent = dict(zip(top.column("word").to_pylist(), np.log10(top.column("n").to_numpy() + 1.0).tolist(), strict=True))
     least = float(np.log10(n + v + 1))
     held = spark.sparkContext.broadcast((model.tree, frequent))
+    del top, frequent
 
     def run(batches):
-        tree, known = held.value
-        logs = {w: float(np.log10(c + 1)) for w, c in known.items()}
+        tree, logs = held.value
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             score, size, tokens, found, base, rest = [], [], [], [], [], []
