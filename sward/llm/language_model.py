@@ -218,7 +218,7 @@ def _gather(batches):
             parts.append(np.unique(gram_keys(texts[a:b]), return_counts=True))
             if len(parts) > 12:
                 parts = [summed(parts)]
-            if len(words) > 500_000:
+            if len(words) > 250_000:
                 yield batch_of(words, none, none)
                 words = Counter()
     yield batch_of(words, *summed(parts))
@@ -263,7 +263,7 @@ def train(docs: DataFrame) -> LanguageModel:
     for d in range(DEPTH + 1):
         own = depth == d
         names, at = np.unique(context[own], return_inverse=True)
-        counts = np.zeros((max(len(names), d == 0), 256), np.float32)
+        counts = np.zeros((max(len(names), int(d == 0)), 256), np.float32)
         counts[at, byte[own]] = n[own]
         levels.append((names if len(names) or d else np.zeros(1, np.int64), counts))
     return LanguageModel(build_tree(levels), words, int(total["n"] or 0), int(total["v"]))
@@ -289,31 +289,36 @@ def score(docs: DataFrame, model: LanguageModel, key: str = "doc_id", others: di
         tree, logs = held.value
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            score, size, tokens, found, base, rest = [], [], [], [], [], []
             for a, b in chunks(texts):
-                score += tree.scores(texts[a:b]).tolist()
-            for t in texts:
-                words = space_words(t)
-                words.append(b"\n")
-                got = [x for x in map(logs.get, words) if x is not None]
-                tokens.append(len(words))
-                found.append(len(got))
-                base.append(sum(got) - least * len(words))
-                size.append(sum(map(len, words)) + len(words) - 1)
-                rest.append(list(Counter(w for w in words if w not in logs).items()) if len(got) < len(words) else [])
-            pairs = pa.array([[{"word": w, "tf": c} for w, c in r] for r in rest], pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in keep],
-                    pa.array(tokens, pa.int64()),
-                    pa.array(found, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(score, pa.float64()),
-                    pa.array(size, pa.int64()),
-                    pairs,
-                ],
-                names=[*keep, "n_tokens", "_found", "_base", "score", "_size", "_rest"],
-            )
+                yield scored(tree, logs, batch.slice(a, b - a), texts[a:b])
+
+    def scored(tree, logs, batch, texts):
+        tokens, found, base, size, ends, rare, often = [], [], [], [], [0], [], []
+        for t in texts:
+            words = space_words(t)
+            words.append(b"\n")
+            got = [x for x in map(logs.get, words) if x is not None]
+            tokens.append(len(words))
+            found.append(len(got))
+            base.append(sum(got) - least * len(words))
+            size.append(sum(map(len, words)) + len(words) - 1)
+            rest = Counter(w for w in words if w not in logs) if len(got) < len(words) else {}
+            rare += rest.keys()
+            often += rest.values()
+            ends.append(len(rare))
+        pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(often, pa.int64())], names=["word", "tf"])
+        return pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(c) for c in keep],
+                pa.array(tokens, pa.int64()),
+                pa.array(found, pa.int64()),
+                pa.array(base, pa.float64()),
+                pa.array(tree.scores(texts)),
+                pa.array(size, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+            ],
+            names=[*keep, "n_tokens", "_found", "_base", "score", "_size", "_rest"],
+        )
 
     others = others or {}
     keep = [key, *others]
