@@ -25,7 +25,7 @@ END = 10  # the byte of the end mark; no word has it
 #: Most frequent words whose counts every task holds; all others are joined by key.
 FREQUENT = 1 << 18
 #: Contexts with nodes of their own, the most frequent of all depths; elsewhere the next shorter context answers.
-CONTEXTS = 3 << 14
+CONTEXTS = 1 << 15
 
 
 def symbols(text: bytes | None) -> np.ndarray:
