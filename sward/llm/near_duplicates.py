@@ -25,8 +25,8 @@ PER_BAND = 6.5
 GROUPINGS = ((24, 3), (60, 8), (120, 6), (1 << 62, 3))
 #: Members from which a bucket with several components is not searched by pairs of members.
 CROWDED = 24
-#: Estimates this far below the limit are five standard errors away from it.
-SLACK = 0.15
+#: Hubs that the members of a bucket are compared with before the rest of a bucket is searched.
+HUBS = 6
 #: Stands for a null key: after all others.
 NO_KEY = (1 << 63) - 1
 
@@ -81,6 +81,15 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used > 0, (same / np.maximum(used, 1) - chance) / (1 - chance), 0.0)
 
 
+def slack(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """How far below the limit the estimate of a linked pair can lie: five standard errors, 0.08 at least. The registers in
+    use are drawn without replacement from the union, whose size their number tells."""
+    used = np.minimum(((a > 0) | (b > 0)).sum(axis=1), REGISTERS - 0.5)
+    union = -REGISTERS * np.log(1 - used / REGISTERS)
+    error = limit * (1 - limit) / np.maximum(used, 1) * (1 - np.minimum(used / np.maximum(union, 1), 1))
+    return np.maximum(0.08, 5 * np.sqrt(error))
+
+
 def levels(n: int, limit: float) -> list[tuple[int, int, int]]:
     """(level, bands, groupings) of a set of ``n`` shingles.
 
@@ -169,7 +178,34 @@ def _likely(limit: float):
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array(estimate(a, b) >= limit - SLACK))
+            yield batch.select(["a", "b"]).filter(pa.array(estimate(a, b) >= limit - slack(a, b, limit)))
+
+    return run
+
+
+def brief(shingles: np.ndarray) -> bytes:
+    """The low bits of the shingles: enough to count at least as many common ones as there are, in a part of the space."""
+    return shingles.astype(np.uint16 if len(shingles) <= 512 else np.uint32).tobytes()
+
+
+def _possible(limit: float):
+    """Keep the pairs whose brief sets have enough in common; those of linked sets always have."""
+    top = round(limit * 100)
+
+    def low(data: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(data, np.uint16 if n <= 512 else np.uint32)
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                m, n = x["n"], y["n"]
+                x, y = low(x["low"], m), low(y["low"], n)
+                if x.dtype != y.dtype:
+                    x, y = x.astype(np.uint16), y.astype(np.uint16)
+                both = min(int(np.isin(x, y).sum()), m, n)
+                keep.append(100 * both >= top * (m + n - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -189,17 +225,21 @@ def _linked(limit: float):
     return run
 
 
+_LOW = pa.struct([("n", pa.int64()), ("low", pa.binary())])
+
+
 def _sets(k: int):
     def run(batches):
         memo = word_hashes()
         for batch in batches:
-            ids, sets = [], []
+            ids, sets, lows = [], [], []
             for c, h1, h2, text in zip(*[batch.column(x).to_pylist() for x in ("doc", "h1", "h2", "_text")], strict=True):
                 s = shingle_set(text, k, memo)
                 if _marks(s) == (h1, h2):  # not another text under the same key
                     ids.append(c)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc", "set"])
+                    lows.append({"n": len(s), "low": brief(s)})
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(lows, _LOW)], names=["doc", "set", "brief"])
 
     return run
 
@@ -221,7 +261,7 @@ def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
     Two linked sets share one of their rarest shingles: of n shingles in order of frequency, the first n - limit n + 1.
     What very many sets have in common (a passage, common words) comes last in that order and makes no pairs.
     """
-    items = materialize(sets.join(member.select("doc"), "doc").mapInArrow(_members, "doc long, n long, shingle long"), "nd_items")
+    items = materialize(sets.select("doc", "set").join(member.select("doc"), "doc").mapInArrow(_members, "doc long, n long, shingle long"), "nd_items")
     often = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ranked = items.join(often, "shingle").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
     # shingles of one set only come first in the order; they are not in the list, which is that much shorter
@@ -269,7 +309,7 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
     and ``kept`` (the row has that key).
 
     Two sets are linked if 100 times their intersection is at least 100 ``limit`` times their union. Equal sets are one
-    class and are never compared. Then, in every band bucket, members are compared with a hub, then with two other hubs;
+    class and are never compared. Then, in every band bucket, members are compared with a hub, then with some more hubs;
     last, in buckets that still hold several components, members of different components; the members of crowded ones by
     their rarest shingles. So pairs within a group that is connected already are never made, and no pair of bucket members
     that could connect two groups is left out.
@@ -285,16 +325,18 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
     classes = signed.where(F.col("n") > 0).groupBy(*mark).agg(F.min("key").alias("first_key"), F.first("sig").alias("sig"))
     classes = materialize(classes.withColumn("doc", F.monotonically_increasing_id()), "nd_classes")  # doc: number of the class
     keys = materialize(classes.select("doc", "n", "sig").mapInArrow(_banded(limit), "doc long, key long"), "nd_keys")
-    spread = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("o"), F.col("doc").alias("d"))).alias(f"h{s}") for s in range(3)]
-    hubs = [F.col(f"h{s}.d").alias(f"h{s}") for s in range(3)]
+    spread = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("o"), F.col("doc").alias("d"))).alias(f"h{s}") for s in range(HUBS)]
+    hubs = [F.col(f"h{s}.d").alias(f"h{s}") for s in range(HUBS)]
     shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *spread).where("c > 1").select("key", *hubs), "nd_shared")
     near = materialize(keys.join(shared, "key"), "nd_near")  # only buckets with several members
     needed = classes.join(near.select("doc").distinct(), "doc", "left_semi").select("doc", "h1", "h2", F.col("first_key").alias("key"))
     texts = source.join(materialize(needed, "nd_needed"), "key").select("doc", "h1", "h2", "_text")
-    sets = materialize(texts.mapInArrow(_sets(k), "doc long, set binary").groupBy("doc").agg(F.first("set").alias("set")), "nd_sets")
+    sets = texts.mapInArrow(_sets(k), "doc long, set binary, brief struct<n long, low binary>")
+    sets = materialize(sets.groupBy("doc").agg(F.first("set").alias("set"), F.first("brief").alias("brief")), "nd_sets")
 
     def confirmed(pairs):
         likely = materialize(_with_both(pairs.distinct(), classes, "sig").mapInArrow(_likely(limit), "a long, b long"), "nd_likely")
+        likely = materialize(_with_both(likely, sets, "brief").mapInArrow(_possible(limit), "a long, b long"), "nd_possible")
         return materialize(_with_both(likely, sets, "set").mapInArrow(_linked(limit), "a long, b long"), "nd_links")
 
     def rooted(rows, roots, doc, name):
@@ -303,7 +345,7 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
 
     links = confirmed(near.where("doc <> h0").select(F.col("h0").alias("a"), F.col("doc").alias("b")))
     roots = materialize(components(links), "nd_roots")
-    other = near.select("doc", F.explode(F.array("h1", "h2")).alias("hub")).where("doc <> hub").distinct()
+    other = near.select("doc", F.explode(F.array(*[f"h{s}" for s in range(1, HUBS)])).alias("hub")).where("doc <> hub").distinct()
     apart = rooted(rooted(other, roots, "doc", "r1"), roots, "hub", "r2").where("r1 <> r2")
     links = links.unionByName(confirmed(apart.select(F.col("hub").alias("a"), F.col("doc").alias("b"))))
     roots = materialize(components(links), "nd_roots")
