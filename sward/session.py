@@ -102,6 +102,14 @@ def settle(df: DataFrame, name: str = "small") -> DataFrame:
     return materialize(df, name)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table stored with :func:`materialize` (without buckets) that nothing will read again."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether a stored table has at most ``rows`` rows; reads no more than one row beyond the limit per partition."""
     return df.limit(rows + 1).count() <= rows
