@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sward.llm.common import Memo, chunks, space_words, text_bytes
-from sward.session import materialize
+from sward.session import discard, materialize
 
 REGISTERS = 256
 MANTISSA = 10
@@ -327,8 +327,14 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
     keys = materialize(classes.select("doc", "n", "sig").mapInArrow(_banded(limit), "doc long, key long"), "nd_keys")
     spread = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("o"), F.col("doc").alias("d"))).alias(f"h{s}") for s in range(HUBS)]
     hubs = [F.col(f"h{s}.d").alias(f"h{s}") for s in range(HUBS)]
-    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *spread).where("c > 1").select("key", *hubs), "nd_shared")
-    near = materialize(keys.join(shared, "key"), "nd_near")  # only buckets with several members
+    # buckets with several members first, so that hubs are only looked for among their rows
+    shared = materialize(keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key"), "nd_shared")
+    bucketed = materialize(keys.join(shared, "key", "left_semi"), "nd_bucketed")
+    discard(keys)
+    chosen = materialize(bucketed.groupBy("key").agg(*spread).select("key", *hubs), "nd_hubs")
+    near = materialize(bucketed.join(chosen, "key"), "nd_near")
+    for table in (shared, bucketed, chosen):
+        discard(table)
     needed = classes.join(near.select("doc").distinct(), "doc", "left_semi").select("doc", "h1", "h2", F.col("first_key").alias("key"))
     texts = source.join(materialize(needed, "nd_needed"), "key").select("doc", "h1", "h2", "_text")
     sets = texts.mapInArrow(_sets(k), "doc long, set binary, brief struct<n long, low binary>")
