@@ -6,8 +6,7 @@ from __future__ import annotations
 import math
 
 from sward.plans.effect_oracles import _BEFORE_AFTER, _BIO_DIFF, _EV, _LAGGED
-from sward.plans.series_oracles import _LOC, _SDS
-from sward.plans.sql import sql
+from sward.plans.sql import SPREADS, sql
 
 _CLASS = """
     SELECT site_code, plot, year_trt, coalesce(sum(CASE WHEN di_class = 'Subordinate' AND local_provenance = 'NAT'
@@ -253,10 +252,9 @@ ORACLES = {
         lg=_LAGGED,
     ),
     "location_spread": sql(
-        "STUDY_ID:i " + " ".join(f"{c}:d" for c in _SDS),
+        "STUDY_ID:i " + " ".join(f"{c}:d" for c in SPREADS),
         "SELECT STUDY_ID, "
-        + ", ".join(f"stddev_samp({c[3:]}) AS {c}" for c in _SDS)
+        + ", ".join(f"stddev_samp({c[3:]}) AS {c}" for c in SPREADS)
         + " FROM loc GROUP BY STUDY_ID",
-        loc=_LOC,
     ),
 }

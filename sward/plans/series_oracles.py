@@ -2,20 +2,8 @@
 
 from __future__ import annotations
 
-from sward.plans.sql import sql
+from sward.plans.sql import SPREADS, sql
 
-_LOC = """
-    SELECT s_nationkey AS STUDY_ID, year AS YEAR, avg(s_acctbal / 1000) AS lat_mean, max(s_acctbal / 1000) AS lat_max,
-           min(s_acctbal / 1000) AS lat_min, avg(l_tax * 10) AS lon_mean, max(l_tax * 10) AS lon_max,
-           min(l_tax * 10) AS lon_min
-    FROM raw_rows GROUP BY ALL"""
-_SDS = [f"sd_{a}_{b}" for a in ("lat", "lon") for b in ("mean", "max", "min")]
-_FIXED = (
-    "SELECT * FROM (SELECT STUDY_ID, "
-    + ", ".join(f"stddev_samp({c[3:]}) AS {c}" for c in _SDS)
-    + " FROM loc GROUP BY ALL) WHERE "
-    + " AND ".join(f"{c} < 0.3" for c in _SDS)
-)
 _COV = "f1:i f2:i n_total:d chat:d chat_corrected:d sc:d"
 _G = "PARTITION BY STUDY_ID, MEASURE, GENUS_SPECIES"
 _O = f"{_G} ORDER BY YEAR"
@@ -68,13 +56,11 @@ _DUO_COLS = (
 )
 
 ORACLES = {
-    "fixed_location_studies": sql("STUDY_ID:i " + " ".join(f"{c}:d" for c in _SDS), "SELECT * FROM fixed", loc=_LOC, fixed=_FIXED),
+    "fixed_location_studies": sql("STUDY_ID:i " + " ".join(f"{c}:d" for c in SPREADS), "SELECT * FROM fixed"),
     "fixed_series_totals": sql(
         "STUDY_ID:i YEAR:i abundance:d biomass:d n:i",
         """SELECT STUDY_ID, YEAR, sum(Abundance) AS abundance, sum(Biomass) AS biomass, count(*) AS n FROM series
-           WHERE STUDY_ID IN (SELECT STUDY_ID FROM fixed) GROUP BY ALL""",
-        loc=_LOC,
-        fixed=_FIXED,
+           GROUP BY ALL""",
     ),
     "sample_coverage": sql(f"STUDY_ID:i YEAR:i SAMPLE_DESC:s {_COV}", "SELECT * FROM cov_sample"),
     "incidence_coverage": sql(f"STUDY_ID:i YEAR:i {_COV}", "SELECT * FROM cov_year"),

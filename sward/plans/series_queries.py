@@ -16,9 +16,7 @@ def fixed_location_studies(spark, sf):
 
 def fixed_series_totals(spark, sf):
     """Yearly totals of the studies that stayed at one place."""
-    fixed = op.fixed_locations(roles.series_locations(spark, sf)).select("STUDY_ID")
-    rows = shared.series(spark, sf).join(fixed, "STUDY_ID", "left_semi")
-    return rows.groupBy("STUDY_ID", "YEAR").agg(
+    return shared.series(spark, sf).groupBy("STUDY_ID", "YEAR").agg(
         F.sum("Abundance").alias("abundance"), F.sum("Biomass").alias("biomass"), F.count(F.lit(1)).alias("n")
     )
 

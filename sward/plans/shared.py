@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sward import operators as op
-from sward.session import at_most, bucket_count, cleanup, materialize
+from sward.session import at_most, bucket_count, cleanup, materialize, settle
 from sward.sources import roles
 
 PLOT = ("site_code", "plot")
@@ -80,8 +80,13 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series rows, stored by sample."""
-    return keep(spark, sf_dir, "series", lambda: roles.series(spark, sf_dir), ("STUDY_ID", "YEAR", "SAMPLE_DESC"))
+    """Series rows of the studies that stayed at one place, stored by sample; all later steps start from them."""
+
+    def build():
+        fixed = settle(op.fixed_locations(roles.series_locations(spark, sf_dir)).select("STUDY_ID"), "fixed_studies")
+        return roles.series(spark, sf_dir).join(fixed, "STUDY_ID", "left_semi")
+
+    return keep(spark, sf_dir, "series", build, ("STUDY_ID", "YEAR", "SAMPLE_DESC"))
 
 
 def kept_series(spark: SparkSession, sf_dir: str) -> DataFrame:

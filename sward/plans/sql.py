@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+SPREADS = [f"sd_{a}_{b}" for a in ("lat", "lon") for b in ("mean", "max", "min")]
+
 CTES: dict[str, str] = {
     "raw_rows": """
         SELECT 'S' || CAST(s_nationkey % 5 AS VARCHAR) AS site_code, l_suppkey AS plot,
@@ -71,11 +73,23 @@ CTES: dict[str, str] = {
         SELECT site_code, plot, year_trt, trt, sum(mass) AS live_mass, count(DISTINCT Taxon) AS rich
         FROM cover GROUP BY ALL""",
     # --- series -------------------------------------------------------------------------------------------------
-    "series": """
+    "loc": """
+        SELECT s_nationkey AS STUDY_ID, year AS YEAR, avg(s_acctbal / 1000) AS lat_mean, max(s_acctbal / 1000) AS lat_max,
+               min(s_acctbal / 1000) AS lat_min, avg(l_tax * 10) AS lon_mean, max(l_tax * 10) AS lon_max,
+               min(l_tax * 10) AS lon_min
+        FROM raw_rows GROUP BY ALL""",
+    "fixed": (
+        "SELECT * FROM (SELECT STUDY_ID, "
+        + ", ".join(f"stddev_samp({c[3:]}) AS {c}" for c in SPREADS)
+        + " FROM loc GROUP BY ALL) WHERE "
+        + " AND ".join(f"{c} < 0.3" for c in SPREADS)
+    ),
+    "all_series": """
         SELECT s_nationkey AS STUDY_ID, year AS YEAR, CAST(plot AS VARCHAR) AS SAMPLE_DESC,
                'T' || CAST(tnum AS VARCHAR) AS GENUS_SPECIES, sum(l_quantity) AS Abundance,
                sum(l_extendedprice) AS Biomass
         FROM raw_rows GROUP BY ALL""",
+    "series": "SELECT * FROM all_series WHERE STUDY_ID IN (SELECT STUDY_ID FROM fixed)",
     "meta": """
         SELECT n_nationkey AS STUDY_ID, n_name AS TITLE,
                CASE WHEN n_nationkey % 5 = 1 THEN 'Presence/Absence' WHEN n_nationkey % 5 > 1 THEN 'Count' END
