@@ -48,7 +48,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold("doc_id", 7) == 2
-    return language_model.score(docs, language_model.train(docs.where(~held_out)), others={"held_out": held_out})
+    return language_model.score(docs, language_model.train(docs, ~held_out), others={"held_out": held_out})
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """The training-data operators on small hand-made tables, against plain-Python versions."""
 
+import functools
 import hashlib
 import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from sward.llm import decontaminate, language, language_model, merkle, near_duplicates, packing, pii, quality, shards, toxicity
 from sward.llm.common import Memo, ship
@@ -228,30 +230,90 @@ def test_estimate_is_close():
     assert near == pytest.approx(true, abs=0.12)
 
 
-def test_language_model_against_plain_counts(spark):
+def plain_context_tree(learnt, asked):
+    """log10 of the probabilities of whole texts under context-tree weighting, node by node."""
+    depth = language_model.DEPTH
+    nodes, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+
+    def steps(text):
+        data = [10] * depth + list(language_model.symbols(text).tolist())
+        for i in range(depth, len(data)):
+            context = tuple(data[i - d] for d in range(1, depth + 1))
+            bits = f"{data[i]:08b}"
+            yield [(context, bits[:k], int(bits[k])) for k in range(8)]
+
+    for text in learnt:
+        for decisions in steps(text):
+            for context, seen, bit in decisions:
+                for d in range(depth + 1):
+                    nodes[context[:d], seen][bit] += 1
+                    if d:
+                        children[context[: d - 1], seen].add(context[:d])
+
+    @functools.cache
+    def weight(context, seen):
+        a, b = nodes.get((context, seen), (0, 0))
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        if len(context) == depth:
+            return own, own
+        return own, np.logaddexp(own, sum(weight(c, seen)[1] for c in children[context, seen])) - math.log(2)
+
+    def one(context, seen):
+        spent, left, mixed = 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            a, b = nodes.get((context[:d], seen), (0, 0))
+            if a + b == 0:
+                break
+            kt = (b + 0.5) / (a + b + 1)
+            mixed = spent + left * kt
+            own, both = weight(context[:d], seen)
+            share = math.exp(own - math.log(2) - both) if d < depth else 1
+            spent, left = spent + left * share * kt, left * (1 - share)
+        return mixed
+
+    return [sum(math.log10(one(c, s) if bit else 1 - one(c, s)) for decisions in steps(t) for c, s, bit in decisions) for t in asked]
+
+
+@pytest.mark.parametrize("most", [language_model.GRAMS, 40])
+def test_language_model_against_plain_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(language_model, "GRAMS", most)  # with few pairs at hand, the others come by the join
     rng = random.Random(9)
     texts = [words(rng, rng.randrange(1, 40), 50).title() for _ in range(60)] + EDGE
     docs = docs_of(spark, texts)
-    model = language_model.train(docs.where("doc_id < 50"))
+    model = language_model.train(docs, F.col("doc_id") < 50)
     tokens = [(t or "").lower().split() + ["\n"] for t in texts]
     counts = Counter(w for t in tokens[:50] for w in t)
     n, v = sum(counts.values()), len(counts)
+    expected = plain_context_tree([(t or "").encode() for t in texts[:50]], [(t or "").encode() for t in texts])
     for r in language_model.score(docs, model).collect():
         t = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in counts for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t)) and r.score < 0
-    assert np.allclose((10.0 ** model.tree.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
-    blank = language_model.train(docs.limit(0))
-    assert language_model.score(docs, blank).where("score IS NULL OR isnan(score)").count() == 0
+        assert r.score == pytest.approx(expected[r.doc_id], rel=1e-7)
+    blank = language_model.train(docs, F.lit(False))
+    assert all(r.score == pytest.approx(8 * math.log10(0.5) * len(language_model.symbols((texts[r.doc_id] or "").encode()))) for r in language_model.score(docs, blank).collect())
+    none = docs.limit(0)
+    assert language_model.score(none, language_model.train(none, F.lit(True))).count() == 0
 
 
 def test_one_context_tree_by_hand():
     """With depth 0 alone the tree is the plain KT estimate of each decision."""
-    counts = np.zeros((1, 256), np.float32)
+    counts = np.zeros((1, 256))
     counts[0, 97], counts[0, 98] = 3, 1
-    tree = language_model.build_tree([(np.zeros(1, np.int64), counts)] + [(np.empty(0, np.int64), np.zeros((0, 256), np.float32))] * 5)
+    logs = language_model._byte_logs(np.nan_to_num(language_model.own_estimate(counts), nan=0.5))
     seven_common = (4.5 / 5) ** 6  # 'a' = 0110 0001 and 'b' = 0110 0010 share six decisions
-    assert 10 ** tree.logs[0, 97] == pytest.approx(seven_common * (3.5 / 5) * (3.5 / 4), rel=1e-5)
+    assert 10 ** logs[0, 97] == pytest.approx(seven_common * (3.5 / 5) * (3.5 / 4), rel=1e-5)
+    assert (10**logs).sum() == pytest.approx(1)
+
+
+def test_a_sliced_subtree_is_the_whole_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(97, 101, (4000, 4)) @ (1 << 8 * np.arange(4))) + (7 << 40) + (8 << 32)
+    n = rng.integers(0, 5, len(keys))
+    above = (np.full((1, 256), 0.4), np.full((1, 256), 0.1), np.full((1, 256), 0.7))
+    whole = language_model.subtree_logs(keys, n, *above)
+    monkeypatch.setattr(language_model, "SLICE", 5)
+    assert np.allclose(language_model.subtree_logs(keys, n, *above), whole)
 
 
 def test_bins_hold_no_conflicts(spark):
