@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -223,6 +224,14 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between them."""
+    places = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
+    ends = [0, *[places[b - 1][1] for _, b in spans]]
+    starts = [*[places[a][0] for a, _ in spans], len(text)]
+    return "".join(text[x:y] for x, y in zip(ends, starts, strict=True))
+
+
 def _cut(automaton, text: str, max_length: int, max_coverage: float) -> str | None:
     """The text without its contaminated spans, or null where they cover too much of it. Cutting may join the ends of
     two partial matches, so the rest is searched again until nothing is left."""
@@ -236,10 +245,69 @@ def _cut(automaton, text: str, max_length: int, max_coverage: float) -> str | No
         cut += sum(b - a for a, b in spans)
         if cut > max_coverage * total:
             return None
-        places = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
-        ends = [0, *[places[b - 1][1] for _, b in spans]]
-        starts = [*[places[a][0] for a, _ in spans], len(text)]
-        text = "".join(text[x:y] for x, y in zip(ends, starts, strict=True))
+        text = _without(text, spans)
+
+
+def _marked(automaton):
+    """(_row, _spans) of the rows with marked words."""
+
+    def run(batches):
+        own = automaton.value
+        for batch in batches:
+            rows, spans = [], []
+            for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                found = own.match(word_list(text))[0]
+                if found:
+                    rows.append(row)
+                    spans.append([list(s) for s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["_row", "_spans"])
+
+    return run
+
+
+def _cut_once(max_length: int, max_coverage: float):
+    """One round of :func:`_cut` with the spans of all blocks; ``_changed`` tells whether anything was cut."""
+
+    def run(batches):
+        for batch in batches:
+            texts, totals, cuts, changed = [], [], [], []
+            cols = batch.select(["_now", "_total", "_cut", "_spans"]).to_pydict()
+            for text, total, cut, found in zip(*cols.values(), strict=True):
+                spans = [s for s in _merge([tuple(x) for x in found]) if s[1] - s[0] >= max_length]
+                total = total or len(word_list(text.encode("utf-8", "surrogatepass")))
+                cut += sum(b - a for a, b in spans)
+                texts.append((None if cut > max_coverage * total else _without(text, spans)) if spans else text)
+                totals.append(total)
+                cuts.append(cut)
+                changed.append(bool(spans))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(cuts, pa.int64()), pa.array(changed, pa.bool_())],
+                names=["_row", "_now", "_total", "_cut", "_changed"],
+            )
+
+    return run
+
+
+def _cut_in_blocks(rows: DataFrame, blocks: list, max_length: int, max_coverage: float) -> DataFrame:
+    """(_row, _now): the last text of the rows (_row, text) with passages of any block, null where too much was cut.
+
+    A round collects the spans of all blocks on the same text and cuts once; the rows it changed are searched again by
+    all blocks. So results do not depend on how the items are dealt into blocks.
+    """
+    state = rows.select("_row", F.col("text").alias("_now"), F.lit(0).cast("long").alias("_total"), F.lit(0).cast("long").alias("_cut"))
+    settled = None
+    while True:
+        texts = state.where(F.col("_now").isNotNull()).select("_row", text_bytes("_now").alias("_text"))
+        found = reduce(DataFrame.unionByName, [texts.mapInArrow(_marked(x), "_row long, _spans array<array<int>>") for x in blocks])
+        found = materialize(found.groupBy("_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), "decontaminate_spans")
+        once = state.join(found, "_row").mapInArrow(_cut_once(max_length, max_coverage), "_row long, _now string, _total long, _cut long, _changed boolean")
+        once = materialize(once.where("_changed").drop("_changed"), "decontaminate_cut")
+        # a row cut again later has its last text there
+        settled = once.select("_row", "_now") if settled is None else settled.join(once.select("_row"), "_row", "left_anti").unionByName(once.select("_row", "_now"))
+        if once.isEmpty():
+            return settled
+        settled = materialize(settled, "decontaminate_settled")
+        state = once
 
 
 def decontaminate(
@@ -254,22 +322,26 @@ def decontaminate(
     a document of which they cover more than ``max_coverage`` is removed.
 
     All columns stay, ``n_chars`` is counted again where it exists, null and empty texts and texts without a match are
-    unchanged, repeated rows are treated alike, an empty item table changes nothing.
+    unchanged, repeated rows are treated alike, an empty item table changes nothing. Items of several blocks are cut by
+    the spans of all blocks together; for that the documents are stored once, with a row number.
     """
     names, mark = docs.columns, "_clean_text"
-    out = docs
-    for _, automaton in automata(items, window, block_words):
+    blocks = [automaton for _, automaton in automata(items, window, block_words)]
+    if len(blocks) == 1:
 
         @F.pandas_udf("string")
-        def clean(texts, automaton=automaton):
+        def clean(texts, automaton=blocks[0]):
             own = automaton.value
             return texts.map(lambda t: t if t is None else _cut(own, t, max_length, max_coverage))
 
-        rows = out.withColumn(mark, clean.asNondeterministic()(F.col("text")))
-        rows = rows.where(F.col(mark).isNotNull() | F.col("text").isNull())
-        new = {"text": F.col(mark)} | ({"n_chars": F.length(mark).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-        out = rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])
-    return out
+        rows = docs.withColumn(mark, clean.asNondeterministic()(F.col("text")))
+    else:
+        stored = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate_docs")
+        last = _cut_in_blocks(stored, blocks, max_length, max_coverage).select("_row", "_now", F.lit(True).alias("_changed"))
+        rows = stored.join(last, "_row", "left").withColumn(mark, F.when(F.col("_changed"), F.col("_now")).otherwise(F.col("text")))
+    rows = rows.where(F.col(mark).isNotNull() | F.col("text").isNull())
+    new = {"text": F.col(mark)} | ({"n_chars": F.length(mark).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])
 
 
 ORACLE = r"""

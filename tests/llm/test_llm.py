@@ -71,6 +71,30 @@ def test_passages_are_cut_and_clean_texts_stay(spark):
     assert decontaminate.decontaminate(docs_of(spark, []), bench).count() == 0
 
 
+def test_cuts_do_not_depend_on_the_blocks(spark):
+    rng = random.Random(12)
+    long = [f"p{i}" for i in range(2000)]
+    items = [" ".join(long[i : i + 21]) for i in range(0, 1900, 15)] + ["p7 p8 p9", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = list(EDGE)
+    for _ in range(40):
+        at, n = rng.randrange(1800), rng.randrange(5, 80)
+        texts.append(f"{words(rng, rng.randrange(60))}! {' '.join(long[at : at + n])}. {words(rng, rng.randrange(30))}")
+    inner = long[300:321]
+    texts.append(" ".join(inner[:9] + long[600:621] + inner[9:] + ["end"] * 60))  # whole again once the middle is cut
+    for max_length, max_coverage in ((1, 0.8), (15, 0.5)):
+        one, many = (
+            {r.doc_id: (r.text, r.n_chars) for r in decontaminate.decontaminate(docs_of(spark, texts), bench, max_length=max_length, max_coverage=max_coverage, block_words=b).collect()}
+            for b in (50_000, 400)
+        )
+        assert one == many and 0 < len(one) < len(texts)
+    few = spark.createDataFrame(list(enumerate(items[:4])), "item_id long, text string")
+    rows = docs_of(spark, [*texts, " ".join(long[:40] + ["end"] * 9)])
+    one, many = ({r.doc_id: r.text for r in decontaminate.decontaminate(rows, few, block_words=b).collect()} for b in (50_000, 8))
+    assert one == many
+    assert decontaminate.decontaminate(docs_of(spark, []), bench, block_words=400).count() == 0
+
+
 def test_language_is_learned(spark):
     rng = random.Random(3)
     pool = {"aa": "abcde", "bb": "vwxyz"}
