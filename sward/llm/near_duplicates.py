@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sward.llm.common import Memo, chunks, space_words, text_bytes
@@ -27,6 +27,8 @@ GROUPINGS = ((24, 3), (60, 8), (120, 6), (1 << 62, 3))
 CROWDED = 24
 #: Hubs that the members of a bucket are compared with before the rest of a bucket is searched.
 HUBS = 6
+#: What tells sets apart, and texts under one key.
+SET, ROW = ("n", "h1", "h2"), ("t1", "t2")
 #: Stands for a null key: after all others.
 NO_KEY = (1 << 63) - 1
 
@@ -144,20 +146,23 @@ def _marks(s: np.ndarray) -> tuple[int, int]:
 
 
 def _signed(k: int):
+    """Set size, marks and signature of every text; the other columns stay."""
+
     def run(batches):
         memo = word_hashes()
         for batch in batches:
             sets = [shingle_set(t, k, memo) for t in batch.column("_text").to_pylist()]
             marks = np.array([_marks(s) for s in sets], np.int64).reshape(-1, 2)
+            own = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key"),
+                    *[batch.column(c) for c in own],
                     pa.array(np.array([len(s) for s in sets], np.int64)),
                     pa.array(marks[:, 0]),
                     pa.array(marks[:, 1]),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["key", "n", "h1", "h2", "sig"],
+                names=[*own, "n", "h1", "h2", "sig"],
             )
 
     return run
@@ -304,25 +309,20 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("root")).distinct())
 
 
-def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8) -> DataFrame:
-    """For every row: ``key``, ``n_shingles``, ``component_id`` (the smallest key reachable over links, its own included)
-    and ``kept`` (the row has that key).
+def text_marks() -> list[Column]:
+    """128 bits that stand for a text, by two hashes of different seeds."""
+    return [F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))]
 
-    Two sets are linked if 100 times their intersection is at least 100 ``limit`` times their union. Equal sets are one
-    class and are never compared. Then, in every band bucket, members are compared with a hub, then with some more hubs;
-    last, in buckets that still hold several components, members of different components; the members of crowded ones by
-    their rarest shingles. So pairs within a group that is connected already are never made, and no pair of bucket members
-    that could connect two groups is left out.
 
-    Null, empty and blank texts have no shingles and are linked with nothing; repeated rows share a component; of rows
-    with one key and different texts each has the component of its own text; a null key comes after all others; an empty
-    table gives an empty result; other columns are not read. The key must be an integer.
-    """
+def _grouped(docs: DataFrame, key: str, k: int, limit: float, marks: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, ``marks`` of the text, marks of the set), and for the marks of every set with shingles the first row
+    of its component, by key and then by the marks of the text."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
-    source = docs.select(doc.alias("key"), text_bytes().alias("_text"))
-    signed = materialize(source.mapInArrow(_signed(k), "key long, n long, h1 long, h2 long, sig binary"), "nd_signed")
-    mark = ["n", "h1", "h2"]
-    classes = signed.where(F.col("n") > 0).groupBy(*mark).agg(F.min("key").alias("first_key"), F.first("sig").alias("sig"))
+    source = docs.select(doc.alias("key"), *[c.alias(name) for name, c in zip(ROW, marks, strict=True)], text_bytes().alias("_text"))
+    signed = materialize(source.mapInArrow(_signed(k), "key long, t1 long, t2 long, n long, h1 long, h2 long, sig binary"), "nd_signed")
+    mark = list(SET)
+    first = F.min(F.struct("key", *ROW)).alias("first")
+    classes = signed.where(F.col("n") > 0).groupBy(*mark).agg(first, F.first("sig").alias("sig")).withColumn("first_key", F.col("first.key"))
     classes = materialize(classes.withColumn("doc", F.monotonically_increasing_id()), "nd_classes")  # doc: number of the class
     keys = materialize(classes.select("doc", "n", "sig").mapInArrow(_banded(limit), "doc long, key long"), "nd_keys")
     spread = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("o"), F.col("doc").alias("d"))).alias(f"h{s}") for s in range(HUBS)]
@@ -364,25 +364,53 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
     crowded = materialize(open_.where(F.col("c") >= CROWDED).select("doc", "root").distinct(), "nd_crowded")
     last = last.unionByName(confirmed(sharing_rare(sets, crowded, limit)))
     roots = materialize(components(links.unionByName(last)), "nd_roots")
-    tied = materialize(rooted(classes.select("doc", *mark, "first_key"), roots, "doc", "root"), "nd_tied")
-    smallest = materialize(tied.groupBy("root").agg(F.min("first_key").alias("component")), "nd_smallest")
-    ends = tied.join(smallest, "root").select(*mark, "component")
-    out = signed.select("key", *mark).join(ends, mark, "left")
+    tied = materialize(rooted(classes.select("doc", *mark, "first"), roots, "doc", "root"), "nd_tied")
+    smallest = materialize(tied.groupBy("root").agg(F.min("first").alias("first_row")), "nd_smallest")
+    return signed, tied.select(*mark, "root").join(smallest, "root").select(*mark, "first_row")
+
+
+def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8) -> DataFrame:
+    """For every row: ``key``, ``n_shingles``, ``component_id`` (the smallest key reachable over links, its own included)
+    and ``kept`` (the row has that key).
+
+    Two sets are linked if 100 times their intersection is at least 100 ``limit`` times their union. Equal sets are one
+    class and are never compared. Then, in every band bucket, members are compared with a hub, then with some more hubs;
+    last, in buckets that still hold several components, members of different components; the members of crowded ones by
+    their rarest shingles. So pairs within a group that is connected already are never made, and no pair of bucket members
+    that could connect two groups is left out.
+
+    Null, empty and blank texts have no shingles and are linked with nothing; repeated rows share a component; of rows
+    with one key and different texts each has the component of its own text; a null key comes after all others; an empty
+    table gives an empty result; other columns are not read. The key must be an integer.
+    """
+    signed, ends = _grouped(docs, key, k, limit, [F.lit(0).cast("long")] * 2)
+    out = signed.select("key", *SET).join(ends.select(*SET, F.col("first_row.key").alias("component")), list(SET), "left")
     component = F.coalesce("component", "key")
     shown = [F.nullif(c, F.lit(NO_KEY)).cast(docs.schema[key].dataType) for c in (F.col("key"), component)]
     return out.select(shown[0].alias(key), F.col("n").alias("n_shingles"), shown[1].alias("component_id"), (component == F.col("key")).alias("kept"))
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", k: int = 5, limit: float = 0.8) -> DataFrame:
-    """``docs``, all columns, with one row for each group of near duplicates: that of the smallest key.
+    """``docs``, all columns, with one row for each group of near duplicates: one of the smallest key.
 
-    Texts without words stay. Rows that repeat a kept key and its text come out once; null and empty tables are fine.
+    Rows are told apart by key and text, so of rows with one key (or none) each stays or goes by its own text. Of several
+    near copies under the smallest key, or all without a key, one stays. Texts without words stay. Rows that repeat a kept
+    key and its text come out once; null and empty tables are fine.
     """
-    found = groups(docs, key, k, limit)
-    gone = materialize(found.where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct(), "nd_gone")
-    kept = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    again = materialize(docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("_again")), "nd_again")
+    signed, ends = _grouped(docs, key, k, limit, text_marks())
+    own = ["key", *ROW]
+    lost = signed.select(*own, *SET).join(ends, list(SET)).where(F.struct(*own) != F.col("first_row"))
+    gone = materialize(lost.select(*own).distinct(), "nd_gone")
+    again = materialize(signed.groupBy(*own).count().where("count > 1").select(*own), "nd_again")
+    doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], doc.alias("_key"), *[c.alias(f"_{name}") for name, c in zip(ROW, text_marks(), strict=True)])
+
+    def among(rows, table, how):
+        named = table.select(*[F.col(c).alias(f"_{c}") for c in own])
+        return rows.join(named, [f"_{c}" for c in own], how)
+
+    kept = among(marked, gone, "left_anti")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, F.col(key).eqNullSafe(F.col("_again")), "left_anti")
-    return once.unionByName(kept.join(again, F.col(key).eqNullSafe(F.col("_again")), "left_semi").dropDuplicates([key, "text"]))
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates([key, "text"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -243,6 +243,23 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4] and kept.columns == docs.columns
 
 
+
+def test_copies_go_by_row_not_by_key(spark):
+    rng = random.Random(21)
+    base = [words(rng, 30, 10_000) for _ in range(8)]
+    near = [f"{base[5]} z{i}" for i in range(4)]
+    rows = [(3, base[0]), (None, base[0]), (None, base[1]), (None, base[2]), (None, base[2]), (None, None), (None, "")]
+    rows += [(9, base[3]), (7, base[3]), (9, base[4]), (9, f"{base[4]} z")]
+    rows += [*[(11, t) for t in near], *[(None, f"{base[6]} z{i}") for i in range(4)]]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), 0.5, "x") for k, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in near_duplicates.without_copies(docs).collect())
+    assert max(got.values()) == 1 and near_duplicates.without_copies(docs).columns == docs.columns
+    assert {(3, base[0]), (None, base[1]), (None, base[2]), (None, None), (None, ""), (7, base[3])} <= set(got)
+    assert (None, base[0]) not in got and (9, base[3]) not in got
+    assert [sum(k == key and (t or "").startswith(b) for k, t in got) for key, b in ((9, base[4]), (11, base[5]), (None, base[6]))] == [1, 1, 1]
+    assert len(got) == 9
+
+
 def test_estimate_is_close():
     memo = near_duplicates.word_hashes()
     rng = random.Random(8)
