@@ -28,7 +28,14 @@ _NOT_DIGIT = {c: None for c in range(128) if not 48 <= c <= 57}
 
 #: Strings that look like identifiers but need not pass a base pattern: the slots that patterns can fill.
 _NUMERIC = re.compile(r"\+?\(?[0-9][0-9().\x20-]{4,}[0-9]")
-_SOLID = re.compile(r"[0-9](?:[ -]?[0-9])++\Z")
+_SOLID = re.compile(r"[0-9](?:[ .-]?[0-9])++\Z")
+_QUAD = re.compile(r"[0-9]{1,3}(?:[ .-]{1,3}[0-9]{1,3}){3}\Z|[0-9]+(?:\.+[0-9]+){3,}\Z")
+#: Where runs are split, from the widest separator on.
+_PIECES = [re.compile(p) for p in (r"[^ ]+", r"[^ -]+", r"[^ .-]+")]
+_PARTS = re.compile(r"[^\s,;|/<>]+")
+_EDGE = ",;:|/<>()[]{}\"'"
+#: Digits of the longest identifier.
+_LONGEST = 19
 _WORD_BEFORE = re.compile(r"[^\W\d_]+(?=[\W\d_]*\Z)")
 _WORD_AFTER = re.compile(r"[\W\d_]*([^\W\d_]+)")
 _REACH = 40
@@ -88,23 +95,96 @@ def _union(spans: Iterable[Span]) -> list[Span]:
     return out
 
 
+def _beside(a: int, b: int, taken: list[Span], starts: list[int]) -> Iterator[Span]:
+    """The parts of (a, b) that touch none of the ``taken`` spans."""
+    k = max(0, bisect_left(starts, a) - 1)
+    while a < b and k < len(taken) and taken[k][0] < b:
+        if taken[k][1] > a:
+            if taken[k][0] > a:
+                yield a, taken[k][0]
+            a = taken[k][1]
+        k += 1
+    if a < b:
+        yield a, b
+
+
 def candidates(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[str, int, int, bool]]:
-    """(kind, start, end, seed): the base entities, and other identifier-like strings that touch none of them."""
+    """(kind, start, end, seed): the base entities, and other identifier-like strings that touch none of them.
+
+    What stands beside a base entity and what merged runs are made of are candidates of their own, of every kind they
+    resemble; the context decides.
+    """
     taken = _union(s for spans in base.values() for s in spans)
     starts = [a for a, _ in taken]
     for kind, spans in base.items():
         for a, b in spans:
             yield kind, a, b, True
-    others = [(a, b, "email") for a, b in _at_words(text)] if "@" in text else []
-    others += [(m.start(), m.end(), "") for m in _NUMERIC.finditer(text)]
-    for a, b, kind in others:
-        k = bisect_left(starts, b)
-        if k and taken[k - 1][1] > a:
-            continue
-        if not kind:
-            kind = _numeric_kind(text, a, b)
-        if kind:
-            yield kind, a, b, False
+    for word in _at_words(text) if "@" in text else ():
+        for a, b in _beside(*word, taken, starts):
+            for c, d in [(a, b)] if (a, b) == word and text.count("@", a, b) == 1 else [m.span() for m in _PARTS.finditer(text, a, b)]:
+                while c < d and text[c] in _EDGE:
+                    c += 1
+                while c < d and text[d - 1] in _EDGE:
+                    d -= 1
+                if "@" in text[c + 1 : d - 1]:
+                    yield "email", c, d, False
+    for m in _NUMERIC.finditer(text):
+        for gap in _beside(*m.span(), taken, starts):
+            a, b = _trimmed(text, *gap)
+            if a < b:
+                for kind in ("ip", "card", "phone"):
+                    for c, d in _of_kind(text, a, b, kind):
+                        yield kind, c, d, False
+
+
+def _trimmed(text: str, a: int, b: int) -> Span:
+    """A run from its first digit, with the signs that open it, to its last; pieces that go on as words are left out."""
+    if a and text[a - 1].isalnum() and text[a].isdigit():
+        while a < b and text[a] not in " -":
+            a += 1
+    if b < len(text) and text[b].isalnum() and text[b - 1].isdigit():
+        while a < b and text[b - 1] not in " -":
+            b -= 1
+    while b > a and not text[b - 1].isdigit():
+        b -= 1
+    while a < b and not (text[a].isdigit() or text[a] in "+(" and (text[a + 1].isdigit() or text[a : a + 2] == "+(")):
+        a += 1
+    return a, b
+
+
+def _of_kind(text: str, a: int, b: int, kind: str, level: int = 0) -> Iterator[Span]:
+    """Strings within a run that resemble the kind: the whole run, or else the best sequences of its pieces that do not
+    overlap (such as pass the base pattern first, then the longest, then the first), and the same within other pieces."""
+    if _resembles(text[a:b], kind):
+        yield a, b
+        return
+    if level == len(_PIECES):
+        return
+    pieces = [m.span() for m in _PIECES[level].finditer(text, a, b) if any(map(str.isdigit, m[0]))]
+    found = []
+    if len(pieces) > 1:
+        sizes = [len(text[x:y].translate(_NOT_DIGIT)) for x, y in pieces]
+        for i, (x, _) in enumerate(pieces):
+            digits, j = 0, i
+            while j < len(pieces) and digits + sizes[j] <= _LONGEST:
+                digits += sizes[j]
+                y = pieces[j][1]
+                c, d = _trimmed(text, x, y)
+                if c < d and _resembles(text[c:d], kind):
+                    found.append((not _passes(text[c:d], kind), i - j, i, j, c, d))
+                j += 1
+    free = [True] * len(pieces)
+    for _, _, i, j, c, d in sorted(found):
+        if all(free[i : j + 1]):
+            free[i : j + 1] = [False] * (j + 1 - i)
+            yield c, d
+    for k, (x, y) in enumerate(pieces):
+        if free[k]:
+            yield from _of_kind(text, *_trimmed(text, x, y), kind, level + 1)
+
+
+def _passes(s: str, kind: str) -> bool:
+    return (0, len(s)) in base_spans(s)[kind]
 
 
 def _at_words(text: str) -> Iterator[Span]:
@@ -124,17 +204,14 @@ def _at_words(text: str) -> Iterator[Span]:
         at = text.find("@", stop)
 
 
-def _numeric_kind(text: str, a: int, b: int) -> str:
-    """The kind that a numeric string resembles, or nothing. A string that goes on as a word is none of them."""
-    if a and (text[a - 1].isalnum() or text[a - 1] == ".") or b < len(text) and text[b].isalnum():
-        return ""
-    s = text[a:b]
+def _resembles(s: str, kind: str) -> bool:
+    """Whether a numeric string has the shape of the kind; a string can have that of several."""
     digits = len(s.translate(_NOT_DIGIT))
-    if s.count(".") >= 3 and " " not in s:
-        return "ip"
-    if _SOLID.match(s) and digits >= 13:
-        return "card" if digits <= 19 else ""
-    return "phone" if 7 <= digits <= 15 and (s[0] in "+(" or "-" in s or "(" in s) else ""
+    if kind == "ip":
+        return bool(_QUAD.match(s))
+    if kind == "card":
+        return 12 <= digits <= _LONGEST and bool(_SOLID.match(s))
+    return 7 <= digits <= 15 and "+" not in s[1:]
 
 
 def contexts(text: str, a: int, b: int) -> tuple[str, str]:

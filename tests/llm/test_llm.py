@@ -177,6 +177,28 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.extract(docs_of(spark, [])).count() == 0
 
 
+def test_merged_identifiers_are_candidates(spark):
+    def others(text):
+        return {(k, text[a:b]) for k, a, b, seed in pii.candidates(text, pii.base_spans(text)) if not seed}
+
+    cards = ["7536784127813050 4845168114407329", "2353820953013749 4550997810720808"]  # documents 46 and 1262 of sf0.1
+    for pair in cards:
+        assert {("card", c) for c in pair.split()} == others(f"w {pair} w")
+    assert {("card", c) for c in cards[0].split()} == others(f"w {cards[0].replace(' ', '-')} w")
+    assert {("card", "4111 1111 1111 1111"), ("card", "5500 0000 0000 0004")} <= others("w 4111 1111 1111 1111 5500 0000 0000 0004 w")
+    for phone, ip in (("+1 (826) 555-4081", "190.137.223.204"), ("+1 (843) 555-7672", "170.106.47.218")):  # 1377 and 7052
+        assert others(f"w {phone} {ip} w") == {("phone", phone)} and others(f"w {ip} {phone} w") == set()
+    assert ("phone", "8265554081") in others("w 8265554081 w") and ("phone", "826.555.4081") in others("w 826.555.4081 w")
+    assert ("phone", "826 555 4081") in others("w 826 555 4081 w") and ("ip", "300.1.2.300") in others("w 300.1.2.300 w")
+    assert ("email", "bob@localhost") in others("w bob@localhost,ann@x.com w") and ("phone", "8265554081") in others("w 8265554081 12th w")
+
+    seeds = [f"charge card {n} expires soon" for n in range(4000000000000000, 4000000000000400) if pii.base_spans(f" {n} ")["card"]][:20]
+    seeds += [f"please dial +1 555 010 {i:04d} right now" for i in range(20)]
+    texts = [*seeds, f"charge card {cards[0]} expires soon", "please dial +1 (826) 555-4081 190.137.223.204 right now", "please dial 8265554081 right now"]
+    found = {r.doc_id: r.spans for r in pii.digest(pii.extract(docs_of(spark, texts))).collect()}
+    assert found[40] == "card:12:28,card:29:45" and found[41] == "ip:30:45,phone:12:29" and found[42] == "phone:12:22"
+
+
 def test_slots_move_only_to_the_new_shard(spark, tmp_path):
     own = shards.initial_map(7, 512)
     more = shards.grown_map(own)
