@@ -22,7 +22,11 @@ BANDS = 42
 #: Shingles of two linked sets that share a band, on average, and how often registers are grouped anew so that sets of
 #: up to so many shingles agree in some band: (size, groupings).
 PER_BAND = 6.5
-GROUPINGS = ((24, 3), (60, 8), (120, 6), (1 << 62, 3))
+GROUPINGS = ((5, 8), (24, 3), (60, 8), (120, 6), (1 << 62, 3))
+#: Sets of up to so many shingles have more bands than two linked ones can have different shingles.
+CERTAIN = 24
+#: Registers in use by two sets up to which their estimate says too little to leave a pair out.
+FEW = 30
 #: Members from which a bucket with several components is not searched by pairs of members.
 CROWDED = 24
 #: Hubs that the members of a bucket are compared with before the rest of a bucket is searched.
@@ -107,7 +111,7 @@ def levels(n: int, limit: float) -> list[tuple[int, int, int]]:
     for level in (own, own + 1):
         largest = int(np.ceil(np.exp((level + 1) * step) - 1e-9)) - 1
         certain = int(2 * largest * (1 - limit) / (1 + limit) + 1e-9) + 1
-        bands = certain if largest <= GROUPINGS[0][0] else max(4, round(largest / PER_BAND))
+        bands = certain if largest <= CERTAIN else max(4, round(largest / PER_BAND))
         groupings = next(g for size, g in GROUPINGS if largest <= size)
         found.append((level, bands, groupings if bands > 1 else 1) if bands < BANDS else (-1, BANDS, 1))
     return list(dict.fromkeys(found))
@@ -183,7 +187,8 @@ def _likely(limit: float):
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array(estimate(a, b) >= limit - slack(a, b, limit)))
+            few = ((a > 0) | (b > 0)).sum(axis=1) <= FEW
+            yield batch.select(["a", "b"]).filter(pa.array(few | (estimate(a, b) >= limit - slack(a, b, limit))))
 
     return run
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -237,6 +238,19 @@ def brute_groups(texts, k=2, limit=80):
     return [len(s) for s in sets], root
 
 
+def test_smallest_sets_are_not_missed():
+    rng = np.random.default_rng(31)
+    n = 20_000
+    two = [np.sort(rng.integers(0, 1 << 64, 5, np.uint64)) for _ in range(n)]
+    one = [np.delete(s, rng.integers(5)) for s in two]  # four of five shingles: at the limit itself
+    a, b = (np.array([near_duplicates.signature(s) for s in own]) for own in (one, two))
+    (ra, ka), (rb, kb) = near_duplicates.band_keys(a, np.full(n, 4), 0.8), near_duplicates.band_keys(b, np.full(n, 5), 0.8)
+    met = {r for r, _ in set(zip(ra.tolist(), ka.tolist(), strict=True)) & set(zip(rb.tolist(), kb.tolist(), strict=True))}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), *[pa.array([x.tobytes() for x in s]) for s in (a, b)]], names=["a", "b", "sa", "sb"])
+    likely = sum(x.num_rows for x in near_duplicates._likely(0.8)([batch]))
+    assert len(met) == n and likely == n
+
+
 @pytest.mark.parametrize("crowded", [24, 2])
 def test_groups_agree_with_brute_force(spark, monkeypatch, crowded):
     monkeypatch.setattr(near_duplicates, "CROWDED", crowded)
