@@ -321,9 +321,14 @@ def _listed(spans: str) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])))
 
 
+def _is_kind(k: int):
+    """A test of a span with one parameter: of two, Spark would fill the second with the place in the array."""
+    return lambda s: s["kind"] == k
+
+
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts and hash of the base spans of :func:`extract`, and the list of all spans."""
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    count = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(key, *count, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
 
 
