@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sward.llm import decontaminate, language, language_model, merkle, near_duplicates, packing, pii, quality, shards, toxicity
+from sward.llm import decontaminate, language, language_model, merkle, near_duplicates, packing, pii, quality, secret_scan, shards, toxicity
 from sward.llm.common import fold, read
 
 SHARDS = 40
@@ -59,6 +59,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edits(read(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find(read(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +82,7 @@ QUERIES = {
         op8_language_model,
         op9_packing,
         op10_fingerprints,
+        op11_secrets,
         pipeline,
     )
 }

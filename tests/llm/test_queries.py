@@ -38,6 +38,19 @@ def test_personal_data_query(spark, sf_dir, texts):
         spans = {k: [m.span() for m in re.finditer(p, texts[r.doc_id]) if good(m[0])] for k, (p, good) in PLAIN.items()}
         base = [f"{k}:{a}:{b}" for k in KINDS for a, b in spans[k]]
         assert [r[f"n_{k}"] for k in KINDS] == [len(spans[k]) for k in KINDS]
-        assert r.base_sha256 == sha(base) and set(base) <= set(r.spans.split(","))  | ({""} if not base else set())
+        assert r.base_sha256 == sha(base) and set(base) <= set(r.spans.split(","))
         some = {k: some[k] + len(spans[k]) for k in KINDS}
     assert all(some.values()) and len(set(some.values())) > 1
+
+
+def test_secrets_query(spark, sf_dir, texts):
+    from test_secret_scan import plain
+
+    rows = QUERIES["op11_secrets"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex")]
+        assert r.base_sha256 == sha([f"{k}:{a}:{b}" for k, a, b in base])
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
+    assert sum(r.n_hex for r in rows) and sum(r.n_assign for r in rows)
