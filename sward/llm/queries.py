@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sward.llm import decontaminate, language, language_model, merkle, near_duplicates, packing, pii, quality, secret_scan, shards, toxicity
+from sward.llm import conversation_repair, decontaminate, language, language_model, merkle, near_duplicates, packing, pii, quality, secret_scan, shards, toxicity
 from sward.llm.common import fold, read
 
 SHARDS = 40
@@ -63,6 +63,10 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(read(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(read(spark, sf_dir, "conversations")), copies="copies")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,8 +87,14 @@ QUERIES = {
         op9_packing,
         op10_fingerprints,
         op11_secrets,
+        op12_conversation_repair,
         pipeline,
     )
 }
 
-ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op6_sharding": shards.ORACLE, "op10_fingerprints": merkle.ORACLE}
+ORACLES = {
+    "op1_decontamination": decontaminate.ORACLE,
+    "op6_sharding": shards.ORACLE,
+    "op10_fingerprints": merkle.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
+}
