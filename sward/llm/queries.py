@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sward.llm import conversation_repair, decontaminate, language, language_model, merkle, near_duplicates, packing, pii, quality, secret_scan, shards, toxicity
+from sward.llm import conversation_repair, decontaminate, language, language_model, merkle, near_duplicates, packing, pii, prefix_trie, quality, secret_scan, shards, toxicity
 from sward.llm.common import fold, read
 
 SHARDS = 40
@@ -67,6 +67,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(read(spark, sf_dir, "conversations")), copies="copies")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +92,7 @@ QUERIES = {
         op10_fingerprints,
         op11_secrets,
         op12_conversation_repair,
+        op13_prefix_trie,
         pipeline,
     )
 }
@@ -97,4 +102,5 @@ ORACLES = {
     "op6_sharding": shards.ORACLE,
     "op10_fingerprints": merkle.ORACLE,
     "op12_conversation_repair": conversation_repair.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
