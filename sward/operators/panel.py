@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sward.functions.semantics import as_col, is_true, na_agg, positive_ln, presence, safe_div
 from sward.operators.order import attach
-from sward.session import at_most, settle
+from sward.session import settle
 
 
 def relative_abundance(
@@ -54,6 +54,31 @@ def group_total(
     return df.withColumn(name, F.coalesce(F.sum(v).over(Window.partitionBy(*part)), F.lit(0.0)))
 
 
+BLOCK = 64
+
+
+def species_blocks(df: DataFrame, group: Sequence[str], species: str, block: int = BLOCK) -> DataFrame:
+    """The species of each group in blocks of about ``block``: (group, ``_block``, ``_blocks``, ``_list``), stored. ``_head``
+    marks one block of each group.
+
+    A species falls into a block by its hash, so blocks of a group, however many species it has, are lists of bounded
+    size that can be looked up apart. A NULL species is a species like any other.
+    """
+    pool = df.select(*group, species).distinct()
+    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
+    pool = pool.withColumn("_blocks", F.ceil(n / F.lit(block)).cast("int"))
+    pool = pool.withColumn("_block", F.pmod(F.xxhash64(species), F.col("_blocks")).cast("int"))
+    lists = pool.groupBy(*group, "_block", "_blocks").agg(F.collect_list(F.struct(species)).alias("_list"))
+    return settle(lists.withColumn("_head", F.lag("_block").over(Window.partitionBy(*group).orderBy("_block")).isNull()), "species_blocks")
+
+
+def _meet(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL keys meet; the keys of ``other`` are left out."""
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    on = [df[k].eqNullSafe(F.col(n)) for k, n in names.items()]
+    return df.join(other.withColumnsRenamed(names), on).drop(*names.values())
+
+
 def complete_panel(
     df: DataFrame,
     group: Sequence[str],
@@ -62,37 +87,46 @@ def complete_panel(
     value: str,
     fill: float = 0.0,
     cluster_by: Sequence[str] | None = None,
-    salts: int = 16,
-    max_broadcast_rows: int = 200_000,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Every survey of a group x every species ever seen in that group, absent species at ``fill``, plus ``pa``.
 
-    Duplicate keys are summed first. Each survey is folded into one row holding the species present in it (bounded by
-    the species of one survey) and meets the species list of its group once, so the completed panel - the large
-    result - is produced by the join itself and never shuffled. The species lists are stored and counted: up to
-    ``max_broadcast_rows`` (group, species) pairs they are broadcast; beyond that, as a group may be hot, surveys carry a
-    salt, the lists are repeated per salt, and one group is joined in ``salts`` parts.
+    Duplicate keys are summed first. The grid is never built row by row: the species present in a survey are folded into
+    one row for each block of about ``block`` species of its group; a row also stands for the blocks up to the next one that
+    has any, and only the last step, inside the scan of those rows, turns blocks into species. The completed panel, the
+    large result, is not shuffled, and looking a species up costs the same in a survey of any size. The same plan holds at
+    every size: the stored lists are broadcast when they are small, as measured, and otherwise joined by (group, block),
+    which spreads the species of a survey and of a hot group over tasks and splits skewed parts at run time.
 
-    ``cluster_by`` (a subset of the keys, e.g. site and plot) places the folded rows so that later windows by any
-    superset of those columns need no further shuffle after the broadcast.
+    NULL species and NULL keys are values like others; a NULL value counts as missing and is filled. Of rows that are stored
+    by a subset of the keys nothing moves. ``cluster_by`` (such a subset, e.g. site and plot) places other rows so that
+    later windows by any superset of those columns need no further shuffle after the broadcast.
     """
     group, unit_time = list(group), list(unit_time)
     if not unit_time:
         raise ValueError("unit_time must name at least one column")
-    pool = settle(df.select(*group, species).distinct(), "species_pool")
-    facts = df.groupBy(*group, *unit_time, species).agg(F.sum(value).alias(value))
-    placed = facts.repartition(*cluster_by) if cluster_by else facts
-    folded = placed.groupBy(*group, *unit_time).agg(
-        F.map_from_entries(F.collect_list(F.struct(species, value))).alias("_present")
+    survey = [*group, *unit_time]
+    lists = species_blocks(df, group, species, block)
+    sizes = lists.where("_head").select(*group, "_blocks")
+    placed = df.select(*survey, species, F.col(value).alias("_value"))
+    placed = placed.repartition(*cluster_by) if cluster_by else placed
+    own = F.pmod(F.xxhash64(species), F.col("_blocks")).cast("int").alias("_own")
+    facts = _meet(placed, sizes, group).groupBy(*survey, species, "_blocks", own).agg(F.sum("_value").alias("_value"))
+    folded = facts.groupBy(*survey, "_blocks", "_own").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col(species).isNotNull(), F.struct(species, "_value")))).alias("_present"),
+        F.max(F.when(F.col(species).isNull(), F.col("_value"))).alias("_unnamed"),
     )
-    if at_most(pool, max_broadcast_rows):
-        out = folded.join(F.broadcast(pool), group)
-    else:
-        salted = pool.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salt = F.pmod(F.xxhash64(*unit_time), F.lit(salts)).cast("int")
-        out = folded.withColumn("_salt", salt).join(salted, [*group, "_salt"])
-    filled = F.coalesce(F.try_element_at("_present", F.col(species)), F.lit(float(fill)))
-    return out.select(*group, *unit_time, species, filled.alias(value)).withColumn("pa", presence(value))
+    within = Window.partitionBy(*survey).orderBy("_own")
+    start = F.when(F.lag("_own").over(within).isNull(), F.lit(0)).otherwise(F.col("_own"))
+    stop = F.coalesce(F.lead("_own").over(within), F.col("_blocks")) - 1
+    spans = folded.select(*survey, "_own", "_present", "_unnamed", F.sequence(start, stop).alias("_span"))
+    blocks = spans.select(*survey, "_own", "_present", "_unnamed", F.explode("_span").alias("_block"))
+    grid = _meet(blocks, lists.drop("_blocks", "_head"), [*group, "_block"])
+    out = grid.select(*survey, (F.col("_own") == F.col("_block")).alias("_here"), "_present", "_unnamed", F.explode("_list").alias("_one"))
+    name = F.col(f"_one.{species}")
+    found = F.when(F.col("_here"), F.when(name.isNull(), F.col("_unnamed")).otherwise(F.try_element_at("_present", name)))
+    filled = F.coalesce(found, F.lit(float(fill)))
+    return out.select(*survey, name.alias(species), filled.alias(value)).withColumn("pa", presence(value))
 
 
 def keep_groups(

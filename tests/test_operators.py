@@ -1,6 +1,7 @@
 """Hand-made fixtures: input and expected output of each operator."""
 
 import math
+import random
 
 import pytest
 from conftest import as_dict
@@ -35,12 +36,30 @@ def test_complete_panel(rows):
 def test_complete_panel_sums_duplicates_and_clusters(rows):
     data = [*panel_rows(), ("A", 1, 0, "a", 10.0)]
     out = op.complete_panel(
-        rows(P, data), ["site_code"], ["plot", "year_trt"], "Taxon", "x", cluster_by=["site_code", "plot"], salts=3
+        rows(P, data), ["site_code"], ["plot", "year_trt"], "Taxon", "x", cluster_by=["site_code", "plot"], block=1
     )
     got = as_dict(out, ["plot", "year_trt", "Taxon"], "x")
     assert len(got) == 9 and got[(1, 0, "a")] == 11.0
 
 
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_complete_panel_keeps_null_species_and_keys(rows, block):
+    rng = random.Random(block)
+    data = [
+        (rng.choice(["A", "B", None]), rng.choice([1, 2, None]), rng.randrange(3), rng.choice([None, *"abcdefgh"]), rng.choice([1.0, 2.5, None]))
+        for _ in range(90)
+    ]
+    want = {}
+    for g, p, y, *_ in data:
+        for other, _, _, t, _ in data:
+            if other == g:
+                x = [r[4] for r in data if r[:4] == (g, p, y, t) and r[4] is not None]
+                want[(g, p, y, t)] = sum(x) if x else 0.0
+    out = op.complete_panel(rows(P, data), ["site_code"], ["plot", "year_trt"], "Taxon", "x", block=block)
+    assert as_dict(out, ["site_code", "plot", "year_trt", "Taxon"], "x") == want
+    assert op.complete_panel(rows(P, []), ["site_code"], ["plot", "year_trt"], "Taxon", "x", block=block).count() == 0
+
+
 def test_baseline(rows):
     df = rows(P, [("A", 1, 0, "a", 0.5), ("A", 1, 1, "a", 0.3), ("A", 1, 1, "b", 0.7)])
     out = op.baseline(df, ["site_code", "plot", "Taxon"], "year_trt", "x")

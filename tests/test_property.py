@@ -130,13 +130,15 @@ def test_quantiles_and_ranks_under_skew(spark):
         assert a[i] == (None if x is None else 1 + sum(v < x for v in groups[g]))
 
 
-def test_completion_with_hot_site_and_few_salts(spark):
+def test_completion_with_hot_site(spark):
     data = [("hot", p, y, "N", f"t{(p + y + k) % 9}", 1.0) for p in range(60) for y in range(3) for k in range(3)]
     data += [("cold", 999, 0, "N", "t1", 1.0)]
     df = spark.createDataFrame(data, DDL)
-    for limit in (0, 1000):  # the salted join, then the broadcast one
-        out = op.complete_panel(
-            df, ["site_code"], ["plot", "year_trt"], "Taxon", "rel_cover", salts=4, max_broadcast_rows=limit
-        )
-        assert out.count() == 60 * 3 * 9 + 1
-        assert out.where("pa = 1").count() == 60 * 3 * 3 + 1
+    for limit in ("-1", "10m"):  # the lists joined by key, then broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            out = op.complete_panel(df, ["site_code"], ["plot", "year_trt"], "Taxon", "rel_cover", block=2)
+            assert out.count() == 60 * 3 * 9 + 1
+            assert out.where("pa = 1").count() == 60 * 3 * 3 + 1
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
