@@ -2,11 +2,11 @@
 
 Two routes, chosen by what bounds the group:
 
-* a window per group, where the group is bounded by the data model: the species of one plot-year or study-year, or
-  the time steps of one species series;
-* :func:`value_positions` where nothing bounds it (a whole site, a treatment, the whole table). It groups equal
-  values first, cuts each group into value ranges at approximate quantiles, and orders each range on its own. The
-  cut points only balance the work: any cut points give the same exact positions.
+* a window or Spark's own exact ``percentile`` per group, where the group is bounded by the data model: the species of one
+  plot-year or study-year, or the time steps of one species series;
+* :func:`value_ranges` where nothing bounds it (a whole site, a treatment, the whole table). It groups equal values first
+  and stores them in ranges of (group, value) with the number of rows in each range; sums over the ranges give every
+  range its offset, and only the ranges that hold a wanted position are put in order.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.functions.semantics import MAD_SCALE, rescale, safe_div
-from sward.session import checkpoint
+from sward.session import checkpoint, materialize
 
 
 def attach(df: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -28,78 +28,78 @@ def attach(df: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str =
     return df.join(per_group, list(keys), how)
 
 
-def value_positions(df: DataFrame, by: Sequence[str], value: str, splits: int | None = None) -> DataFrame:
-    """Distinct values per group with ``cnt`` rows, ``n_below`` rows smaller, and ``n_total`` rows in the group.
+def meet(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL keys meet; the keys of ``other`` are left out."""
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    on = [df[k].eqNullSafe(F.col(n)) for k, n in names.items()]
+    return df.join(other.withColumnsRenamed(names), on).drop(*names.values())
 
-    NULL values are left out. Group keys must not be NULL. Each group is cut into ``splits`` value ranges, by default
-    as many as the session has shuffle partitions.
-    """
+
+def value_ranges(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct values per group with ``cnt`` rows each, stored in ranges (``_part``) of (group, value); and for each group
+    and range the rows before it (``_offset``), in it (``_in``) and in the group (``n_total``). NULL values are left out.
+
+    A group is spread over as many ranges as it needs. The second table has at most one row for each group and one more
+    for each range."""
     by = list(by)
-    splits = splits or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-    probs = [(i + 1) / splits for i in range(splits - 1)]
-    cuts = counts.groupBy(*by).agg(
-        F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), F.lit(10 * splits)).alias("_cuts")
-    )
-    ranged = attach(counts, cuts, by, "inner").withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
-    # at most ``splits`` rows per group from here
-    per_range = ranged.groupBy(*by, "_range").agg(F.sum("cnt").alias("_in_range"))
+    near = counts.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by], F.col(value).asc())
+    stored = materialize(near.withColumn("_part", F.spark_partition_id()), "ranges")
+    each = stored.groupBy(*by, "_part").agg(F.sum("cnt").alias("_in"))
     if by:
-        group, sofar = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_range")
-        offsets = per_range.select(
-            *by,
-            "_range",
-            (F.sum("_in_range").over(sofar) - F.col("_in_range")).alias("_offset"),
-            F.sum("_in_range").over(group).alias("n_total"),
-        )
-    else:
-        # a whole-table order: the at most ``splits`` range totals are folded into one array, then spread again
-        totals = per_range.agg(F.sort_array(F.collect_list(F.struct("_range", "_in_range"))).alias("_all"))
-        offsets = totals.select(
-            F.explode("_all").alias("_r"),
-            F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + x["_in_range"]).alias("n_total"),
-            "_all",
-        ).select(
-            F.col("_r._range").alias("_range"),
-            F.aggregate(
-                F.filter("_all", lambda x: x["_range"] < F.col("_r._range")),
-                F.lit(0).cast("long"),
-                lambda a, x: a + x["_in_range"],
-            ).alias("_offset"),
-            "n_total",
-        )
-    within = Window.partitionBy(*by, "_range").orderBy(value)
-    return (
-        ranged.withColumn("_before", F.sum("cnt").over(within) - F.col("cnt"))
-        .join(offsets, [*by, "_range"])
-        .select(*by, value, "cnt", (F.col("_offset") + F.col("_before")).alias("n_below"), "n_total")
-    )
+        group = Window.partitionBy(*by)
+        before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        offset, total = F.coalesce(F.sum("_in").over(before), F.lit(0)), F.sum("_in").over(group)
+        return stored, each.select(*by, "_part", "_in", offset.alias("_offset"), total.alias("n_total"))
+    # one group: its ranges, no more than there are tasks, are summed as one array and spread again
+    whole = each.agg(F.sort_array(F.collect_list(F.struct("_part", "_in"))).alias("_all")).select(F.explode("_all").alias("_r"), "_all")
+
+    def rows_in(ranges):
+        return F.aggregate(ranges, F.lit(0).cast("long"), lambda a, x: a + x["_in"])
+
+    offset = rows_in(F.filter("_all", lambda x: x["_part"] < F.col("_r._part")))
+    return stored, whole.select("_r._part", "_r._in", offset.alias("_offset"), rows_in("_all").alias("n_total"))
+
+
+def _ordered(stored: DataFrame, ranges: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    within = Window.partitionBy(*by, "_part").orderBy(value)
+    rows = meet(stored, ranges, [*by, "_part"])
+    return rows.withColumn("n_below", F.col("_offset") + F.sum("cnt").over(within) - F.col("cnt"))
+
+
+def value_positions(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Distinct values per group with ``cnt`` rows, ``n_below`` rows smaller, and ``n_total`` rows in the group. NULL values
+    are left out; a NULL key is a group like others."""
+    by = list(by)
+    return _ordered(*value_ranges(df, by, value), by, value).select(*by, value, "cnt", "n_below", "n_total")
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], splits: int | None = None
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], bounded: bool = False
 ) -> DataFrame:
-    """Exact interpolated quantiles (position ``(n - 1) p``) per group, one column per entry of ``probs``."""
-    pos = value_positions(df, by, value, splits)
+    """Exact interpolated quantiles (position ``(n - 1) p``) per group, one column per entry of ``probs``.
 
-    def at(rank):
+    ``bounded=True`` states that a group has few distinct values (the species of one unit) and takes Spark's exact
+    ``percentile``. Otherwise the ranges that hold a wanted position, two for each quantile of a group at most, are put in
+    order and the others are only counted."""
+    by = list(by)
+    if bounded:
+        found = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile(value, [float(p) for p in probs.values()]).alias("_q"))
+        return found.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    stored, ranges = value_ranges(df, by, value)
+    at = {n: (F.col("n_total") - 1) * F.lit(float(p)) for n, p in probs.items()}
+    ends = F.array(*[f(h).cast("long") for h in at.values() for f in (F.floor, F.ceil)])
+    wanted = ranges.withColumn("_ends", ends).where(F.exists("_ends", lambda r: (r >= F.col("_offset")) & (r < F.col("_offset") + F.col("_in"))))
+    rows = _ordered(stored, wanted, by, value).where(F.exists("_ends", lambda r: (r >= F.col("n_below")) & (r < F.col("n_below") + F.col("cnt"))))
+
+    def value_at(rank):
         return F.max(F.when((F.col("n_below") <= rank) & (rank < F.col("n_below") + F.col("cnt")), F.col(value)))
 
-    last = F.col("n_total") - 1
     aggs = []
-    for name, p in probs.items():
-        h = last * F.lit(float(p))
-        aggs += [at(F.floor(h)).alias(f"_lo_{name}"), at(F.ceil(h)).alias(f"_hi_{name}")]
-        aggs.append(F.max(h - F.floor(h)).alias(f"_f_{name}"))
-    out = pos.groupBy(*by).agg(*aggs)
-    return out.select(
-        *by,
-        *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
-            for n in probs
-        ],
+    for name, h in at.items():
+        aggs += [value_at(F.floor(h)).alias(f"_lo_{name}"), value_at(F.ceil(h)).alias(f"_hi_{name}"), F.max(h - F.floor(h)).alias(f"_f_{name}")]
+    return rows.groupBy(*by).agg(*aggs).select(
+        *by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in probs]
     )
 
 
@@ -126,7 +126,7 @@ def min_rank(df: DataFrame, part: Sequence[str], col: str, name: str = "rank", b
     """Ascending rank with ties at the lowest position. NULLs get NULL.
 
     ``bounded=True`` ranks each group in one window; the caller states that a group is bounded (species of one
-    unit). ``bounded=False`` takes the range-split route for groups of any size.
+    unit). ``bounded=False`` takes the stored ranges, for groups of any size.
     """
     if bounded:
         w = Window.partitionBy(*part, F.col(col).isNull()).orderBy(col)
@@ -214,14 +214,13 @@ def quantile_class(
     min_distinct: int = 3,
     name: str = "class",
 ) -> DataFrame:
-    """Class by the unit's own quantiles, lowest value included; NULL where the unit has too few distinct values."""
-    q = exact_quantiles(df, part, col, {f"_q{i}": p for i, p in enumerate(probs)})
-    n = (
-        df.where(F.col(col).isNotNull())
-        .groupBy(*part)
-        .agg(F.countDistinct(col).alias("_nd"))
-    )
-    out = attach(attach(df, q, part), n, part)
+    """Class by the unit's own quantiles, lowest value included; NULL where the unit has too few distinct values.
+
+    A unit is a plot or a survey, so its values are few: quantiles and their number come from one window over it."""
+    w = Window.partitionBy(*part)
+    q = F.percentile(col, [float(p) for p in probs]).over(w)
+    out = df.withColumn("_q", q).withColumn("_nd", F.size(F.collect_set(col).over(w)))
+    out = out.withColumns({f"_q{i}": F.col("_q")[i] for i in range(len(probs))}).drop("_q")
     label = F.when(F.col(col).isNull() | (F.col("_nd") < min_distinct), F.lit(None).cast("string"))
     for i, lab in enumerate(labels[:-1]):
         label = label.when(F.col(col) <= F.col(f"_q{i}"), F.lit(lab))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.functions.semantics import as_col, is_true, na_agg, positive_ln, presence, safe_div
-from sward.operators.order import attach
+from sward.operators.order import attach, meet
 from sward.session import settle
 
 
@@ -72,13 +72,6 @@ def species_blocks(df: DataFrame, group: Sequence[str], species: str, block: int
     return settle(lists.withColumn("_head", F.lag("_block").over(Window.partitionBy(*group).orderBy("_block")).isNull()), "species_blocks")
 
 
-def _meet(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join in which NULL keys meet; the keys of ``other`` are left out."""
-    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    on = [df[k].eqNullSafe(F.col(n)) for k, n in names.items()]
-    return df.join(other.withColumnsRenamed(names), on).drop(*names.values())
-
-
 def complete_panel(
     df: DataFrame,
     group: Sequence[str],
@@ -111,7 +104,7 @@ def complete_panel(
     placed = df.select(*survey, species, F.col(value).alias("_value"))
     placed = placed.repartition(*cluster_by) if cluster_by else placed
     own = F.pmod(F.xxhash64(species), F.col("_blocks")).cast("int").alias("_own")
-    facts = _meet(placed, sizes, group).groupBy(*survey, species, "_blocks", own).agg(F.sum("_value").alias("_value"))
+    facts = meet(placed, sizes, group).groupBy(*survey, species, "_blocks", own).agg(F.sum("_value").alias("_value"))
     folded = facts.groupBy(*survey, "_blocks", "_own").agg(
         F.map_from_entries(F.collect_list(F.when(F.col(species).isNotNull(), F.struct(species, "_value")))).alias("_present"),
         F.max(F.when(F.col(species).isNull(), F.col("_value"))).alias("_unnamed"),
@@ -121,7 +114,7 @@ def complete_panel(
     stop = F.coalesce(F.lead("_own").over(within), F.col("_blocks")) - 1
     spans = folded.select(*survey, "_own", "_present", "_unnamed", F.sequence(start, stop).alias("_span"))
     blocks = spans.select(*survey, "_own", "_present", "_unnamed", F.explode("_span").alias("_block"))
-    grid = _meet(blocks, lists.drop("_blocks", "_head"), [*group, "_block"])
+    grid = meet(blocks, lists.drop("_blocks", "_head"), [*group, "_block"])
     out = grid.select(*survey, (F.col("_own") == F.col("_block")).alias("_here"), "_present", "_unnamed", F.explode("_list").alias("_one"))
     name = F.col(f"_one.{species}")
     found = F.when(F.col("_here"), F.when(name.isNull(), F.col("_unnamed")).otherwise(F.try_element_at("_present", name)))
