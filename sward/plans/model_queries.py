@@ -122,7 +122,7 @@ def rank_trajectory_model(spark, sf):
     rows = op.abundance_trajectories(op.species_panel_metrics(shared.long_series(spark, sf)), min_years=7)
     rows = materialize(rows.select("YEAR_STD", "REL_RANK_T0", "REL_RANK_TIMEPOINT").na.drop(), "trajectories")
     data, terms = op.design(rows, "YEAR_STD", also=["REL_RANK_T0"])
-    return op.coefficient_table(spark, op.pooled_glm(data, "REL_RANK_TIMEPOINT", terms, family="gaussian"))
+    return op.coefficient_table(op.pooled_glm(data, "REL_RANK_TIMEPOINT", terms, family="gaussian"))
 
 
 def two_stage_effect(spark, sf):
@@ -182,7 +182,7 @@ def centred_rank(spark, sf):
 def coefficient_table(spark, sf):
     """Pooled loss model with treatment and its interaction with rank, full-rank design."""
     rows, terms = op.design(_at_risk(spark, sf), "rel_rank_lag", "trt", TRTS)
-    return op.coefficient_table(spark, op.pooled_glm(rows, "lost", terms))
+    return op.coefficient_table(op.pooled_glm(rows, "lost", terms))
 
 
 def coefficient_table_with_year(spark, sf):
@@ -191,7 +191,7 @@ def coefficient_table_with_year(spark, sf):
     for t in TRTS[1:]:
         rows = rows.withColumn(f"year_trt_x_trt_{t}", F.col("year_trt") * F.col(f"trt_{t}"))
         terms.append(f"year_trt_x_trt_{t}")
-    return op.coefficient_table(spark, op.pooled_glm(rows, "lost", terms))
+    return op.coefficient_table(op.pooled_glm(rows, "lost", terms))
 
 
 def aicc_table(spark, sf):
@@ -205,7 +205,7 @@ def aicc_table(spark, sf):
     ):
         data, terms = op.design(rows, "rel_rank_lag", also=also, interact=interact)
         fits[name] = op.pooled_glm(data, "lost", terms)
-    return op.information_table(spark, fits)
+    return op.information_table(fits)
 
 
 def pair_rank_loss(spark, sf):
@@ -214,7 +214,7 @@ def pair_rank_loss(spark, sf):
     rows = ranks.where((F.col("lag_rel_abund_rank") != 0) & F.col("lost").isNotNull())
     rows = rows.withColumn("lost", F.col("lost").cast("int"))
     data, terms = op.design(rows, "lag_rel_abund_rank", also=["lag_rel_percapita_rank"])
-    return op.coefficient_table(spark, op.pooled_glm(data, "lost", terms))
+    return op.coefficient_table(op.pooled_glm(data, "lost", terms))
 
 
 def location_spread(spark, sf):
