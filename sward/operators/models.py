@@ -242,10 +242,9 @@ def newton(rows: DataFrame, start: DataFrame, by: Sequence[str], xs: Sequence[st
         F.lit(0).alias("_halved"),
         none.cast("array<array<double>>").alias("_cov"),
     )
-    state = settle(state, "fit_state")
-    held = n_open = state.count()
+    held, n_open = None, 1
     done: list[DataFrame] = []
-    for at in range(0, rounds, every):
+    for _ in range(0, rounds, every):
         if not n_open:
             break
         for _ in range(every):
@@ -256,10 +255,12 @@ def newton(rows: DataFrame, start: DataFrame, by: Sequence[str], xs: Sequence[st
         done.append(state.where("NOT _open"))
         state = state.where("_open")
         n_open = state.count()
-        if by and 0 < n_open <= held // 2:
-            rows, held = settle(meet(rows, state.select(*by), by), "fit_rows"), n_open
-    if n_open or not done:
-        done.append(state if done else state.withColumn("settled", F.lit(False)))
+        if by and n_open:
+            held = start.count() if held is None else held
+            if n_open <= held // 2:
+                rows, held = settle(meet(rows, state.select(*by), by), "fit_rows"), n_open
+    if n_open:
+        done.append(state)
     out = reduce(DataFrame.unionByName, [d.select(*by, "_at", "_cov", "_value", "settled") for d in done])
     return out.withColumnRenamed("_at", "_b")
 

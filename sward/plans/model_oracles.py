@@ -1,11 +1,12 @@
-"""Oracle SQL of the model queries. Logistic fits repeat the Newton step as a chain of tables; the pooled models with
-several terms have no SQL and are tested against a direct solution instead."""
+"""Oracle SQL of the model queries. Fits repeat the full Newton step as a chain of tables; models with several terms
+eliminate their sums of products pivot by pivot."""
 
 from __future__ import annotations
 
 import math
 
 from sward.plans.effect_oracles import _BEFORE_AFTER, _BIO_DIFF, _EV, _LAGGED
+from sward.plans.series_oracles import _METRICS
 from sward.plans.sql import SPREADS, sql
 
 _CLASS = """
@@ -72,6 +73,90 @@ def logit(src: str, by: str, y: str, x: str, w: str = "1.0", rounds: int = 12, t
     return out
 
 
+def glm(src: str, y: str, terms: list[str], family: str = "binomial", rounds: int = 12, tag: str = "") -> dict[str, str]:
+    """Tables of a fit over all rows with an intercept and several terms; the last one, ``glm<tag>``, has n, k, b, cov, loglik."""
+    k = len(terms) + 1
+    rows, at = f"m_rows{tag}", range(1, k + 1)
+    mean = "ln(avg(y) / (1 - avg(y)))" if family == "binomial" else "avg(y)"
+    eta = " + ".join(f"b[{i}] * x[{i}]" for i in at)
+    r, v, value = ("y - p", "p * (1 - p)", "y * eta - greatest(eta, 0) - ln(1 + exp(-abs(eta)))") if family == "binomial" else ("y - eta", "1", "-(y - eta) * (y - eta) / 2")
+    sides = [", ".join([*[f"sum({v} * x[{i}] * x[{j}])" for j in at], *["1.0" if i == j else "0.0" for j in at]]) for i in at]
+    sums = f"""
+        SELECT count(*) AS n, any_value(b) AS b, [{", ".join(f"sum(({r}) * x[{i}])" for i in at)}] AS g, sum({value}) AS value,
+               [{", ".join(f"[{side}]" for side in sides)}] AS m
+        FROM (SELECT *, 1 / (1 + exp(-eta)) AS p FROM (SELECT x, y, b, {eta} AS eta FROM {rows}, {{prev}}))"""
+    for p in at:
+        sums = f"""
+        SELECT n, b, g, value, list_transform(m, lambda r, i: CASE WHEN i = {p} THEN list_transform(r, lambda e: e / m[{p}][{p}])
+                 ELSE list_transform(r, lambda e, j: e - r[{p}] * m[{p}][j] / m[{p}][{p}]) END) AS m
+        FROM ({sums})"""
+    out = {
+        rows: f"SELECT CAST([{', '.join(['1', *terms])}] AS DOUBLE[]) AS x, CAST({y} AS DOUBLE) AS y FROM ({src}) WHERE {' AND '.join(f'({t}) IS NOT NULL' for t in [y, *terms])}",
+        f"m_glm{tag}0": f"SELECT [{mean}{', 0.0' * (k - 1)}] AS b FROM {rows}",
+    }
+    for i in range(rounds):
+        step = ", ".join(f"b[{i}] + list_dot_product(m[{i}][{k + 1}:], g)" for i in at)
+        out[f"m_glm{tag}{i + 1}"] = f"SELECT [{step}] AS b FROM ({sums.format(prev=f'm_glm{tag}{i}')})"
+    scale, loglik = ("1", "value") if family == "binomial" else (f"(-2 * value / (n - {k}))", f"-n / 2.0 * (ln(-2 * value * 2 * pi() / n) + 1)")
+    out[f"glm{tag}"] = f"""
+        SELECT n, {k} AS k, b, {loglik} AS loglik, [{", ".join(f"{scale} * m[{i}][{k + i}]" for i in at)}] AS v
+        FROM ({sums.format(prev=f"m_glm{tag}{rounds}")})"""
+    return out
+
+
+def _tails(z: str) -> str:
+    """Both tails of the normal distribution, as a series and a continued fraction."""
+    density = f"(exp(-{z} * {z} / 2) * {1 / math.sqrt(2 * math.pi)!r})"
+    series = f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, 60), lambda i: 121.0::DOUBLE - 2 * i)), lambda s, n: 1 + s * {z} * {z} / n)"
+    fraction = f"list_reduce(list_prepend({z}, list_transform(range(0, 80), lambda i: 80.0::DOUBLE - i)), lambda s, n: {z} + n / s)"
+    return f"CASE WHEN {z} < 3 THEN 1 - 2 * {density} * {z} * {series} ELSE 2 * {density} / {fraction} END"
+
+
+def _terms(names: list[str], family: str = "binomial", tag: str = "") -> str:
+    """Coefficient rows of ``glm<tag>``."""
+    names = ["(Intercept)", *names]
+    z = "abs(statistic)"
+    if family == "gaussian":
+        y = "((nu - 0.5) * ln(1 + statistic * statistic / nu))"
+        b = "(48 * (nu - 0.5) * (nu - 0.5))"
+        z = f"(((((-0.4 * {y} - 3.3) * {y} - 24.0) * {y} - 85.5) / (0.8 * {y} * {y} + 100.0 + {b}) + {y} + 3.0) / {b} + 1.0) * sqrt({y})"
+    return f"""
+        SELECT term, estimate, se, statistic, {_tails('z')} AS p_value FROM (SELECT *, {z} AS z FROM (
+          SELECT *, estimate / se AS statistic FROM (
+            SELECT n - k AS nu, unnest({names}) AS term, unnest(b) AS estimate, sqrt(unnest(v)) AS se FROM glm{tag})))"""
+
+
+def _dummies(also: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    """Names and SQL of rank, treatment and their products, and of more covariates and their products with treatment."""
+    names, texts = ["rel_rank_lag", *also], ["rel_rank_lag", *also]
+    for t in ("N", "NP", "NPK"):
+        own = f"(CASE trt WHEN '{t}' THEN 1.0 ELSE 0.0 END)"
+        names += [f"trt_{t}", f"rel_rank_lag_x_trt_{t}"]
+        texts += [own, f"rel_rank_lag * {own}"]
+    for c in also:
+        for t in ("N", "NP", "NPK"):
+            names.append(f"{c}_x_trt_{t}")
+            texts.append(f"{c} * (CASE trt WHEN '{t}' THEN 1.0 ELSE 0.0 END)")
+    return names, texts
+
+
+_TERM_COLS = "term:s estimate:d se:d statistic:d p_value:d"
+_TREAT, _YEAR = _dummies(), _dummies(("year_trt",))
+_PAIR_TERMS = ["lag_rel_abund_rank", "lag_rel_percapita_rank", "lag_rel_abund_rank * lag_rel_percapita_rank"]
+_SERIES_TERMS = ["YEAR_STD", "REL_RANK_T0", "YEAR_STD * REL_RANK_T0"]
+
+
+def _aicc() -> tuple[str, dict[str, str]]:
+    tables: dict[str, str] = {}
+    models = (("rank", ["rel_rank_lag"]), ("rank + year", ["rel_rank_lag", "year_trt"]), ("rank * year", ["rel_rank_lag", "year_trt", "rel_rank_lag * year_trt"]))
+    for tag, (_, terms) in zip("uvw", models, strict=True):
+        tables |= glm(_LAGGED, "lost", terms, tag=tag)
+    each = " UNION ALL ".join(f"SELECT '{name}' AS model, n, k, loglik FROM glm{tag}" for tag, (name, _) in zip("uvw", models, strict=True))
+    return f"""
+        SELECT *, exp(-delta / 2) / sum(exp(-delta / 2)) OVER () AS weight FROM (SELECT *, aicc - min(aicc) OVER () AS delta FROM (
+          SELECT *, -2 * loglik + 2 * k + 2.0 * k * (k + 1) / (n - k - 1) AS aicc FROM ({each})))""", tables
+
+
 _FIT_COLS = "n:d b0:d b1:d v00:d v01:d v11:d se_b1:d loglik:d converged:b status:s"
 
 
@@ -106,6 +191,8 @@ _ALL = logit(_LAGGED, "", "lost", "rel_rank_lag", tag="a")
 _STUDY_OLS = _ols("SELECT * FROM befy", "STUDY_ID", "log_b", "std_year")
 _RES = math.pi**2 / 3
 
+_AICC = _aicc()
+
 ORACLES = {
     "fe_trend": sql(
         "n:i n_entities:i slope:d se:d",
@@ -176,6 +263,24 @@ ORACLES = {
              FROM lg, (SELECT min(rel_rank_lag) AS lo0, max(rel_rank_lag) AS hi0 FROM lg)) GROUP BY bin, trt""",
         lg=_LAGGED,
     ),
+    "coefficient_table": sql(_TERM_COLS, _terms(_TREAT[0]), **glm(_LAGGED, "lost", _TREAT[1])),
+    "coefficient_table_with_year": sql(_TERM_COLS, _terms(_YEAR[0]), **glm(_LAGGED, "lost", _YEAR[1])),
+    "pair_rank_loss": sql(
+        _TERM_COLS,
+        _terms(["lag_rel_abund_rank", "lag_rel_percapita_rank", "lag_rel_abund_rank_x_lag_rel_percapita_rank"]),
+        **glm("SELECT * FROM duo_all WHERE lag_rel_abund_rank <> 0 AND lost IS NOT NULL", "CAST(lost AS INTEGER)", _PAIR_TERMS),
+    ),
+    "rank_trajectory_model": sql(
+        _TERM_COLS,
+        _terms(["YEAR_STD", "REL_RANK_T0", "YEAR_STD_x_REL_RANK_T0"], "gaussian"),
+        sm=_METRICS,
+        **glm(
+            """SELECT *, YEAR - min(YEAR) OVER (PARTITION BY STUDY_ID) + 1 AS YEAR_STD
+               FROM sm WHERE REL_VALUE_COMM_T0_T3 > 0 AND N_YEARS >= 7""",
+            "REL_RANK_TIMEPOINT", _SERIES_TERMS, "gaussian", rounds=3,
+        ),
+    ),
+    "aicc_table": sql("model:s k:i n:i loglik:d aicc:d delta:d weight:d", _AICC[0], **_AICC[1]),
     "logit_by_site": sql(f"site_code:s {_FIT_COLS}", "SELECT * FROM fit", **_SITE),
     "logit_by_study": sql(
         f"STUDY_ID:i MEASURE:s {_FIT_COLS}",
