@@ -154,27 +154,28 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def inverse(h: Sequence[Sequence[Column]]) -> Column:
-    """Inverse of a symmetric positive matrix of columns, as an array of rows; NULL if it is singular.
+def inverse(m: Column, k: int) -> Column:
+    """Inverse of a symmetric positive k x k matrix, an array of rows; NULL if it is singular.
 
     The matrix is scaled to a unit diagonal and eliminated pivot by pivot next to a unit matrix, inside the plan."""
-    k = len(h)
-    scale = [F.when(h[i][i] > 0, 1 / F.sqrt(h[i][i])) for i in range(k)]
-    start = F.array(*[F.array(*[h[i][j] * scale[i] * scale[j] for j in range(k)], *[F.lit(float(i == j)) for j in range(k)]) for i in range(k)])
+    scale = F.transform(m, lambda row, i: F.when(F.element_at(row, i + 1) > 0, 1 / F.sqrt(F.element_at(row, i + 1))))
 
-    def eliminate(m: Column, p: Column) -> Column:
-        pivot = F.element_at(m, p)
+    def start(row: Column, i: Column) -> Column:
+        scaled = F.zip_with(row, scale, lambda x, z: x * z * F.element_at(scale, i + 1))
+        return F.concat(scaled, F.transform(row, lambda x, j: F.when(i == j, 1.0).otherwise(0.0)))
+
+    def eliminate(whole: Column, p: Column) -> Column:
+        pivot = F.element_at(whole, p)
         by = F.when(F.element_at(pivot, p) > SINGULAR, F.element_at(pivot, p))
         return F.transform(
-            m,
+            whole,
             lambda row, i: F.when(i + 1 == p, F.transform(row, lambda x: x / by)).otherwise(
                 F.zip_with(row, pivot, lambda x, y: x - F.element_at(row, p) * y / by)
             ),
         )
 
-    done = F.aggregate(F.array(*[F.lit(p + 1) for p in range(k)]), start, eliminate)
-    scales = F.array(*scale)
-    rows = F.transform(done, lambda row, i: F.zip_with(F.slice(row, k + 1, k), scales, lambda x, s: x * s * F.element_at(scales, i + 1)))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.transform(m, start), eliminate)
+    rows = F.transform(done, lambda row, i: F.zip_with(F.slice(row, k + 1, k), scale, lambda x, z: x * z * F.element_at(scale, i + 1)))
     return F.when(F.forall(F.flatten(rows), lambda x: x.isNotNull()), rows)
 
 
@@ -183,27 +184,25 @@ def _round(rows: DataFrame, state: DataFrame, by: list[str], xs: list[str], fami
     that is worse than the one before is taken back and half its step is proposed."""
     d = meet(rows, state, by) if by else rows.crossJoin(F.broadcast(state))  # without keys the state is one row
     k = len(xs)
-    x = [F.col(c) for c in xs]
-    eta = sum((F.col("_at")[i] * x[i] for i in range(1, k)), F.col("_at")[0] * x[0])
-    d = d.withColumn("_eta", eta)
+    d = d.withColumn("_eta", F.expr(" + ".join(f"_at[{i}] * {x}" for i, x in enumerate(xs))))
     if family == "binomial":
-        d = d.withColumn("_p", 1 / (1 + F.exp(-F.col("_eta"))))
-        v, r = F.col("_m") * F.col("_p") * (1 - F.col("_p")), F.col("_s") - F.col("_m") * F.col("_p")
-        value = F.col("_s") * F.col("_eta") - F.col("_m") * _softplus(F.col("_eta"))
+        d = d.withColumn("_p", F.expr("1 / (1 + exp(-_eta))"))
+        v, r, value = "_m * _p * (1 - _p)", "_s - _m * _p", F.col("_s") * F.col("_eta") - F.col("_m") * _softplus(F.col("_eta"))
     else:
-        v, r = F.col("_m"), F.col("_s") - F.col("_m") * F.col("_eta")
-        value = -(r * r) / (2 * F.col("_m"))
+        v, r, value = "_m", "_s - _m * _eta", F.expr("-(_s - _m * _eta) * (_s - _m * _eta) / (2 * _m)")
+    d = d.withColumns({"_v": F.expr(v), "_r": F.expr(r), "_ll": value})
     kept = ("_at", "_base", "_value", "_step", "_halved", "_cov")
     sums = d.groupBy(*by).agg(
         F.first(F.struct(*kept)).alias("_was"),
-        F.sum(value).alias("_new"),
-        *[F.sum(r * x[i]).alias(f"_g{i}") for i in range(k)],
-        *[F.sum(v * x[i] * x[j]).alias(f"_h{i}_{j}") for i in range(k) for j in range(i, k)],
+        F.sum("_ll").alias("_new"),
+        *[F.expr(f"sum(_r * {x}) AS _g{i}") for i, x in enumerate(xs)],
+        *[F.expr(f"sum(_v * {xs[i]} * {xs[j]}) AS _h{i}_{j}") for i in range(k) for j in range(i, k)],
     )
     was = {c: F.col(f"_was.{c}") for c in kept}
     good = was["_value"].isNull() | (F.col("_new") >= was["_value"] - 1e-9 * (1 + F.abs(was["_value"])))
-    h = [[F.col(f"_h{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)]
-    s = sums.select(*by, "_was", "_new", F.array(*[F.col(f"_g{i}") for i in range(k)]).alias("_g"), good.alias("_good"), inverse(h).alias("_inv"))
+    gradient = F.expr(f"array({', '.join(f'_g{i}' for i in range(k))})")
+    matrix = F.expr(f"array({', '.join('array(' + ', '.join(f'_h{min(i, j)}_{max(i, j)}' for j in range(k)) + ')' for i in range(k))})")
+    s = sums.select(*by, "_was", "_new", gradient.alias("_g"), good.alias("_good"), inverse(matrix, k).alias("_inv"))
     newton = F.transform("_inv", lambda row: _dot(row, F.col("_g")))
     s = s.withColumn("_next", F.when(F.col("_good"), newton).otherwise(F.transform(was["_step"], lambda z: z / 2)))
     base = F.when(F.col("_good"), was["_at"]).otherwise(was["_base"])
@@ -223,7 +222,7 @@ def _size(step: str, base: str) -> Column:
     return F.array_max(F.zip_with(step, base, lambda z, b: F.abs(z) / (1 + F.abs(b))))
 
 
-def newton(rows: DataFrame, start: DataFrame, by: Sequence[str], xs: Sequence[str], family: str = "binomial", rounds: int = 100, every: int = 3) -> DataFrame:
+def newton(rows: DataFrame, start: DataFrame, by: Sequence[str], xs: Sequence[str], family: str = "binomial", rounds: int = 100, every: int = 2) -> DataFrame:
     """Damped Newton fits, one for each row of ``start`` (``by`` and the array ``_at``, one number for each of ``xs``).
 
     ``rows`` is a stored table of ``by``, ``xs``, ``_m`` trials and ``_s`` successes (or the value and 1). A round is one
@@ -266,7 +265,7 @@ def newton(rows: DataFrame, start: DataFrame, by: Sequence[str], xs: Sequence[st
 
 
 def logit_by(
-    df: DataFrame, by: Sequence[str], y: str, x: str, w: str | None = None, rounds: int = 100, every: int = 3
+    df: DataFrame, by: Sequence[str], y: str, x: str, w: str | None = None, rounds: int = 100, every: int = 2
 ) -> DataFrame:
     """Logistic curve per group (one curve for ``by=[]``), optionally weighted.
 
@@ -441,7 +440,7 @@ def glm_by(df: DataFrame, by: Sequence[str], y: str, terms: Sequence[str], famil
     mean = F.col("_ts") / F.col("_all")
     first = F.when((mean > 0) & (mean < 1), F.ln(mean / (1 - mean))) if family == "binomial" else mean
     start = sizes.select(*by, F.array(first, *[F.lit(0.0)] * len(terms)).alias("_at")).where("_at[0] IS NOT NULL")
-    fits = newton(rows, start, by, xs, family, rounds)
+    fits = newton(rows, start, by, xs, family, rounds, every=1)
     if by:
         names = {k: f"_key_{i}" for i, k in enumerate(by)}
         on = [F.col(f"g.{k}").eqNullSafe(F.col(n)) for k, n in names.items()]

@@ -17,6 +17,8 @@ from sward.plans import (
     model_queries,
     series_oracles,
     series_queries,
+    source_oracles,
+    source_queries,
 )
 
 _MODULES = [
@@ -24,6 +26,7 @@ _MODULES = [
     (effect_queries, effect_oracles),
     (series_queries, series_oracles),
     (model_queries, model_oracles),
+    (source_queries, source_oracles),
 ]
 
 

@@ -13,25 +13,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sward import operators as op
-from sward.session import at_most, bucket_count, cleanup, materialize, settle
+from sward.session import at_most, bucket_count, cleanup, evict, materialize, settle
 from sward.sources import roles
 
 PLOT = ("site_code", "plot")
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+Folder = tuple[str, str]
+_KEPT: dict[Folder, dict[str, DataFrame]] = {}
+_SEEN: dict[Folder, int] = {}
+_STALE: dict[Folder, list[DataFrame]] = {}
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> int:
+    """Hash of path, size and time of every file in the folder: another value as soon as a table is rewritten."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
+def fresh(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The prepared tables of a folder. Once the folder's files have changed they are set aside, and those set aside before
+    are deleted: a frame that was handed out before one change can still be read, not one from before two."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    now = _listing(spark, sf_dir)
+    if _SEEN.get(at) != now:
+        for old in _STALE.pop(at, []):
+            evict(old)
+        _STALE[at] = list(_KEPT.pop(at, {}).values())
+        _SEEN[at] = now
+    return _KEPT.setdefault(at, {})
 
 
 def keep(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], bucket_by: Sequence[str] = (), **how
 ) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        _KEPT[key] = materialize(build(), name, bucket_by, **how)
-    return _KEPT[key]
+    own = fresh(spark, sf_dir)
+    if name not in own:
+        table = materialize(build(), name, bucket_by, **how)
+        own = fresh(spark, sf_dir)
+        own[name] = table
+    return own[name]
 
 
 def release(spark: SparkSession) -> None:
-    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
-        del _KEPT[key]
+    for kept in (_KEPT, _SEEN, _STALE):
+        for at in [k for k in kept if k[0] == spark.sparkContext.applicationId]:
+            del kept[at]
     cleanup(spark)
 
 
@@ -45,8 +76,8 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     The frequency table is written and counted first. While it is small it is broadcast, the cover rows stay in the
     buckets they were stored in, and nothing is shuffled; otherwise it is joined by key and the rows are placed again.
     """
-    if (spark.sparkContext.applicationId, sf_dir, "enriched") in _KEPT:
-        return keep(spark, sf_dir, "enriched", None)
+    if "enriched" in fresh(spark, sf_dir):
+        return fresh(spark, sf_dir)["enriched"]
     rows = cover(spark, sf_dir)
     freq = keep(spark, sf_dir, "freq", lambda: op.rel_freq_space(rows.where(F.col("live") == 1)))
     small = at_most(freq, 200_000)

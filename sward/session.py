@@ -93,6 +93,14 @@ def materialize(
     return spark.table(table)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared folder, deleted by :func:`cleanup`."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/sward-{app}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(app, []).append(path)
+    return path
+
+
 def settle(df: DataFrame, name: str = "small") -> DataFrame:
     """Store a table of one row per group before it is joined to rows.
 
@@ -110,6 +118,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def evict(df: DataFrame) -> None:
+    """Delete a table stored with :func:`materialize`, with its entry in the catalog if it was stored by buckets."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    for file in df.inputFiles()[:1]:
+        name, tag = file.rsplit("/", 2)[-2].rsplit("-", 1)
+        if (table := f"sward_{name}_{tag}") in _TABLES.get(app, []):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _TABLES[app].remove(table)
+    discard(df)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether a stored table has at most ``rows`` rows; reads no more than one row beyond the limit per partition."""
     return df.limit(rows + 1).count() <= rows

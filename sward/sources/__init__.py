@@ -3,6 +3,9 @@ from sward.sources.files import (  # noqa: F401
     ingest_wide,
     read_panel_csv,
     read_table,
+    scan_csv,
+    scan_report,
     write_csv,
     write_table,
 )
+from sward.sources.versions import read_version, versions, write_version  # noqa: F401
