@@ -28,6 +28,31 @@ def attach(df: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str =
     return df.join(per_group, list(keys), how)
 
 
+#: Groups with at least this share of all rows (one in so many) are heavy; there are never more of them than this number.
+HEAVY = 256
+SPREAD = 1024
+
+
+def attach_counted(df: DataFrame, per_group: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
+    """Attach a stored per-group table, whose column ``rows`` counts the rows of each group, without moving the rows of a heavy
+    group to one place.
+
+    Groups with a 256th of all rows or more, 256 at most, are broadcast. Their rows have got their values then, and take
+    part in the join of the others under keys spread by a hash of the row, where they meet nothing; light groups are
+    joined by key as usual. Rows of a group that the table does not have get NULL."""
+    keys = list(keys)
+    values = [c for c in per_group.columns if c not in (*keys, rows)]
+    total = per_group.agg(F.sum(rows).alias("_total"))
+    sized = per_group.crossJoin(F.broadcast(total))  # exactly one row
+    is_heavy = F.col(rows) * HEAVY >= F.col("_total")
+    heavy = sized.where(is_heavy).select(*keys, F.lit(True).alias("_heavy"), *[F.col(c).alias(f"_h_{c}") for c in values])
+    none = F.least(F.col(rows), F.lit(0)).cast("int").alias("_spread")  # 0, but no constant: it has to stay a key of the join
+    light = sized.where(~is_heavy).select(*keys, none, *[F.col(c).alias(f"_l_{c}") for c in values])
+    spread = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SPREAD)).cast("int") + 1).otherwise(0)
+    out = df.join(F.broadcast(heavy), keys, "left").withColumn("_spread", spread).join(light, [*keys, "_spread"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.when(F.col("_heavy"), F.col(f"_h_{c}")).otherwise(F.col(f"_l_{c}")).alias(c) for c in values])
+
+
 def meet(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join in which NULL keys meet; the keys of ``other`` are left out."""
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}

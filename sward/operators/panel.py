@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.functions.semantics import as_col, is_true, na_agg, positive_ln, presence, safe_div
-from sward.operators.order import attach, meet
+from sward.operators.order import attach_counted, meet
 from sward.session import settle
 
 
@@ -129,19 +129,19 @@ def keep_groups(
     nonzero: str | None = None,
     levels: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """Rows of groups that pass: at least k distinct values of a column, a non-zero total, or exactly k levels."""
+    """Rows of groups that pass: at least k distinct values of a column, a non-zero total, or exactly k levels.
+
+    Each condition is an aggregate of one row per group, stored with the number of rows of the group, so that rows of a
+    group that holds much of the table stay where they are."""
     keys = list(keys)
-    out = df
     # one pass per distinct column keeps each distinct count a plain two-step aggregate
-    for col, k in (min_distinct or {}).items():
-        good = df.groupBy(*keys).agg(F.countDistinct(col).alias("_n")).where(F.col("_n") >= k).select(*keys)
-        out = out.join(good, keys, "left_semi")
-    for col, k in (levels or {}).items():
-        good = df.groupBy(*keys).agg(F.countDistinct(col).alias("_n")).where(F.col("_n") == k).select(*keys)
-        out = out.join(good, keys, "left_semi")
+    tests = [F.countDistinct(c) >= k for c, k in (min_distinct or {}).items()] + [F.countDistinct(c) == k for c, k in (levels or {}).items()]
     if nonzero:
-        good = df.groupBy(*keys).agg(F.sum(nonzero).alias("_s")).where(F.col("_s") != 0).select(*keys)
-        out = out.join(good, keys, "left_semi")
+        tests.append(F.sum(nonzero) != 0)
+    out = df
+    for test in tests:
+        per = df.groupBy(*keys).agg(test.alias("_ok"), F.count(F.lit(1)).alias("_rows"))
+        out = attach_counted(out, settle(per, "group_tests"), keys, "_rows").where("_ok").drop("_ok")
     return out
 
 
@@ -212,11 +212,15 @@ def absence_runs(
 
 
 def years_since_start(
-    df: DataFrame, keys: Sequence[str], year: str, base: int = 0, name: str = "std_year"
+    df: DataFrame, keys: Sequence[str], year: str, base: int = 0, name: str = "std_year", bounded: bool = False
 ) -> DataFrame:
-    """Years since the first year of the group, counted from ``base``."""
-    start = df.groupBy(*keys).agg(F.min(year).alias("_start"))
-    return attach(df, start, keys).withColumn(name, F.col(year) - F.col("_start") + F.lit(base)).drop("_start")
+    """Years since the first year of the group, counted from ``base``. ``bounded=True`` states that a group is bounded by the
+    data model (one series, one plot) and takes a window; other groups are aggregated and attached with heavy ones apart."""
+    if bounded:
+        return df.withColumn(name, F.col(year) - F.min(year).over(Window.partitionBy(*keys)) + F.lit(base))
+    start = df.groupBy(*keys).agg(F.min(year).alias("_start"), F.count(F.lit(1)).alias("_rows"))
+    out = attach_counted(df, settle(start, "starts"), keys, "_rows")
+    return out.withColumn(name, F.col(year) - F.col("_start") + F.lit(base)).drop("_start")
 
 
 def first_event(df: DataFrame, unit: Sequence[str], time: str, flag: str | Column) -> DataFrame:

@@ -182,7 +182,7 @@ def quarantine(spark, sf):
 
 def years_since_start(spark, sf):
     rows = shared.enriched(spark, sf).select(*ROW)
-    return op.years_since_start(op.years_since_start(rows, SPECIES, "year"), SPECIES, "year", 1, "std_year_1")
+    return op.years_since_start(op.years_since_start(rows, SPECIES, "year", bounded=True), SPECIES, "year", 1, "std_year_1", bounded=True)
 
 
 def relative_to_own_series(spark, sf):

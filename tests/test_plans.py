@@ -10,8 +10,6 @@ from sward.plans.registry import queries
 from sward.sources import roles
 
 QUERIES = queries()
-EAGER = {"coefficient_table", "coefficient_table_with_year", "aicc_table", "pair_rank_loss", "rank_trajectory_model"}
-
 
 def plan_of(df) -> str:
     return re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
@@ -29,7 +27,7 @@ def parents(plan: str):
         above.append((depth, text))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_no_product_no_global_window(name, spark, sf_dir):
     plan = plan_of(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in plan
@@ -80,6 +78,17 @@ def test_plot_joins_are_co_located_without_broadcast(name, spark, sf_dir):
     assert not re.search(r"Exchange hashpartitioning\(site_code, plot", plan)
 
 
+@pytest.mark.parametrize("name", ["site_min_years", "studies_with_both_measures", "standard_years", "years_since_start"])
+def test_rows_of_a_group_are_not_gathered(name, spark, sf_dir):
+    """With broadcasts off but for the few heavy groups, no shuffle goes by study or site alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"Exchange hashpartitioning\((STUDY_ID|site_code), \d", plan)
+
+
 def test_no_row_copies_for_many_conditions(spark, sf_dir):
     assert "Expand" not in plan_of(QUERIES["richness_class_systems"](spark, sf_dir))
 

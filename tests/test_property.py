@@ -142,3 +142,22 @@ def test_completion_with_hot_site(spark):
             assert out.where("pa = 1").count() == 60 * 3 * 3 + 1
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_starts_and_filters_with_a_heavy_group(spark, limit):
+    r = random.Random(5)
+    data = [("hot" if r.random() < 0.4 else f"g{r.randrange(900)}", r.randrange(1990, 2020), r.choice("ab"), r.choice([0.0, 1.0])) for _ in range(3000)] + [(None, 2000, "a", 1.0)]
+    df = spark.createDataFrame(data, "g string, y int, m string, v double").repartition(5)
+    by = defaultdict(list)
+    for g, y, m, v in data:
+        by[g].append((y, m, v))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = op.years_since_start(df, ["g"], "y", 1).collect()
+        assert len(got) == len(data) and all(r.std_year == (None if r.g is None else r.y - min(by[r.g])[0] + 1) for r in got)
+        kept = op.keep_groups(df, ["g"], min_distinct={"y": 3}, levels={"m": 2}, nonzero="v").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    good = {g for g, own in by.items() if g and len({y for y, *_ in own}) >= 3 and len({m for _, m, _ in own}) == 2 and sum(v for *_, v in own)}
+    assert sorted((x.g, x.y, x.m, x.v) for x in kept) == sorted(d for d in data if d[0] in good) and "hot" in good and len(good) < len(by)
