@@ -79,6 +79,25 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+BITS = ("b0", "b1", "b2", "b3")
+
+
+def sketch(registers: np.ndarray) -> np.ndarray:
+    """One bit of each register of rows of signatures, as four numbers: what a join can compare before it makes a row."""
+    at = np.arange(REGISTERS, dtype=np.uint64)
+    bits = (mixed(mixed(registers.astype(np.uint64) * np.uint64(REGISTERS) + at)) & np.uint64(1)) * (registers > 0)
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+
+
+def alike(limit: float, a: str = "a", b: str = "b") -> str:
+    """Whether two sketches differ in no more bits than those of a linked pair can: the mean at the limit and six standard
+    errors. ``a`` and ``b`` are the ends of the column names; sizes are ``n<a>`` and ``n<b>``."""
+    q = (1 - limit) / 2
+    differ = " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in BITS)
+    used = f"({REGISTERS}D * (1 - exp(-least(n{a}, n{b}) / {limit * REGISTERS!r}D)))"
+    return f"{differ} <= {q!r}D * {used} + 6 * sqrt({q * (1 - q)!r}D * {used}) + 2"
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard similarity of rows of signatures, less the share of registers that agree by chance."""
     used = ((a > 0) | (b > 0)).sum(axis=1)
@@ -158,15 +177,18 @@ def _signed(k: int):
             sets = [shingle_set(t, k, memo) for t in batch.column("_text").to_pylist()]
             marks = np.array([_marks(s) for s in sets], np.int64).reshape(-1, 2)
             own = [c for c in batch.schema.names if c != "_text"]
+            registers = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, REGISTERS), np.uint16)
+            bits = sketch(registers)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in own],
                     pa.array(np.array([len(s) for s in sets], np.int64)),
                     pa.array(marks[:, 0]),
                     pa.array(marks[:, 1]),
-                    pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets, strict=True)], pa.binary()),
+                    *[pa.array(bits[:, i]) for i in range(len(BITS))],
                 ],
-                names=[*own, "n", "h1", "h2", "sig"],
+                names=[*own, "n", "h1", "h2", "sig", *BITS],
             )
 
     return run
@@ -266,10 +288,11 @@ def _members(batches):
 
 
 def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
-    """Pairs (a, b) of different roots that can be linked, among the sets of ``member`` (doc, root).
+    """Pairs (a, b) of different roots that can be linked, among the sets of ``member`` (doc, root, sketch).
 
     Two linked sets share one of their rarest shingles: of n shingles in order of frequency, the first n - limit n + 1.
-    What very many sets have in common (a passage, common words) comes last in that order and makes no pairs.
+    What very many sets have in common (a passage, common words) comes last in that order. Of sets that meet at a shingle
+    only those whose sketches are alike become a pair, so a passage that many sets hold makes no rows of its own.
     """
     items = materialize(sets.select("doc", "set").join(member.select("doc"), "doc").mapInArrow(_members, "doc long, n long, shingle long"), "nd_items")
     often = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -280,9 +303,14 @@ def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
     heads = materialize(heads.join(member, "doc"), "nd_heads")
     mixed_ = heads.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     heads = materialize(heads.join(mixed_, "shingle", "left_semi"), "nd_heads")
-    one, two = (heads.select("shingle", F.col("doc").alias(d), F.col("root").alias(r), F.col("n").alias(m)) for d, r, m in (("a", "ra", "na"), ("b", "rb", "nb")))
-    fits = f"a < b AND ra <> rb AND 100 * least(na, nb) >= {round(limit * 100)} * greatest(na, nb)"
-    return one.join(two, "shingle").where(fits).select("a", "b")
+    return _meeting(heads, "shingle", limit)
+
+
+def _meeting(rows: DataFrame, key: str, limit: float) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (key, doc, root, n, sketch) under one key that are of different roots and can be linked."""
+    one, two = (rows.select(key, F.col("doc").alias(end), *[F.col(c).alias(f"{c}{end}") for c in ("root", "n", *BITS)]) for end in "ab")
+    sizes = f"100 * least(na, nb) >= {round(limit * 100)} * greatest(na, nb)"
+    return one.join(two, key).where(f"a < b AND roota <> rootb AND {sizes} AND {alike(limit)}").select("a", "b")
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -324,10 +352,10 @@ def _grouped(docs: DataFrame, key: str, k: int, limit: float, marks: list[Column
     of its component, by key and then by the marks of the text."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
     source = docs.select(doc.alias("key"), *[c.alias(name) for name, c in zip(ROW, marks, strict=True)], text_bytes().alias("_text"))
-    signed = materialize(source.mapInArrow(_signed(k), "key long, t1 long, t2 long, n long, h1 long, h2 long, sig binary"), "nd_signed")
+    signed = materialize(source.mapInArrow(_signed(k), "key long, t1 long, t2 long, n long, h1 long, h2 long, sig binary, b0 long, b1 long, b2 long, b3 long"), "nd_signed")
     mark = list(SET)
     first = F.min(F.struct("key", *ROW)).alias("first")
-    classes = signed.where(F.col("n") > 0).groupBy(*mark).agg(first, F.first("sig").alias("sig")).withColumn("first_key", F.col("first.key"))
+    classes = signed.where(F.col("n") > 0).groupBy(*mark).agg(first, *[F.first(c).alias(c) for c in ("sig", *BITS)]).withColumn("first_key", F.col("first.key"))
     classes = materialize(classes.withColumn("doc", F.monotonically_increasing_id()), "nd_classes")  # doc: number of the class
     keys = materialize(classes.select("doc", "n", "sig").mapInArrow(_banded(limit), "doc long, key long"), "nd_keys")
     spread = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("o"), F.col("doc").alias("d"))).alias(f"h{s}") for s in range(HUBS)]
@@ -363,12 +391,15 @@ def _grouped(docs: DataFrame, key: str, k: int, limit: float, marks: list[Column
     member = materialize(rooted(near.select("key", "doc"), roots, "doc", "root"), "nd_member")
     split = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
     open_ = materialize(member.join(split, "key"), "nd_open")
-    few = open_.where(F.col("c") < CROWDED)
-    one, two = (few.select("key", F.col("doc").alias(d), F.col("root").alias(r)) for d, r in (("a", "ra"), ("b", "rb")))
-    last = confirmed(one.join(two, "key").where("a < b AND ra <> rb").select("a", "b"))
-    crowded = materialize(open_.where(F.col("c") >= CROWDED).select("doc", "root").distinct(), "nd_crowded")
-    last = last.unionByName(confirmed(sharing_rare(sets, crowded, limit)))
+    for table in (near, member):
+        discard(table)
+    few = open_.where(F.col("c") < CROWDED).join(classes.select("doc", "n", *BITS), "doc")
+    last = confirmed(_meeting(few, "key", limit))
+    crowded = open_.where(F.col("c") >= CROWDED).select("doc", "root").distinct().join(classes.select("doc", *BITS), "doc")
+    last = last.unionByName(confirmed(sharing_rare(sets, materialize(crowded, "nd_crowded"), limit)))
     roots = materialize(components(links.unionByName(last)), "nd_roots")
+    for table in (open_, sets):
+        discard(table)
     tied = materialize(rooted(classes.select("doc", *mark, "first"), roots, "doc", "root"), "nd_tied")
     smallest = materialize(tied.groupBy("root").agg(F.min("first").alias("first_row")), "nd_smallest")
     return signed, tied.select(*mark, "root").join(smallest, "root").select(*mark, "first_row")

@@ -452,3 +452,17 @@ def test_pipeline_stages_agree_with_plain_versions(spark, sf_dir):
     assert clean.columns == docs.columns
     assert decontaminate.digest(decontaminate.find_spans(clean, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).where("contaminated").count() == 0
     assert all(not any(pii.base_spans(r.text).values()) for r in clean.collect())
+
+
+def test_sketches_of_linked_sets_are_alike(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in [1, 3, 4, 5, 9, 12, 20, 40, 150, 400, 3000] * 60:
+        union = rng.integers(0, 1 << 63, max(n, 1)).astype(np.uint64)
+        differ = rng.permutation(len(union))[: len(union) // 5]  # the most that a linked pair can differ in
+        cut = rng.integers(0, len(differ) + 1)
+        sets = [np.sort(np.delete(union, differ[:cut])), np.sort(np.delete(union, differ[cut:]))]
+        bits = near_duplicates.sketch(np.stack([near_duplicates.signature(s) for s in sets]))
+        rows.append((len(sets[0]), len(sets[1]), *map(int, bits[0]), *map(int, bits[1])))
+    names = ["na", "nb", *[f"{c}a" for c in near_duplicates.BITS], *[f"{c}b" for c in near_duplicates.BITS]]
+    assert spark.createDataFrame(rows, names).where(near_duplicates.alike(0.8)).count() == len(rows)
