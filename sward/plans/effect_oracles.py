@@ -70,6 +70,38 @@ _BEFORE_AFTER = """
     JOIN (SELECT site_code, plot, count(DISTINCT Taxon) AS n_species FROM core WHERE core_class IS NOT NULL GROUP BY ALL) n
       ON n.site_code = u.site_code AND n.plot = u.plot"""
 _EV = {"core": _CORE, "dom": _DOM, "dom_lost": _DOM_LOST, "first_loss": _FIRST_LOSS}
+_MOSAIC = {
+    "m_found": """
+        SELECT site_code, plot, year, subplot % 3 AS subplot, year_trt, tnum,
+               ['Control', 'N', 'K', 'NPK', 'Fence', 'NPK+Fence'][CAST(plot % 6 + 1 AS BIGINT)] AS trt, 'T' || CAST(tnum AS VARCHAR) AS Taxon,
+               sum(CASE WHEN (year + plot) % 5 = 0 OR (tnum = 1 + plot % 3 AND (year + plot) % 4 = 0) THEN 0
+                        WHEN tnum = 1 + plot % 3 THEN 60 * l_quantity ELSE l_quantity END) AS max_cover
+        FROM raw_rows GROUP BY ALL""",
+    "m_shares": """
+        SELECT *, coalesce(max_cover / nullif(sum(max_cover) OVER (PARTITION BY site_code, plot, subplot, year), 0), 0) AS rel_cover FROM m_found""",
+    "m_mosaic": """
+        SELECT *, CASE WHEN rel_t0 > 0 AND rel_t0 <= 0.2 THEN 'Rare' WHEN rel_t0 > 0.2 AND rel_t0 <= 0.8 THEN 'Subordinate'
+                       WHEN rel_t0 > 0.8 AND rel_t0 <= 1 THEN 'Dominant' END AS rel_class
+        FROM (SELECT *, max(rel_cover) FILTER (year_trt = 0) OVER (PARTITION BY site_code, plot, Taxon) AS rel_t0 FROM m_shares)""",
+    "visits": "SELECT DISTINCT site_code, plot, year_trt, trt FROM m_mosaic",
+    "lead_sp": "SELECT DISTINCT site_code, plot, Taxon FROM m_mosaic WHERE rel_class = 'Dominant'",
+    "lead_lost": """
+        SELECT v.site_code, v.plot, v.year_trt, d.Taxon FROM visits v JOIN lead_sp d ON v.site_code = d.site_code AND v.plot = d.plot
+        WHERE NOT EXISTS (SELECT 1 FROM m_mosaic m WHERE m.site_code = v.site_code AND m.plot = v.plot AND m.year_trt = v.year_trt
+                          AND m.Taxon = d.Taxon AND m.max_cover > 0)""",
+    "gone_years": """
+        SELECT site_code, plot, Taxon, trt, length, years_present, (length - years_present) / nullif(length, 0) AS yrs_absent, pretrt_cover FROM (
+          SELECT site_code, plot, Taxon, max(c) FILTER (year_trt = 0) AS pretrt_cover, coalesce(sum(p) FILTER (year_trt > 0), 0) AS years_present
+          FROM (SELECT site_code, plot, Taxon, year_trt, max(rel_cover) AS c, avg(CASE WHEN rel_cover > 0 THEN 1.0 ELSE 0.0 END) AS p
+                FROM m_mosaic GROUP BY ALL) GROUP BY ALL)
+        JOIN (SELECT DISTINCT site_code, plot, trt FROM m_mosaic WHERE year_trt > 0) USING (site_code, plot)
+        JOIN (SELECT site_code, max(year_trt) AS length FROM m_mosaic GROUP BY ALL) USING (site_code)
+        WHERE pretrt_cover IS NOT NULL AND length > 0""",
+}
+_LOSS_PLOTS = """
+    SELECT site_code, plot, n_dominant, coalesce(n_losses, 0) AS n_losses, coalesce(n_losses, 0) > 0 AS dom_lost_plot
+    FROM (SELECT site_code, plot, count(*) AS n_dominant FROM dom GROUP BY ALL)
+    LEFT JOIN (SELECT site_code, plot, count(*) AS n_losses FROM dom_lost GROUP BY ALL) USING (site_code, plot)"""
 
 
 def _turnover(unit: str, ref: str) -> str:
@@ -260,13 +292,49 @@ ORACLES = {
     "dominant_loss_events": sql("site_code:s plot:i year_trt:i Taxon:s", "SELECT * FROM dom_lost", **_EV),
     "dominant_loss_plots": sql(
         "site_code:s plot:i n_dominant:i n_losses:i dom_lost_plot:b",
-        """SELECT site_code, plot, n_dominant, coalesce(n_losses, 0) AS n_losses,
-                  coalesce(n_losses, 0) > 0 AS dom_lost_plot
-           FROM (SELECT site_code, plot, count(*) AS n_dominant FROM dom GROUP BY ALL)
-           LEFT JOIN (SELECT site_code, plot, count(*) AS n_losses FROM dom_lost GROUP BY ALL)
-             USING (site_code, plot)""",
+        _LOSS_PLOTS,
         **_EV,
     ),
+    "dominant_loss_events_by_abundance": sql("site_code:s plot:i year_trt:i Taxon:s", "SELECT * FROM lead_lost", **_MOSAIC),
+    "dominant_loss_plots_by_abundance": sql(
+        "site_code:s plot:i n_dominant:i n_losses:i dom_lost_plot:b",
+        """SELECT site_code, plot, n_dominant, coalesce(n_losses, 0) AS n_losses, coalesce(n_losses, 0) > 0 AS dom_lost_plot
+           FROM (SELECT site_code, plot, count(*) AS n_dominant FROM lead_sp GROUP BY ALL)
+           LEFT JOIN (SELECT site_code, plot, count(*) AS n_losses FROM lead_lost GROUP BY ALL) USING (site_code, plot)""",
+        **_MOSAIC,
+    ),
+    "before_after_loss_by_abundance": sql(
+        "site_code:s plot:i year_trt:i trt:s live_mass:d first_time:i after_first:b n_species:i",
+        """SELECT v.*, live_mass, first_time, v.year_trt > first_time AS after_first, n_species
+           FROM visits v JOIN (SELECT site_code, plot, min(year_trt) AS first_time FROM lead_lost GROUP BY ALL) USING (site_code, plot)
+           JOIN (SELECT site_code, plot, year_trt, sum(max_cover) AS live_mass FROM m_mosaic GROUP BY ALL) USING (site_code, plot, year_trt)
+           JOIN (SELECT site_code, plot, count(DISTINCT Taxon) AS n_species FROM m_mosaic WHERE rel_class IS NOT NULL GROUP BY ALL) USING (site_code, plot)""",
+        **_MOSAIC,
+    ),
+    "years_absent_subplots": sql(f"{_SP} trt:s length:i years_present:d yrs_absent:d pretrt_cover:d", "SELECT * FROM gone_years", **_MOSAIC),
+    "lagged_loss_set_subplots": sql(
+        f"{_SP} trt:s year_trt:i rel_rank_lag:d lost:i",
+        f"""SELECT r.site_code, r.plot, r.trt, r.Taxon, following AS year_trt, scaled AS rel_rank_lag,
+                   CASE WHEN EXISTS (SELECT 1 FROM m_mosaic m WHERE m.site_code = r.site_code AND m.plot = r.plot AND m.Taxon = r.Taxon
+                                     AND m.year_trt = following AND m.rel_cover > 0) THEN 0 ELSE 1 END AS lost
+            FROM (SELECT *, {_rescale('rk', 'PARTITION BY site_code, plot, trt, year_trt', 'scaled')} FROM (
+                    SELECT *, rank() OVER (PARTITION BY site_code, trt, plot, year_trt ORDER BY rel_cover) AS rk FROM (
+                      SELECT site_code, plot, trt, Taxon, year_trt, avg(rel_cover) AS rel_cover FROM m_mosaic GROUP BY ALL) WHERE rel_cover > 0)) r
+            JOIN (SELECT site_code, plot, year_trt, lead(year_trt) OVER (PARTITION BY site_code, plot ORDER BY year_trt) AS following FROM visits) n
+              ON n.site_code = r.site_code AND n.plot = r.plot AND n.year_trt = r.year_trt
+            WHERE following IS NOT NULL AND scaled <> 0""",
+        **_MOSAIC,
+    ),
+    "absence_ratio_fenced": sql(
+        "site_code:s rel_class:s trt:s absent:d absent_ctl:d absent_diff:d",
+        """WITH means AS (
+             SELECT site_code, rel_class, trt, avg(yrs_absent) AS absent FROM gone_years
+             JOIN (SELECT DISTINCT site_code, plot, Taxon, rel_class FROM m_mosaic WHERE rel_class IS NOT NULL) USING (site_code, plot, Taxon) GROUP BY ALL)
+           SELECT m.*, c.absent AS absent_ctl, (m.absent - c.absent) / c.absent AS absent_diff
+           FROM means m JOIN means c ON m.site_code = c.site_code AND m.rel_class = c.rel_class AND c.trt = 'Control'
+           WHERE m.trt IN ('NPK', 'Fence', 'NPK+Fence') AND c.absent <> 0""",
+        **_MOSAIC,
+    ),
     "first_dominant_loss": sql("site_code:s plot:i first_time:i", "SELECT * FROM first_loss", **_EV),
     "before_after_loss": sql(
         "site_code:s plot:i year_trt:i trt:s live_mass:d first_time:i after_first:b n_species:i", _BEFORE_AFTER, **_EV

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sward import operators as op
 from sward.plans import shared
+from sward.sources import roles
 
 SPECIES = ["site_code", "plot", "Taxon"]
 GROUPINGS = ("di_group", "abund_group")
@@ -172,6 +173,44 @@ def first_dominant_loss(spark, sf):
     return op.first_losses(_core(spark, sf), "core_class")
 
 
+def dominant_loss_events_by_abundance(spark, sf):
+    """Surveys that miss a species which was dominant in the plot's baseline by its share of cover."""
+    return op.dominant_losses(shared.mosaic(spark, sf), "rel_class")
+
+
+def dominant_loss_plots_by_abundance(spark, sf):
+    """Plots with a species dominant by share of cover: how many, and whether one is ever missed."""
+    return op.plot_flags(shared.mosaic(spark, sf), "rel_class")
+
+
+def before_after_loss_by_abundance(spark, sf):
+    """Cover of all species before and after the first loss of one dominant by share of cover."""
+    rows = shared.mosaic(spark, sf)
+    mass = rows.groupBy("site_code", "plot", "year_trt").agg(F.sum("max_cover").alias("live_mass"))
+    return op.before_after_loss(rows, mass, "rel_class")
+
+
+def years_absent_subplots(spark, sf):
+    """Years absent where a survey has several subplots: a survey counts by the share of rows that have the species."""
+    return op.years_absent(shared.mosaic(spark, sf)).select(*SPECIES, "trt", "length", "years_present", "yrs_absent", "pretrt_cover")
+
+
+def lagged_loss_set_subplots(spark, sf):
+    """Species at risk where surveys have subplots and some surveys found nothing."""
+    return op.lagged_loss_set(shared.mosaic(spark, sf), roles.MOSAIC_TRTS)
+
+
+def absence_ratio_fenced(spark, sf):
+    """Relative difference to control in the mean fraction of years absent, by site and abundance class, with fences and
+    nutrients alone and together."""
+    rows = shared.mosaic(spark, sf)
+    classes = rows.groupBy(*SPECIES).agg(F.max("rel_class").alias("rel_class"))
+    absent = op.years_absent(rows).join(classes.where(F.col("rel_class").isNotNull()), SPECIES)
+    means = absent.groupBy("site_code", "rel_class", "trt").agg(F.avg("yrs_absent").alias("absent"))
+    out = op.vs_control(means.where(F.col("trt").isin("Control", "NPK", "Fence", "NPK+Fence")), ["site_code", "rel_class"], "absent", how="ratio")
+    return out.where(F.col("absent_diff").isNotNull()).select("site_code", "rel_class", "trt", "absent", "absent_ctl", "absent_diff")
+
+
 def before_after_loss(spark, sf):
     return op.before_after_loss(_core(spark, sf), shared.plot_years(spark, sf), "core_class")
 
@@ -253,6 +292,12 @@ QUERIES = {
         biomass_richness_means,
         dominant_loss_events,
         dominant_loss_plots,
+        dominant_loss_events_by_abundance,
+        dominant_loss_plots_by_abundance,
+        before_after_loss_by_abundance,
+        years_absent_subplots,
+        lagged_loss_set_subplots,
+        absence_ratio_fenced,
         first_dominant_loss,
         before_after_loss,
         biomass_by_loss_flag,

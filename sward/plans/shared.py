@@ -92,6 +92,17 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subplot-level cover with shares, baseline share and abundance class, stored by plot."""
+
+    def build():
+        rows = op.relative_abundance(roles.mosaic(spark, sf_dir), ["site_code", "plot", "subplot", "year"], "max_cover").withColumnRenamed("rel", "rel_cover")
+        rows = op.baseline(rows, [*PLOT, "Taxon"], "year_trt", "rel_cover", name="rel_t0")
+        return rows.withColumn("rel_class", op.cut_class("rel_t0"))
+
+    return keep(spark, sf_dir, "mosaic", build, PLOT)
+
+
 def plot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.plot_years_from(cover(spark, sf_dir))
 

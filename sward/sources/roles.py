@@ -124,6 +124,24 @@ def cover_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Treatments of the mosaic panel.
+MOSAIC_TRTS = ("Control", "N", "K", "NPK", "Fence", "NPK+Fence")
+
+
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second cover panel, at subplot grain: six treatments, three subplots to a plot, in every plot one species that holds
+    most of the cover but is missing from some surveys, and surveys in which nothing was found at all."""
+    plot, year = F.col("l_suppkey"), F.col("year")
+    leading = F.col("tnum") == 1 + plot % 3
+    found = F.when(((year + plot) % 5 == 0) | (leading & ((year + plot) % 4 == 0)), 0.0).otherwise(F.col("l_quantity") * F.when(leading, 60.0).otherwise(1.0))
+    records = _records(spark, sf_dir).withColumns({"subplot": (F.col("l_linenumber") % 3).cast("int"), "found": found})
+    grouped = records.groupBy("l_suppkey", "year", "subplot", "tnum").agg(F.sum("found").alias("max_cover"))
+    trt = F.element_at(F.array(*[F.lit(t) for t in MOSAIC_TRTS]), (plot % 6 + 1).cast("int"))
+    return grouped.join(_plots(spark, sf_dir), "l_suppkey").select(
+        "site_code", plot.alias("plot"), "subplot", "year", (year - BASE_YEAR).alias("year_trt"), trt.alias("trt"), F.concat(F.lit("T"), F.col("tnum").cast("string")).alias("Taxon"), "max_cover"
+    )
+
+
 def plot_years_from(cover_rows: DataFrame) -> DataFrame:
     """Plot-year attributes: live mass and published richness, key (site, plot, year_trt)."""
     per_species = cover_rows.groupBy("site_code", "plot", "year_trt", "trt", "Taxon").agg(F.sum("mass").alias("mass"))
