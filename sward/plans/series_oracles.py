@@ -57,6 +57,16 @@ _DUO_COLS = (
 
 ORACLES = {
     "fixed_location_studies": sql("STUDY_ID:i " + " ".join(f"{c}:d" for c in SPREADS), "SELECT * FROM fixed"),
+    "fixed_among_travellers": sql(
+        "STUDY_ID:i " + " ".join(f"{c}:d" for c in SPREADS) + " abundance:d n_years:i",
+        "SELECT * FROM (SELECT STUDY_ID, " + ", ".join(f"stddev_samp({c[3:]}) AS {c}" for c in SPREADS)
+        + """ FROM (
+            SELECT STUDY_ID, y, avg(la) AS lat_mean, max(la) AS lat_max, min(la) AS lat_min, avg(lo) AS lon_mean, max(lo) AS lon_max, min(lo) AS lon_min
+            FROM (SELECT s_nationkey AS STUDY_ID, year AS y, s_acctbal / 1000 + CASE WHEN s_nationkey % 3 = 0 THEN (year - 1992) * 0.4 ELSE 0 END AS la,
+                         l_tax * 10 + CASE WHEN s_nationkey % 5 = 1 THEN (year - 1992) * 0.5 ELSE 0 END AS lo FROM raw_rows) GROUP BY ALL)
+          GROUP BY STUDY_ID) JOIN (SELECT s_nationkey AS STUDY_ID, sum(l_quantity) AS abundance, count(DISTINCT year) AS n_years FROM raw_rows GROUP BY ALL) USING (STUDY_ID)
+          WHERE """ + " AND ".join(f"{c} < 0.3" for c in SPREADS),
+    ),
     "fixed_series_totals": sql(
         "STUDY_ID:i YEAR:i abundance:d biomass:d n:i",
         """SELECT STUDY_ID, YEAR, sum(Abundance) AS abundance, sum(Biomass) AS biomass, count(*) AS n FROM series

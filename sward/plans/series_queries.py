@@ -14,6 +14,13 @@ def fixed_location_studies(spark, sf):
     return op.fixed_locations(roles.series_locations(spark, sf))
 
 
+def fixed_among_travellers(spark, sf):
+    """Studies that stayed at one place where many did not, with the totals of their series."""
+    fixed = op.fixed_locations(roles.travelling_locations(spark, sf))
+    totals = roles.series(spark, sf).groupBy("STUDY_ID").agg(F.sum("Abundance").alias("abundance"), F.countDistinct("YEAR").alias("n_years"))
+    return fixed.join(totals, "STUDY_ID")
+
+
 def fixed_series_totals(spark, sf):
     """Yearly totals of the studies that stayed at one place."""
     return shared.series(spark, sf).groupBy("STUDY_ID", "YEAR").agg(
@@ -160,6 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fixed_location_studies,
+        fixed_among_travellers,
         fixed_series_totals,
         sample_coverage,
         incidence_coverage,

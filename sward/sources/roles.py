@@ -182,6 +182,18 @@ def series_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def travelling_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records where every third study moves north from year to year and every fifth east."""
+    rows = series_locations(spark, sf_dir)
+    since = F.col("YEAR") - 1992
+    return rows.withColumns(
+        {
+            "LATITUDE": F.col("LATITUDE") + F.when(F.col("STUDY_ID") % 3 == 0, since * 0.4).otherwise(0.0),
+            "LONGITUDE": F.col("LONGITUDE") + F.when(F.col("STUDY_ID") % 5 == 1, since * 0.5).otherwise(0.0),
+        }
+    )
+
+
 def series_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Study metadata: the abundance type is NULL for biomass studies."""
     k = F.col("n_nationkey") % 5
