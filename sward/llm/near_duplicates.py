@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sward.llm.common import Memo, chunks, space_words, text_bytes
+from sward.llm.common import Memo, chunks, space_words, text_bytes, unused
 from sward.session import discard, materialize
 
 REGISTERS = 256
@@ -31,6 +31,8 @@ FEW = 30
 CROWDED = 24
 #: Hubs that the members of a bucket are compared with before the rest of a bucket is searched.
 HUBS = 6
+#: Rounds in which buckets that still hold several components are compared with their most central member.
+CENTRAL = 3
 #: What tells sets apart, and texts under one key.
 SET, ROW = ("n", "h1", "h2"), ("t1", "t2")
 #: Stands for a null key: after all others.
@@ -388,11 +390,28 @@ def _grouped(docs: DataFrame, key: str, k: int, limit: float, marks: list[Column
     apart = rooted(rooted(other, roots, "doc", "r1"), roots, "hub", "r2").where("r1 <> r2")
     links = links.unionByName(confirmed(apart.select(F.col("hub").alias("a"), F.col("doc").alias("b"))))
     roots = materialize(components(links), "nd_roots")
-    member = materialize(rooted(near.select("key", "doc"), roots, "doc", "root"), "nd_member")
-    split = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
-    open_ = materialize(member.join(split, "key"), "nd_open")
-    for table in (near, member):
-        discard(table)
+
+    def still_open():
+        member = rooted(near.select("key", "doc"), roots, "doc", "root")
+        split = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
+        return materialize(member.join(split, "key"), "nd_open")
+
+    open_, asked = still_open(), None
+    for _ in range(CENTRAL):
+        weight = open_.groupBy("doc").agg(F.sum("c").alias("weight"))
+        weight = weight if asked is None else weight.join(asked, "doc", "left_anti")
+        centre = open_.join(weight, "doc").groupBy("key").agg(F.max_by(F.struct("doc", "root"), F.struct("weight", "doc")).alias("hub"))
+        centre = materialize(centre.select("key", F.col("hub.doc").alias("hub"), F.col("hub.root").alias("hub_root")), "nd_centre")
+        pairs = open_.join(centre, "key").where("root <> hub_root").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+        found = confirmed(pairs)
+        if found.isEmpty():
+            break
+        asked = centre.select(F.col("hub").alias("doc")).distinct() if asked is None else asked.unionByName(centre.select(F.col("hub").alias("doc")).distinct())
+        links = links.unionByName(found)
+        roots = materialize(components(links), "nd_roots")
+        discard(open_)
+        open_ = still_open()
+    discard(near)
     few = open_.where(F.col("c") < CROWDED).join(classes.select("doc", "n", *BITS), "doc")
     last = confirmed(_meeting(few, "key", limit))
     crowded = open_.where(F.col("c") >= CROWDED).select("doc", "root").distinct().join(classes.select("doc", *BITS), "doc")
@@ -410,9 +429,10 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
     and ``kept`` (the row has that key).
 
     Two sets are linked if 100 times their intersection is at least 100 ``limit`` times their union. Equal sets are one
-    class and are never compared. Then, in every band bucket, members are compared with a hub, then with some more hubs;
-    last, in buckets that still hold several components, members of different components; the members of crowded ones by
-    their rarest shingles. So pairs within a group that is connected already are never made, and no pair of bucket members
+    class and are never compared. Then, in every band bucket, members are compared with a hub, then with some more hubs.
+    In buckets that still hold several components they are compared with the most central member, the one in the most and
+    largest of such buckets: where copies of one text are linked with it but not with each other, that is the text. Last,
+    in what is still open, members of different components meet; the members of crowded buckets by their rarest shingles. So pairs within a group that is connected already are never made, and no pair of bucket members
     that could connect two groups is left out.
 
     Null, empty and blank texts have no shingles and are linked with nothing; repeated rows share a component; of rows
@@ -439,11 +459,11 @@ def without_copies(docs: DataFrame, key: str = "doc_id", k: int = 5, limit: floa
     gone = materialize(lost.select(*own).distinct(), "nd_gone")
     again = materialize(signed.groupBy(*own).count().where("count > 1").select(*own), "nd_again")
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], doc.alias("_key"), *[c.alias(f"_{name}") for name, c in zip(ROW, text_marks(), strict=True)])
+    names = unused(docs, *[f"_{c}" for c in own])
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(name) for name, c in zip(names, [doc, *text_marks()], strict=True)])
 
     def among(rows, table, how):
-        named = table.select(*[F.col(c).alias(f"_{c}") for c in own])
-        return rows.join(named, [f"_{c}" for c in own], how)
+        return rows.join(table.select(*[F.col(c).alias(name) for name, c in zip(names, own, strict=True)]), names, how)
 
     kept = among(marked, gone, "left_anti")
     if again.isEmpty():

@@ -466,3 +466,17 @@ def test_sketches_of_linked_sets_are_alike(spark):
         rows.append((len(sets[0]), len(sets[1]), *map(int, bits[0]), *map(int, bits[1])))
     names = ["na", "nb", *[f"{c}a" for c in near_duplicates.BITS], *[f"{c}b" for c in near_duplicates.BITS]]
     assert spark.createDataFrame(rows, names).where(near_duplicates.alike(0.8)).count() == len(rows)
+
+
+def test_copies_that_are_linked_only_through_their_source(spark):
+    rng = random.Random(15)
+    source = [f"s{i}" for i in range(400)]
+    texts = [" ".join(source)]
+    for _ in range(60):  # each near the source, no two of them near each other
+        own = list(source)
+        for i in rng.sample(range(400), 20):
+            own[i] = f"x{rng.random()}"
+        texts.append(" ".join(own))
+    rng.shuffle(texts)
+    got = near_duplicates.groups(docs_of(spark, texts)).collect()
+    assert {r.component_id for r in got} == {0}
