@@ -94,6 +94,18 @@ def chunks(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to clash with no column, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def bounded_sample(rows: DataFrame, key: str, label: str, bound: int, seed: int) -> DataFrame:
     """About ``bound`` rows of each label value (all of a value with fewer), chosen by a hash of the key."""
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}

@@ -13,9 +13,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sward.llm.common import text_bytes, word_list
+from sward.llm.common import text_bytes, unused, word_list
 from sward.session import materialize
 
 WINDOW = 10
@@ -123,7 +122,7 @@ class SuffixAutomaton:
         return spans, names
 
 
-_SPANS = T.ArrayType(T.ArrayType(T.IntegerType()))
+_SPANS = pa.list_(pa.list_(pa.int32()))
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -136,33 +135,57 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _finder(automaton, key):
+def _finder(automaton):
+    """(key, n_words, spans, items) of every row."""
+
     def run(batches):
         own = automaton.value
         for batch in batches:
-            cols = batch.select(["_text", "_spans", "_items"]).to_pydict()
             n_words, spans, items = [], [], []
-            for text, before, names in zip(cols["_text"], cols["_spans"], cols["_items"], strict=True):
+            for text in batch.column("_text").to_pylist():
                 words = word_list(text)
                 found, who = own.match(words)
                 n_words.append(len(words))
-                spans.append([list(x) for x in _merge(found + [tuple(x) for x in before])] if before else [list(x) for x in found])
-                items.append(sorted(who.union(names)))
-            own_names = [key]
+                spans.append([list(x) for x in found])
+                items.append(sorted(who))
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in own_names],
-                    pa.array(n_words, pa.int64()),
-                    batch.column("_text"),
-                    pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                names=[*own_names, "n_words", "_text", "_spans", "_items"],
+                [batch.column("key"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
+                names=["key", "n_words", "spans", "items"],
             )
 
     return run
 
 
+def _counter(batches):
+    """(row, key, n_words) of every row."""
+    for batch in batches:
+        n_words = [len(word_list(t)) for t in batch.column("_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array(n_words, pa.int64())], names=["row", "key", "n_words"])
+
+
+def _block_finder(automaton):
+    """(row, spans, items) of the rows in which this block's items occur."""
+
+    def run(batches):
+        own = automaton.value
+        for batch in batches:
+            out = []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                found, who = own.match(word_list(text))
+                if found:
+                    out.append((row, [list(x) for x in found], sorted(who)))
+            rows, spans, items = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=["row", "spans", "items"])
+
+    return run
+
+
+def _merger(batches):
+    for batch in batches:
+        spans = [[list(x) for x in _merge([tuple(x) for x in own])] for own in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(spans, _SPANS), batch.column("items")], names=["row", "spans", "items"])
+
+
 def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS):
     """Broadcast automata of the items, a bounded number of words in each. Items without words or text have none."""
     spark = items.sparkSession
@@ -189,26 +212,19 @@ def find_spans(
     searched in blocks of a bounded size, each in one pass over the documents.
     """
     key_type = docs.schema[key].dataType
-    state = docs.select(
-        F.col(key),
-        text_bytes().alias("_text"),
-        F.lit(None).cast("array<array<int>>").alias("_spans"),
-        F.array().cast("array<string>").alias("_items"),
-    )
-    schema = T.StructType(
-        [
-            T.StructField(key, key_type),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("_text", T.BinaryType()),
-            T.StructField("_spans", _SPANS),
-            T.StructField("_items", T.ArrayType(T.StringType())),
-        ]
-    )
-    for blocks, automaton in automata(items, window, block_words):
-        state = state.select(key, "_text", "_spans", "_items").mapInArrow(_finder(automaton, key), schema)
-        if blocks > 1:
-            state = materialize(state, "decontaminate")
-    return state.select(key, "n_words", F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), text_bytes().alias("_text"))
+    blocks = [automaton for _, automaton in automata(items, window, block_words)]
+    found = "spans array<array<int>>, items array<string>"
+    if len(blocks) == 1:
+        whole = rows.mapInArrow(_finder(blocks[0]), f"key {key_type.simpleString()}, n_words long, {found}")
+        return whole.withColumnRenamed("key", key)
+    # the texts are stored once, with a row number; each block adds what it finds in the rows that have any of it
+    stored = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate_rows")
+    counted = stored.mapInArrow(_counter, f"row long, key {key_type.simpleString()}, n_words long")
+    each = reduce(DataFrame.unionByName, [stored.select("row", "_text").mapInArrow(_block_finder(x), f"row long, {found}") for x in blocks])
+    hits = each.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = hits.mapInArrow(_merger, f"row long, {found}")
+    return counted.join(merged, "row", "left").select(F.col("key").alias(key), "n_words", F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -321,11 +337,12 @@ def decontaminate(
     """``docs`` without the passages of ``items``: spans of at least ``max_length`` marked words are cut out of the text;
     a document of which they cover more than ``max_coverage`` is removed.
 
-    All columns stay, ``n_chars`` is counted again where it exists, null and empty texts and texts without a match are
+    All columns stay, whatever their names, ``n_chars`` is counted again where it exists, null and empty texts and texts without a match are
     unchanged, repeated rows are treated alike, an empty item table changes nothing. Items of several blocks are cut by
     the spans of all blocks together; for that the documents are stored once, with a row number.
     """
-    names, mark = docs.columns, "_clean_text"
+    names = docs.columns
+    row, mark, last_text, changed = unused(docs, "_row", "_clean_text", "_now", "_changed")
     blocks = [automaton for _, automaton in automata(items, window, block_words)]
     if len(blocks) == 1:
 
@@ -336,9 +353,10 @@ def decontaminate(
 
         rows = docs.withColumn(mark, clean.asNondeterministic()(F.col("text")))
     else:
-        stored = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate_docs")
-        last = _cut_in_blocks(stored, blocks, max_length, max_coverage).select("_row", "_now", F.lit(True).alias("_changed"))
-        rows = stored.join(last, "_row", "left").withColumn(mark, F.when(F.col("_changed"), F.col("_now")).otherwise(F.col("text")))
+        stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate_docs")
+        texts = stored.select(F.col(row).alias("_row"), "text")
+        last = _cut_in_blocks(texts, blocks, max_length, max_coverage).select(F.col("_row").alias(row), F.col("_now").alias(last_text), F.lit(True).alias(changed))
+        rows = stored.join(last, row, "left").withColumn(mark, F.when(F.col(changed), F.col(last_text)).otherwise(F.col("text")))
     rows = rows.where(F.col(mark).isNotNull() | F.col("text").isNull())
     new = {"text": F.col(mark)} | ({"n_chars": F.length(mark).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])

@@ -34,6 +34,8 @@ GRAMS = 1 << 21
 CUT = 2
 #: Contexts of a subtree that are weighed at once, and rows that a task hands on at once.
 SLICE, HANDED = 2048, 1 << 17
+#: Different keys that a task holds while it counts.
+GATHERED = 1 << 20
 
 
 def symbols(text: bytes | None) -> np.ndarray:
@@ -268,9 +270,9 @@ def _gather(batches):
         ids, at = np.unique(np.concatenate([i for i, _ in parts]), return_inverse=True)
         return ids, np.bincount(at, np.concatenate([n for _, n in parts]), len(ids)).astype(np.int64)
 
-    none = np.empty(0, np.int64)
     words: Counter = Counter()
-    parts = [(none, none)]
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
     for batch in batches:
         texts, learn = (batch.column(c).to_pylist() for c in ("_text", "_learn"))
         for a, b in chunks(texts):
@@ -281,12 +283,18 @@ def _gather(batches):
             keys, starts = gram_keys(texts[a:b])
             marks = np.repeat(np.array(learn[a:b], np.int64), np.diff([*starts, len(keys)]))
             parts.append(np.unique(keys << 1 | marks, return_counts=True))
-            if len(parts) > 12:
-                parts = [summed(parts)]
-            if len(words) > 250_000 or len(parts[0][0]) > 1 << 20:
-                yield from handed(words, *summed(parts))
-                words, parts = Counter(), [(none, none)]
-    yield from handed(words, *summed(parts))
+            waiting += len(parts[-1][0])
+            while len(parts) > 1 and (len(parts[-2][0]) <= 2 * len(parts[-1][0]) or waiting > GATHERED):
+                parts[-2:] = [summed(parts[-2:])]  # two of like size, so that what is held grows with the distinct keys
+                waiting = sum(len(i) for i, _ in parts)
+            if len(words) > 250_000 or waiting > GATHERED:
+                for ids, n in parts:
+                    yield from handed(words, ids, n)
+                    words = Counter()
+                parts, waiting = [], 0
+    for ids, n in parts or [(np.empty(0, np.int64), np.empty(0, np.int64))]:
+        yield from handed(words, ids, n)
+        words = Counter()
 
 
 @dataclass
@@ -399,6 +407,7 @@ def score(docs: DataFrame, model: LanguageModel, key: str = "doc_id", others: di
     fields = [*[rows.schema[c] for c in keep], *[T.StructField(c, t()) for c, t in (("n_tokens", T.LongType), ("_found", T.LongType), ("_base", T.DoubleType), ("_score", T.DoubleType), ("_size", T.LongType))]]
     lists = [T.StructField(c, T.ArrayType(T.StructType([T.StructField(x, t()), T.StructField("tf", T.LongType())]))) for c, x, t in (("_rest", "word", T.BinaryType), ("_grams", "gram", T.LongType))]
     first = materialize(rows.mapInArrow(run, T.StructType([*fields, *lists])).withColumn("_row", F.monotonically_increasing_id()), "lm_first")
+    held.destroy()  # what the tasks held is not needed again: the rows are stored
     rare = first.select("_row", F.explode("_rest").alias("r")).select("_row", "r.word", "r.tf")
     more = rare.join(model.counts, "word").groupBy("_row").agg(F.sum("tf").alias("_more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("_gain"))
     asked = first.select("_row", F.explode("_grams").alias("r")).select("_row", "r.gram", "r.tf")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sward.llm.common import unused
 from sward.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -346,10 +347,11 @@ def redact(docs: DataFrame, key: str = "doc_id", rounds: int = 3, least: int = 3
     """``docs``, all rows and columns, with personal data replaced in the text and ``n_chars`` counted again.
 
     Base entities are replaced while the texts are read; only the few texts with discovered spans are looked up by key.
-    Null and empty texts stay, repeated rows are treated alike, an empty table stays empty.
+    Null and empty texts stay, repeated rows are treated alike, an empty table stays empty; further columns may have any name.
     """
+    own_key, text_key, own_spans, hidden_text = unused(docs, "_key", "_text_key", "_spans", "_hidden")
     found = extract(docs, key, rounds, least, trust).where(F.size("spans") > F.size("base"))
-    more = materialize(found.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), _listed("spans").alias("_spans")).dropDuplicates(["_key", "_text_key"]), "pii_found")
+    more = materialize(found.select(F.col(key).alias(own_key), F.col("text_key").alias(text_key), _listed("spans").alias(own_spans)).dropDuplicates([own_key, text_key]), "pii_found")
 
     @F.pandas_udf("string")
     def clean(texts, spans):
@@ -367,7 +369,7 @@ def redact(docs: DataFrame, key: str = "doc_id", rounds: int = 3, least: int = 3
             out.append(hidden(text, spans_here) if spans_here else text)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(more, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64("text") == F.col("_text_key")), "left")
-    rows = joined.withColumn("_hidden", clean.asNondeterministic()("text", "_spans"))
-    new = {"text": F.col("_hidden")} | ({"n_chars": F.length("_hidden").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    joined = docs.join(more, docs[key].eqNullSafe(more[own_key]) & (F.xxhash64("text") == more[text_key]), "left")
+    rows = joined.withColumn(hidden_text, clean.asNondeterministic()(F.col("text"), F.col(own_spans)))
+    new = {"text": F.col(hidden_text)} | ({"n_chars": F.length(hidden_text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sward.session import materialize
+from sward.session import materialize, scratch
 
 SLOTS = 8192
 #: Parts of a slot that are numbered apart, so that a slot with many copies of a key is not one task.
@@ -81,11 +81,16 @@ def store_map(table: DataFrame, folder: str) -> None:
     table.write.mode("append").partitionBy("version").parquet(folder)
 
 
-def load_map(spark: SparkSession, folder: str, version: int | None = None) -> list[int]:
-    """The newest version of a stored map, or the named one."""
+def stored_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The rows (virtual_slot, shard) of the newest version of a stored map, or of the named one."""
     table = spark.read.parquet(folder)
     version = table.agg(F.max("version")).first()[0] if version is None else version
-    rows = table.where(F.col("version") == version).select("virtual_slot", "shard").collect()  # a row for each slot
+    return table.where(F.col("version") == version).select("virtual_slot", "shard")
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> list[int]:
+    """A stored map as a list, to be edited: it has one entry for each slot."""
+    rows = stored_map(spark, folder, version).collect()
     own = [0] * len(rows)
     for slot, shard in rows:
         own[slot] = shard
@@ -103,28 +108,33 @@ def sized(docs: DataFrame, key: str = "doc_id", slots: int = SLOTS) -> DataFrame
     )
 
 
-def slot_load(rows: DataFrame) -> DataFrame:
-    """Rows and bytes of each virtual slot that has rows."""
-    return rows.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"))
+def slot_load(rows: DataFrame, *parts: str) -> DataFrame:
+    """Rows and bytes of each virtual slot that has rows, or of each of its parts."""
+    return rows.groupBy("virtual_slot", *parts).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"))
 
 
-def place(docs: DataFrame, shards: int, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+def place(docs: DataFrame, shards: int, key: str = "doc_id", slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """Shard and place of every row, for ``shards`` shards and for one more.
 
-    Law ``key``: the key and the shard count alone decide the shard, and one more shard takes rows only into itself.
+    Two versions of the slot map are stored in ``folder`` (by default a new one in the shared folder): version 1 for ``shards``
+    shards, and version 2, which is version 1 as loaded, edited for one shard more. Rows get their shards by joining both.
+    Law ``key``: the key and the shard count alone decide the shard, and one more shard takes rows only into itself; bytes
+    are summed for each slot (``slot_bytes``), from which :func:`rebalanced_map` would make the next version.
     ``slot`` numbers the rows of a shard from 0 without gaps: by virtual slot, then key, checksum and size. Rows that
     agree in all of these are numbered in any order. The table of first numbers has a row for each part of a slot at most.
     A null key is a key of its own, a null text is empty, an empty table
     gives no rows.
     """
     spark = docs.sparkSession
-    own = initial_map(shards, slots)
-    more = grown_map(own)
-    both = spark.createDataFrame([(s, k, g) for s, (k, g) in enumerate(zip(own, more, strict=True))], "virtual_slot int, shard int, grown_shard int")
+    folder = folder or scratch(spark, "shard_map")
+    store_map(map_table(spark, initial_map(shards, slots), 1), folder)
+    store_map(map_table(spark, grown_map(load_map(spark, folder, 1)), 2), folder)
+    both = stored_map(spark, folder, 1).join(stored_map(spark, folder, 2).withColumnRenamed("shard", "grown_shard"), "virtual_slot")
     rows = materialize(sized(docs, key, slots), "sized").withColumn("_part", F.pmod(F.col("text_crc32"), F.lit(PARTS)).cast("int"))
-    counts = rows.groupBy("virtual_slot", "_part").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(both), "virtual_slot")
+    load = slot_load(rows, "_part").join(F.broadcast(both), "virtual_slot")  # a map has a row for each slot
     before = Window.partitionBy("shard").orderBy("virtual_slot", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("virtual_slot", "_part", "shard", "grown_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    whole = Window.partitionBy("shard", "virtual_slot")
+    offsets = load.select("virtual_slot", "_part", "shard", "grown_shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("_first"), F.sum("n_bytes").over(whole).alias("slot_bytes"))
     within = Window.partitionBy("virtual_slot", "_part").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
     numbered = rows.withColumn("_at", F.row_number().over(within) - 1)
     return numbered.join(F.broadcast(offsets), ["virtual_slot", "_part"]).select(
@@ -136,6 +146,7 @@ def place(docs: DataFrame, shards: int, key: str = "doc_id", slots: int = SLOTS)
         (F.col("_first") + F.col("_at")).cast("long").alias("slot"),
         "grown_shard",
         "virtual_slot",
+        "slot_bytes",
     )
 
 
@@ -160,7 +171,8 @@ d AS (
 m AS (SELECT d.*, own[virtual_slot + 1] AS shard, more[virtual_slot + 1] AS grown_shard FROM d, maps)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, text_crc32 % {PARTS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
-  grown_shard, CAST(virtual_slot AS INTEGER) AS virtual_slot FROM m
+  grown_shard, CAST(virtual_slot AS INTEGER) AS virtual_slot,
+  CAST(sum(size) OVER (PARTITION BY virtual_slot) AS BIGINT) AS slot_bytes FROM m
 """
 
 
