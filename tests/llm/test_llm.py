@@ -480,3 +480,59 @@ def test_copies_that_are_linked_only_through_their_source(spark):
     rng.shuffle(texts)
     got = near_duplicates.groups(docs_of(spark, texts)).collect()
     assert {r.component_id for r in got} == {0}
+
+
+def test_toxicity_learns_from_every_labelled_row_and_whole_texts(spark, monkeypatch):
+    rng = random.Random(31)
+    # the only sign of a rare group: one text of 20,500 words, its word at the end, among rows of which 2,000 were drawn
+    texts = [words(rng, 6, 300) + (f" vile{i % 5}" if i % 2 else "") for i in range(9000)]
+    texts[1] = words(rng, 20_500, 300) + " vile1"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9000)], "doc_id long, toxic int")
+    rows = toxicity.labelled_words(docs_of(spark, texts), labels, "doc_id", 23).collect()
+    assert len(rows) == 9000 and max(len(r.ids) // 4 for r in rows) == 20_501
+    assert {r.part for r in rows} == {toxicity.HELD, *range(toxicity.STRIPES)}
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, sizes, ids, n, toxic: seen.append((sizes, dict(zip(ids, n, strict=True)))) or fit(rows, sizes, ids, n, toxic))
+    model = toxicity.train(docs_of(spark, texts), labels)
+    sizes, counts = seen[0]
+    held = [t for t, r in zip(texts, rows, strict=False) if r.part == toxicity.HELD]
+    assert sum(sizes.values()) == 9000 and sum(c for (part, _), c in sizes.items() if part == toxicity.HELD) == len(held)
+    train_rows = [r for r in rows if r.part != toxicity.HELD]
+    for w in (b"vile1", b"vile3"):
+        assert counts[toxicity.bucket(w)] == sum(toxicity.bucket(w) in np.frombuffer(r.ids, np.int32) for r in train_rows)
+    got = toxicity.score(docs_of(spark, ["calm words", words(rng, 30_000, 300) + " vile3"]), model, ["doc_id"]).collect()
+    assert [r.predicted for r in sorted(got)] == [0, 1]
+
+
+def test_toxicity_gradient_and_long_texts(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(1, 400, n).astype(np.int32) for n in (0, 1, 2, 40, 700, 5)]
+    emb = np.zeros((toxicity.BUCKETS, toxicity.DIM), np.float32)
+    emb[1:400] = rng.normal(0, 1, (399, toxicity.DIM))
+    model = toxicity.untrained(emb, rng)
+    whole = model.peaks(texts)
+    alone = [model.raw([t])[0][0] for t in texts]
+    assert np.allclose(model.raw(texts)[0], alone, atol=1e-6) and np.allclose(model.raw(texts[::-1])[0], alone[::-1], atol=1e-6)
+    monkeypatch.setattr(toxicity, "STRETCH", 64)
+    monkeypatch.setattr(toxicity.stretches, "__defaults__", (64,))
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(model.peaks(texts), whole, strict=True))
+    y, w = np.array([0, 1, 0, 1, 1, 0]), np.full(6, 1.5)
+    slots, sums = model.gradient(texts, y, w)
+    found = dict(zip(slots.tolist(), sums / toxicity.SCALE, strict=True))
+
+    def loss(m):
+        p = m.raw(texts)[0]
+        return float(-(w * np.where(y == 1, np.log(p), np.log(1 - p))).sum())
+
+    numbers = model.dense()
+    for k in (3, 200, 390, 420, len(numbers) - 1):
+        up, down = (np.array(numbers, float) for _ in "ab")
+        up[k] += 1e-3
+        down[k] -= 1e-3
+        values = []
+        for x in (up, down):
+            model.set_dense(x)
+            values.append(loss(model))
+        model.set_dense(numbers)
+        assert abs((values[0] - values[1]) / 2e-3 - found[-1 - k // 8][k % 8]) < 0.02 * max(1, abs(found[-1 - k // 8][k % 8]))
