@@ -292,14 +292,17 @@ def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
 
     Two linked sets share one of their rarest shingles: of n shingles in order of frequency, the first n - limit n + 1.
     What very many sets have in common (a passage, common words) comes last in that order. Of sets that meet at a shingle
-    only those whose sketches are alike become a pair, so a passage that many sets hold makes no rows of its own.
+    only those become a pair whose sketches are alike and that have enough shingles from there on (``at`` counts those
+    before) to be linked, as is so at the first shingle that linked sets share. So neither a passage that many sets hold
+    nor the text that noisy copies go back to makes rows of its own.
     """
     items = materialize(sets.select("doc", "set").join(member.select("doc"), "doc").mapInArrow(_members, "doc long, n long, shingle long"), "nd_items")
     often = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ranked = items.join(often, "shingle").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
     # shingles of one set only come first in the order; they are not in the list, which is that much shorter
     head = F.size("s") + 1 - F.expr(f"(n * {round(limit * 100)} + 99) div 100")
-    heads = ranked.where(head > 0).select("doc", "n", F.explode(F.slice("s", F.lit(1), head.cast("int"))).alias("s")).select("doc", "n", "s.shingle")
+    heads = ranked.where(head > 0).select("doc", "n", F.size("s").alias("c"), F.posexplode(F.slice("s", F.lit(1), head.cast("int"))).alias("at", "s"))
+    heads = heads.select("doc", "n", (F.col("n") - F.col("c") + F.col("at")).alias("at"), "s.shingle")
     heads = materialize(heads.join(member, "doc"), "nd_heads")
     mixed_ = heads.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     heads = materialize(heads.join(mixed_, "shingle", "left_semi"), "nd_heads")
@@ -307,9 +310,13 @@ def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
 
 
 def _meeting(rows: DataFrame, key: str, limit: float) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (key, doc, root, n, sketch) under one key that are of different roots and can be linked."""
-    one, two = (rows.select(key, F.col("doc").alias(end), *[F.col(c).alias(f"{c}{end}") for c in ("root", "n", *BITS)]) for end in "ab")
-    sizes = f"100 * least(na, nb) >= {round(limit * 100)} * greatest(na, nb)"
+    """Pairs (a, b) of ``rows`` (key, doc, root, n, sketch) under one key that are of different roots and can be linked;
+    with a column ``at``, by the shingles from there on."""
+    top, placed = round(limit * 100), "at" in rows.columns
+    one, two = (rows.select(key, F.col("doc").alias(end), *[F.col(c).alias(f"{c}{end}") for c in ("root", "n", *["at"] * placed, *BITS)]) for end in "ab")
+    sizes = f"100 * least(na, nb) >= {top} * greatest(na, nb)"
+    if placed:
+        sizes = f"{100 + top} * least(na - ata, nb - atb) >= {top} * (na + nb) AND {sizes}"
     return one.join(two, key).where(f"a < b AND roota <> rootb AND {sizes} AND {alike(limit)}").select("a", "b")
 
 

@@ -536,3 +536,34 @@ def test_toxicity_gradient_and_long_texts(monkeypatch):
             values.append(loss(model))
         model.set_dense(numbers)
         assert abs((values[0] - values[1]) / 2e-3 - found[-1 - k // 8][k % 8]) < 0.02 * max(1, abs(found[-1 - k // 8][k % 8]))
+
+
+def test_rare_shingles_refute_noisy_copies_without_pairs(spark):
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+
+    def copy(changes):
+        own = list(base)
+        for i in rng.sample(range(150), changes):
+            own[i] = f"x{rng.randrange(10**6)}"
+        return own
+
+    # a group of close copies, copies a little too noisy to be linked with any, and pairs of those that are
+    texts = [copy(1 if i % 2 else 9 + i % 4) for i in range(120)]
+    for i in range(0, 120, 20):
+        texts.append([*texts[i][:70], "other", *texts[i][71:]])
+    memo = near_duplicates.word_hashes()
+    sets = [near_duplicates.shingle_set(" ".join(t).encode(), 2, memo) for t in texts]
+    linked = set()
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(a, sets[j]))
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both) and not (i % 2 and j % 2 and j < 120):
+                linked.add((i, j))
+    assert {(i, 120 + i // 20) for i in range(0, 120, 20)} <= linked
+    bits = near_duplicates.sketch(np.stack([near_duplicates.signature(s) for s in sets])).tolist()
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "doc long, set binary")
+    member = spark.createDataFrame([(i, 1 if i % 2 and i < 120 else i, *b) for i, b in enumerate(bits)], ["doc", "root", *near_duplicates.BITS])
+    met = near_duplicates.sharing_rare(table, member, 0.8).collect()
+    assert linked <= {(r.a, r.b) for r in met}
+    assert len({(r.a, r.b) for r in met}) <= len(texts)  # thousands without the places of shingles
