@@ -29,8 +29,8 @@ CERTAIN = 24
 FEW = 30
 #: Members from which a bucket with several components is not searched by pairs of members.
 CROWDED = 24
-#: Hubs that the members of a bucket are compared with before the rest of a bucket is searched.
-HUBS = 6
+#: Hubs that the members of a bucket are compared with, after the first, before the rest of a bucket is searched.
+HUBS = 2
 #: What tells sets apart, and texts under one key.
 SET, ROW = ("n", "h1", "h2"), ("t1", "t2")
 #: Stands for a null key: after all others.
@@ -79,23 +79,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-BITS = ("b0", "b1", "b2", "b3")
+#: The first bits of all registers, then the second ones.
+BITS = ("b0", "b1", "b2", "b3", "b4", "b5", "b6", "b7")
 
 
 def sketch(registers: np.ndarray) -> np.ndarray:
-    """One bit of each register of rows of signatures, as four numbers: what a join can compare before it makes a row."""
+    """Two bits of each register of rows of signatures, as eight numbers: what a join can compare before it makes a row."""
     at = np.arange(REGISTERS, dtype=np.uint64)
-    bits = (mixed(mixed(registers.astype(np.uint64) * np.uint64(REGISTERS) + at)) & np.uint64(1)) * (registers > 0)
+    bits = mixed(mixed(registers.astype(np.uint64) * np.uint64(REGISTERS) + at)) * (registers > 0)
+    bits = np.concatenate([bits & np.uint64(1), (bits >> np.uint64(1)) & np.uint64(1)], axis=1)
     return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
 
 
 def alike(limit: float, a: str = "a", b: str = "b") -> str:
-    """Whether two sketches differ in no more bits than those of a linked pair can: the mean at the limit and six standard
-    errors. ``a`` and ``b`` are the ends of the column names; sizes are ``n<a>`` and ``n<b>``."""
-    q = (1 - limit) / 2
-    differ = " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in BITS)
+    """Whether two sketches differ in no more registers than those of a linked pair can: the mean at the limit and six
+    standard errors, and never more than the sets can have different shingles, as each changes one register. ``a`` and
+    ``b`` are the ends of the column names; sizes are ``n<a>`` and ``n<b>``."""
+    q, top = (1 - limit) * 3 / 4, round(limit * 100)
+    differ = " + ".join(f"bit_count(({c}{a} ^ {c}{b}) | ({d}{a} ^ {d}{b}))" for c, d in zip(BITS[:4], BITS[4:], strict=True))
     used = f"({REGISTERS}D * (1 - exp(-least(n{a}, n{b}) / {limit * REGISTERS!r}D)))"
-    return f"{differ} <= {q!r}D * {used} + 6 * sqrt({q * (1 - q)!r}D * {used}) + 2"
+    likely = f"{differ} <= {q!r}D * {used} + 6 * sqrt({q * (1 - q)!r}D * {used}) + 2"
+    return f"{100 + top} * ({differ}) <= {100 - top} * (n{a} + n{b}) AND {likely}"
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,11 +210,19 @@ def _banded(limit: float):
 
 
 def _likely(limit: float):
+    """Keep the pairs whose signatures are alike enough; with sizes, those that differ in no more registers than linked sets
+    can have different shingles."""
+    top = round(limit * 100)
+
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
             few = ((a > 0) | (b > 0)).sum(axis=1) <= FEW
-            yield batch.select(["a", "b"]).filter(pa.array(few | (estimate(a, b) >= limit - slack(a, b, limit))))
+            keep = few | (estimate(a, b) >= limit - slack(a, b, limit))
+            if "na" in batch.schema.names:
+                sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                keep &= (100 + top) * (a != b).sum(axis=1) <= (100 - top) * sizes
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -309,21 +321,56 @@ def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
     return _meeting(heads, "shingle", limit)
 
 
+def _end(rows: DataFrame, key: str, end: str) -> DataFrame:
+    """``rows`` with ``end`` for the name of the set and as the end of the other names."""
+    return rows.select(key, F.col("doc").alias(end), *[F.col(c).alias(f"{c}{end}") for c in rows.columns if c not in (key, "doc")])
+
+
+def _can_link(limit: float) -> str:
+    """Whether ends a and b (root, n, sketch) are of different roots and can be linked."""
+    return f"roota <> rootb AND 100 * least(na, nb) >= {round(limit * 100)} * greatest(na, nb) AND {alike(limit)}"
+
+
+def _matched(one: DataFrame, two: DataFrame, key: str, limit: float) -> DataFrame:
+    """The rows of ``one`` and ``two`` (key, doc, root, n, sketch) under one key that are of different roots and can be linked."""
+    return _end(one, key, "a").join(_end(two, key, "b"), key).where(_can_link(limit))
+
+
+def _with_partner(rows: DataFrame, limit: float) -> DataFrame:
+    """The ``rows`` (key, c, doc, root, n, sketch) that can be linked with another one of their bucket; all rows of crowded
+    buckets (``c``: members)."""
+    few, own = rows.where(F.col("c") < CROWDED), ["key", "doc", "root", "n", *BITS]
+    one, two = _end(few.select(*own), "key", "a"), _end(few.select(*own), "key", "b").withColumnRenamed("key", "keyb")
+    kept = one.join(two, F.expr(f"key = keyb AND {_can_link(limit)}"), "left_semi")
+    kept = kept.select("key", F.col("a").alias("doc"), *[F.col(f"{c}a").alias(c) for c in own[2:]])
+    return kept.unionByName(rows.where(F.col("c") >= CROWDED).select(*own))
+
+
 def _meeting(rows: DataFrame, key: str, limit: float) -> DataFrame:
     """Pairs (a, b) of ``rows`` (key, doc, root, n, sketch) under one key that are of different roots and can be linked;
     with a column ``at``, by the shingles from there on."""
-    top, placed = round(limit * 100), "at" in rows.columns
-    one, two = (rows.select(key, F.col("doc").alias(end), *[F.col(c).alias(f"{c}{end}") for c in ("root", "n", *["at"] * placed, *BITS)]) for end in "ab")
-    sizes = f"100 * least(na, nb) >= {top} * greatest(na, nb)"
-    if placed:
-        sizes = f"{100 + top} * least(na - ata, nb - atb) >= {top} * (na + nb) AND {sizes}"
-    return one.join(two, key).where(f"a < b AND roota <> rootb AND {sizes} AND {alike(limit)}").select("a", "b")
+    top = round(limit * 100)
+    rows = rows.select(key, "doc", "root", "n", *[c for c in ("at",) if c in rows.columns], *BITS)
+    pairs = _matched(rows, rows, key, limit).where("a < b")
+    if "at" in rows.columns:
+        pairs = pairs.where(f"{100 + top} * least(na - ata, nb - atb) >= {top} * (na + nb)")
+    return pairs.select("a", "b")
 
 
-def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    one = table.select(F.col("doc").alias("a"), F.col(value).alias("sa"))
-    two = table.select(F.col("doc").alias("b"), F.col(value).alias("sb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb")
+def _with_hubs(rows: DataFrame, limit: float, seeds: range) -> DataFrame:
+    """Pairs (a, b) of the ``rows`` (key, doc, root, n, sketch) and some hubs of their bucket, where they are of different
+    roots and can be linked: as many hubs as ``seeds``, so the comparisons grow with the rows. The join leaves out what
+    sketches tell apart; no pair is made of it."""
+    own = ["doc", "root", "n", *BITS]
+    hubs = rows.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("o"), *own)).alias(f"h{s}") for s in seeds])
+    hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"h{s}.{c}") for c in own]) for s in seeds]))).alias("h"))
+    hubs = materialize(hubs.select("key", "h.*"), "nd_hubs")
+    return _matched(hubs, rows.select("key", *own), "key", limit).select("a", "b")
+
+
+def _with_both(pairs: DataFrame, table: DataFrame, value: str, *others: str) -> DataFrame:
+    one, two = (table.select(F.col("doc").alias(x), F.col(value).alias(f"s{x}"), *[F.col(c).alias(f"{c}{x}") for c in others]) for x in "ab")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb", *[f"{c}{x}" for x in "ab" for c in others])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -359,21 +406,19 @@ def _grouped(docs: DataFrame, key: str, k: int, limit: float, marks: list[Column
     of its component, by key and then by the marks of the text."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
     source = docs.select(doc.alias("key"), *[c.alias(name) for name, c in zip(ROW, marks, strict=True)], text_bytes().alias("_text"))
-    signed = materialize(source.mapInArrow(_signed(k), "key long, t1 long, t2 long, n long, h1 long, h2 long, sig binary, b0 long, b1 long, b2 long, b3 long"), "nd_signed")
+    signed = materialize(source.mapInArrow(_signed(k), f"key long, t1 long, t2 long, n long, h1 long, h2 long, sig binary, {', '.join(f'{c} long' for c in BITS)}"), "nd_signed")
     mark = list(SET)
     first = F.min(F.struct("key", *ROW)).alias("first")
     classes = signed.where(F.col("n") > 0).groupBy(*mark).agg(first, *[F.first(c).alias(c) for c in ("sig", *BITS)]).withColumn("first_key", F.col("first.key"))
     classes = materialize(classes.withColumn("doc", F.monotonically_increasing_id()), "nd_classes")  # doc: number of the class
     keys = materialize(classes.select("doc", "n", "sig").mapInArrow(_banded(limit), "doc long, key long"), "nd_keys")
-    spread = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("o"), F.col("doc").alias("d"))).alias(f"h{s}") for s in range(HUBS)]
-    hubs = [F.col(f"h{s}.d").alias(f"h{s}") for s in range(HUBS)]
-    # buckets with several members first, so that hubs are only looked for among their rows
-    shared = materialize(keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key"), "nd_shared")
-    bucketed = materialize(keys.join(shared, "key", "left_semi"), "nd_bucketed")
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "nd_shared")
+    # buckets with several members only, so that sketches are laid beside few rows; texts are fetched for rows with a partner
+    bucketed = materialize(keys.join(shared, "key"), "nd_bucketed")
     discard(keys)
-    chosen = materialize(bucketed.groupBy("key").agg(*spread).select("key", *hubs), "nd_hubs")
-    near = materialize(bucketed.join(chosen, "key"), "nd_near")
-    for table in (shared, bucketed, chosen):
+    sketched = materialize(bucketed.join(classes.select("doc", F.col("doc").alias("root"), "n", *BITS), "doc"), "nd_sketched")
+    near = materialize(_with_partner(sketched, limit), "nd_near")
+    for table in (shared, bucketed, sketched):
         discard(table)
     needed = classes.join(near.select("doc").distinct(), "doc", "left_semi").select("doc", "h1", "h2", F.col("first_key").alias("key"))
     texts = source.join(materialize(needed, "nd_needed"), "key").select("doc", "h1", "h2", "_text")
@@ -381,7 +426,7 @@ def _grouped(docs: DataFrame, key: str, k: int, limit: float, marks: list[Column
     sets = materialize(sets.groupBy("doc").agg(F.first("set").alias("set"), F.first("brief").alias("brief")), "nd_sets")
 
     def confirmed(pairs):
-        likely = materialize(_with_both(pairs.distinct(), classes, "sig").mapInArrow(_likely(limit), "a long, b long"), "nd_likely")
+        likely = materialize(_with_both(pairs.distinct(), classes, "sig", "n").mapInArrow(_likely(limit), "a long, b long"), "nd_likely")
         likely = materialize(_with_both(likely, sets, "brief").mapInArrow(_possible(limit), "a long, b long"), "nd_possible")
         return materialize(_with_both(likely, sets, "set").mapInArrow(_linked(limit), "a long, b long"), "nd_links")
 
@@ -389,21 +434,22 @@ def _grouped(docs: DataFrame, key: str, k: int, limit: float, marks: list[Column
         own = roots.select(F.col("doc").alias(doc), F.col("root").alias(name))
         return rows.join(own, doc, "left").withColumn(name, F.coalesce(name, doc))
 
-    links = confirmed(near.where("doc <> h0").select(F.col("h0").alias("a"), F.col("doc").alias("b")))
-    roots = materialize(components(links), "nd_roots")
-    other = near.select("doc", F.explode(F.array(*[f"h{s}" for s in range(1, HUBS)])).alias("hub")).where("doc <> hub").distinct()
-    apart = rooted(rooted(other, roots, "doc", "r1"), roots, "hub", "r2").where("r1 <> r2")
-    links = links.unionByName(confirmed(apart.select(F.col("hub").alias("a"), F.col("doc").alias("b"))))
-    roots = materialize(components(links), "nd_roots")
-    member = materialize(rooted(near.select("key", "doc"), roots, "doc", "root"), "nd_member")
-    split = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
-    open_ = materialize(member.join(split, "key"), "nd_open")
-    for table in (near, member):
-        discard(table)
-    few = open_.where(F.col("c") < CROWDED).join(classes.select("doc", "n", *BITS), "doc")
-    last = confirmed(_meeting(few, "key", limit))
-    crowded = open_.where(F.col("c") >= CROWDED).select("doc", "root").distinct().join(classes.select("doc", *BITS), "doc")
-    last = last.unionByName(confirmed(sharing_rare(sets, materialize(crowded, "nd_crowded"), limit)))
+    def still_open(rows, roots):
+        """The rows, with their roots, of buckets that hold several components; ``c``: members of the bucket."""
+        member = materialize(rooted(rows.drop("root", "c"), roots, "doc", "root"), "nd_member")
+        split = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
+        out = materialize(member.join(split, "key"), "nd_open")
+        for table in (rows, member):
+            discard(table)
+        return out
+
+    links = confirmed(_with_hubs(near, limit, range(1)))
+    open_ = still_open(near, materialize(components(links), "nd_roots"))
+    links = links.unionByName(confirmed(_with_hubs(open_, limit, range(1, 1 + HUBS))))
+    open_ = still_open(open_, materialize(components(links), "nd_roots"))
+    crowded = open_.where(F.col("c") >= CROWDED).select("doc", "root", *BITS).dropDuplicates(["doc"])
+    rare = sharing_rare(sets, materialize(crowded, "nd_crowded"), limit)
+    last = confirmed(_meeting(open_.where(F.col("c") < CROWDED), "key", limit).unionByName(rare))
     roots = materialize(components(links.unionByName(last)), "nd_roots")
     for table in (open_, sets):
         discard(table)
@@ -417,9 +463,9 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
     and ``kept`` (the row has that key).
 
     Two sets are linked if 100 times their intersection is at least 100 ``limit`` times their union. Equal sets are one
-    class and are never compared. Then, in every band bucket, members are compared with a hub, then with some more hubs;
-    last, in buckets that still hold several components, members of different components; the members of crowded ones by
-    their rarest shingles. So pairs within a group that is connected already are never made, and no pair of bucket members
+    class and are never compared. Then, in every band bucket, rows whose sketch is like no other one's are left out (not in
+    crowded ones); members are compared with a hub, then with some more hubs; last, in buckets that still hold several
+    components, members of different components; the members of crowded ones by their rarest shingles. So pairs within a group that is connected already are never made, and no pair of bucket members
     that could connect two groups is left out.
 
     Null, empty and blank texts have no shingles and are linked with nothing; repeated rows share a component; of rows

@@ -468,6 +468,18 @@ def test_sketches_of_linked_sets_are_alike(spark):
     assert spark.createDataFrame(rows, names).where(near_duplicates.alike(0.8)).count() == len(rows)
 
 
+def test_pairs_with_too_many_different_registers_are_left_out():
+    rng = np.random.default_rng(5)
+    rows = []
+    for differ in (2, 12):  # of 20 shingles each: linked, and far from it, though both use few registers
+        union = rng.integers(0, 1 << 63, 20 + differ // 2).astype(np.uint64)
+        rows.append([np.sort(union[:20]), np.sort(union[differ // 2 :])])
+    signs = [pa.array([near_duplicates.signature(r[i]).tobytes() for r in rows]) for i in (0, 1)]
+    ids, sizes = pa.array([0, 1]), pa.array([20, 20])
+    batch = pa.RecordBatch.from_arrays([ids, ids, *signs, sizes, sizes], names=["a", "b", "sa", "sb", "na", "nb"])
+    assert [x for out in near_duplicates._likely(0.8)([batch]) for x in out.column("a").to_pylist()] == [0]
+
+
 def test_copies_that_are_linked_only_through_their_source(spark):
     rng = random.Random(15)
     source = [f"s{i}" for i in range(400)]
