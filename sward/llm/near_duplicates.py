@@ -31,6 +31,8 @@ FEW = 30
 CROWDED = 24
 #: Hubs that the members of a bucket are compared with, after the first, before the rest of a bucket is searched.
 HUBS = 2
+#: Words of 64 bits, at most, in the map of wanted keys that goes to every task (16 bits a key up to there).
+WORDS = 1 << 19
 #: What tells sets apart, and texts under one key.
 SET, ROW = ("n", "h1", "h2"), ("t1", "t2")
 #: Stands for a null key: after all others.
@@ -276,14 +278,11 @@ def _sets(k: int):
     def run(batches):
         memo = word_hashes()
         for batch in batches:
-            ids, sets, lows = [], [], []
-            for c, h1, h2, text in zip(*[batch.column(x).to_pylist() for x in ("doc", "h1", "h2", "_text")], strict=True):
-                s = shingle_set(text, k, memo)
-                if _marks(s) == (h1, h2):  # not another text under the same key
-                    ids.append(c)
-                    sets.append(s.tobytes())
-                    lows.append({"n": len(s), "low": brief(s)})
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(lows, _LOW)], names=["doc", "set", "brief"])
+            sets = [shingle_set(text, k, memo) for text in batch.column("_text").to_pylist()]
+            lows = [{"n": len(s), "low": brief(s)} for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(lows, _LOW)], names=["doc", "set", "brief"]
+            )
 
     return run
 
@@ -315,12 +314,32 @@ def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
     head = F.size("s") + 1 - F.expr(f"(n * {round(limit * 100)} + 99) div 100")
     heads = ranked.where(head > 0).select("doc", "n", F.size("s").alias("c"), F.posexplode(F.slice("s", F.lit(1), head.cast("int"))).alias("at", "s"))
     heads = heads.select("doc", "n", (F.col("n") - F.col("c") + F.col("at")).alias("at"), "s.shingle")
-    heads = materialize(heads.join(member, "doc"), "nd_heads")
+    heads = all_heads = materialize(heads.join(member, "doc"), "nd_heads")
+    discard(items)
     mixed_ = heads.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     heads = materialize(heads.join(mixed_, "shingle", "left_semi"), "nd_heads")
+    discard(all_heads)
     return _meeting(heads, "shingle", limit)
 
 
+def _sifted(rows: DataFrame, key: str, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The ``rows`` whose ``key`` may be in the stored table ``wanted`` (``left_anti``: the others): all that are, and few more.
+    A join by key then moves little more than it needs. Every task gets a map with a bit for each hash of a key, of bounded
+    size: with very many wanted keys it tells fewer rows apart."""
+    word, bits = unused(rows, "_word", "_bits")
+    slots = 64 * min(WORDS, max(1, wanted.count() // 4))
+
+    def bit(name):
+        return f"cast(pmod(xxhash64(`{name}`), {slots}L) % 64 AS int)"
+
+    def at(name):
+        return f"pmod(xxhash64(`{name}`), {slots}L) div 64"
+
+    own = wanted.columns[0]
+    words = wanted.select(F.expr(at(own)).alias(word), F.expr(f"shiftleft(1L, {bit(own)})").alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    return rows.join(F.broadcast(words), F.expr(f"{at(key)} = `{word}` AND shiftright(`{bits}`, {bit(key)}) & 1L = 1L"), how)
+
+
 def _end(rows: DataFrame, key: str, end: str) -> DataFrame:
     """``rows`` with ``end`` for the name of the set and as the end of the other names."""
     return rows.select(key, F.col("doc").alias(end), *[F.col(c).alias(f"{c}{end}") for c in rows.columns if c not in (key, "doc")])
@@ -337,13 +356,14 @@ def _matched(one: DataFrame, two: DataFrame, key: str, limit: float) -> DataFram
 
 
 def _with_partner(rows: DataFrame, limit: float) -> DataFrame:
-    """The ``rows`` (key, c, doc, root, n, sketch) that can be linked with another one of their bucket; all rows of crowded
-    buckets (``c``: members)."""
-    few, own = rows.where(F.col("c") < CROWDED), ["key", "doc", "root", "n", *BITS]
-    one, two = _end(few.select(*own), "key", "a"), _end(few.select(*own), "key", "b").withColumnRenamed("key", "keyb")
-    kept = one.join(two, F.expr(f"key = keyb AND {_can_link(limit)}"), "left_semi")
-    kept = kept.select("key", F.col("a").alias("doc"), *[F.col(f"{c}a").alias(c) for c in own[2:]])
-    return kept.unionByName(rows.where(F.col("c") >= CROWDED).select(*own))
+    """The ``rows`` (key, c, doc, n, sketch) that can be linked with another one of their bucket, and all rows of crowded
+    buckets (``c``: members); ``root``: the set itself. Both ends of the join have the same columns, so rows move once."""
+    rows = rows.withColumnRenamed("doc", "root")
+    own = ["key", "root", "n", *BITS]
+    one, two = (rows.where(F.col("c") < CROWDED).select(*[F.col(c).alias(f"{c}{x}") for c in own]) for x in "ab")
+    kept = one.join(two, F.expr(f"keya = keyb AND {_can_link(limit)}"), "left_semi").select(*[F.col(f"{c}a").alias(c) for c in own])
+    kept = kept.unionByName(rows.where(F.col("c") >= CROWDED).select(*own))
+    return kept.withColumn("doc", F.col("root"))
 
 
 def _meeting(rows: DataFrame, key: str, limit: float) -> DataFrame:
@@ -358,17 +378,22 @@ def _meeting(rows: DataFrame, key: str, limit: float) -> DataFrame:
 
 
 def _with_hubs(rows: DataFrame, limit: float, seeds: range) -> DataFrame:
-    """Pairs (a, b) of the ``rows`` (key, doc, root, n, sketch) and some hubs of their bucket, where they are of different
-    roots and can be linked: as many hubs as ``seeds``, so the comparisons grow with the rows. The join leaves out what
-    sketches tell apart; no pair is made of it."""
+    """Different pairs (a, b) of the ``rows`` (key, doc, root, n, sketch) and some hubs of their bucket, where they are of
+    different roots and can be linked: as many hubs as ``seeds``, so the comparisons grow with the rows. The join leaves out
+    what sketches tell apart; no pair is made of it."""
     own = ["doc", "root", "n", *BITS]
     hubs = rows.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("o"), *own)).alias(f"h{s}") for s in seeds])
     hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"h{s}.{c}") for c in own]) for s in seeds]))).alias("h"))
     hubs = materialize(hubs.select("key", "h.*"), "nd_hubs")
-    return _matched(hubs, rows.select("key", *own), "key", limit).select("a", "b")
+    pairs = materialize(_matched(hubs, rows.select("key", *own), "key", limit).select("a", "b").distinct(), "nd_pairs")
+    discard(hubs)
+    return pairs
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, value: str, *others: str) -> DataFrame:
+    """The stored ``pairs`` with columns of both ends; of the ``table`` only the rows of ends move."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "nd_ends")
+    table = _sifted(table.select("doc", value, *others), "doc", ends)
     one, two = (table.select(F.col("doc").alias(x), F.col(value).alias(f"s{x}"), *[F.col(c).alias(f"{c}{x}") for c in others]) for x in "ab")
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb", *[f"{c}{x}" for x in "ab" for c in others])
 
@@ -401,46 +426,47 @@ def text_marks() -> list[Column]:
     return [F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))]
 
 
-def _grouped(docs: DataFrame, key: str, k: int, limit: float, marks: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """The rows (key, ``marks`` of the text, marks of the set), and for the marks of every set with shingles the first row
+def _grouped(docs: DataFrame, key: str, k: int, limit: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, marks of the text, size and marks of the set), and for the marks of every set with shingles the first row
     of its component, by key and then by the marks of the text."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
-    source = docs.select(doc.alias("key"), *[c.alias(name) for name, c in zip(ROW, marks, strict=True)], text_bytes().alias("_text"))
+    source = docs.select(doc.alias("key"), *[c.alias(name) for name, c in zip(ROW, text_marks(), strict=True)], text_bytes().alias("_text"))
     signed = materialize(source.mapInArrow(_signed(k), f"key long, t1 long, t2 long, n long, h1 long, h2 long, sig binary, {', '.join(f'{c} long' for c in BITS)}"), "nd_signed")
     mark = list(SET)
     first = F.min(F.struct("key", *ROW)).alias("first")
-    classes = signed.where(F.col("n") > 0).groupBy(*mark).agg(first, *[F.first(c).alias(c) for c in ("sig", *BITS)]).withColumn("first_key", F.col("first.key"))
+    classes = signed.where(F.col("n") > 0).groupBy(*mark).agg(first, *[F.first(c).alias(c) for c in ("sig", *BITS)])
     classes = materialize(classes.withColumn("doc", F.monotonically_increasing_id()), "nd_classes")  # doc: number of the class
+    rows = materialize(signed.select("key", *ROW, *mark), "nd_rows")
+    discard(signed)
     keys = materialize(classes.select("doc", "n", "sig").mapInArrow(_banded(limit), "doc long, key long"), "nd_keys")
     shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "nd_shared")
     # buckets with several members only, so that sketches are laid beside few rows; texts are fetched for rows with a partner
     bucketed = materialize(keys.join(shared, "key"), "nd_bucketed")
     discard(keys)
-    sketched = materialize(bucketed.join(classes.select("doc", F.col("doc").alias("root"), "n", *BITS), "doc"), "nd_sketched")
+    sketched = materialize(bucketed.join(classes.select("doc", "n", *BITS), "doc"), "nd_sketched")
     near = materialize(_with_partner(sketched, limit), "nd_near")
     for table in (shared, bucketed, sketched):
         discard(table)
-    needed = classes.join(near.select("doc").distinct(), "doc", "left_semi").select("doc", "h1", "h2", F.col("first_key").alias("key"))
-    texts = source.join(materialize(needed, "nd_needed"), "key").select("doc", "h1", "h2", "_text")
-    sets = texts.mapInArrow(_sets(k), "doc long, set binary, brief struct<n long, low binary>")
-    sets = materialize(sets.groupBy("doc").agg(F.first("set").alias("set"), F.first("brief").alias("brief")), "nd_sets")
+    needed = classes.join(near.select("doc").distinct(), "doc", "left_semi").select("first.*", "doc")
+    needed = materialize(needed, "nd_needed")
+    texts = _sifted(source, "key", needed).dropDuplicates(["key", *ROW]).join(needed, ["key", *ROW]).select("doc", "_text")
+    sets = materialize(texts.mapInArrow(_sets(k), "doc long, set binary, brief struct<n long, low binary>"), "nd_sets")
 
     def confirmed(pairs):
-        likely = materialize(_with_both(pairs.distinct(), classes, "sig", "n").mapInArrow(_likely(limit), "a long, b long"), "nd_likely")
+        likely = materialize(_with_both(pairs, classes, "sig", "n").mapInArrow(_likely(limit), "a long, b long"), "nd_likely")
         likely = materialize(_with_both(likely, sets, "brief").mapInArrow(_possible(limit), "a long, b long"), "nd_possible")
         return materialize(_with_both(likely, sets, "set").mapInArrow(_linked(limit), "a long, b long"), "nd_links")
 
-    def rooted(rows, roots, doc, name):
-        own = roots.select(F.col("doc").alias(doc), F.col("root").alias(name))
-        return rows.join(own, doc, "left").withColumn(name, F.coalesce(name, doc))
+    def rooted(table, roots):
+        return table.join(roots.select("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
 
-    def still_open(rows, roots):
+    def still_open(table, roots):
         """The rows, with their roots, of buckets that hold several components; ``c``: members of the bucket."""
-        member = materialize(rooted(rows.drop("root", "c"), roots, "doc", "root"), "nd_member")
+        member = materialize(rooted(table.drop("root", "c"), roots), "nd_member")
         split = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
         out = materialize(member.join(split, "key"), "nd_open")
-        for table in (rows, member):
-            discard(table)
+        for spent in (table, member):
+            discard(spent)
         return out
 
     links = confirmed(_with_hubs(near, limit, range(1)))
@@ -449,13 +475,15 @@ def _grouped(docs: DataFrame, key: str, k: int, limit: float, marks: list[Column
     open_ = still_open(open_, materialize(components(links), "nd_roots"))
     crowded = open_.where(F.col("c") >= CROWDED).select("doc", "root", *BITS).dropDuplicates(["doc"])
     rare = sharing_rare(sets, materialize(crowded, "nd_crowded"), limit)
-    last = confirmed(_meeting(open_.where(F.col("c") < CROWDED), "key", limit).unionByName(rare))
+    last = _meeting(open_.where(F.col("c") < CROWDED), "key", limit).unionByName(rare).distinct()
+    last = confirmed(materialize(last, "nd_pairs"))
     roots = materialize(components(links.unionByName(last)), "nd_roots")
     for table in (open_, sets):
         discard(table)
-    tied = materialize(rooted(classes.select("doc", *mark, "first"), roots, "doc", "root"), "nd_tied")
+    tied = materialize(rooted(classes.select("doc", *mark, "first"), roots), "nd_tied")
     smallest = materialize(tied.groupBy("root").agg(F.min("first").alias("first_row")), "nd_smallest")
-    return signed, tied.select(*mark, "root").join(smallest, "root").select(*mark, "first_row")
+    discard(classes)
+    return rows, tied.select(*mark, "root").join(smallest, "root").select(*mark, "first_row")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8) -> DataFrame:
@@ -472,8 +500,8 @@ def groups(docs: DataFrame, key: str = "doc_id", k: int = 2, limit: float = 0.8)
     with one key and different texts each has the component of its own text; a null key comes after all others; an empty
     table gives an empty result; other columns are not read. The key must be an integer.
     """
-    signed, ends = _grouped(docs, key, k, limit, [F.lit(0).cast("long")] * 2)
-    out = signed.select("key", *SET).join(ends.select(*SET, F.col("first_row.key").alias("component")), list(SET), "left")
+    rows, ends = _grouped(docs, key, k, limit)
+    out = rows.select("key", *SET).join(ends.select(*SET, F.col("first_row.key").alias("component")), list(SET), "left")
     component = F.coalesce("component", "key")
     shown = [F.nullif(c, F.lit(NO_KEY)).cast(docs.schema[key].dataType) for c in (F.col("key"), component)]
     return out.select(shown[0].alias(key), F.col("n").alias("n_shingles"), shown[1].alias("component_id"), (component == F.col("key")).alias("kept"))
@@ -486,17 +514,17 @@ def without_copies(docs: DataFrame, key: str = "doc_id", k: int = 5, limit: floa
     near copies under the smallest key, or all without a key, one stays. Texts without words stay. Rows that repeat a kept
     key and its text come out once; null and empty tables are fine.
     """
-    signed, ends = _grouped(docs, key, k, limit, text_marks())
+    rows, ends = _grouped(docs, key, k, limit)
     own = ["key", *ROW]
-    lost = signed.select(*own, *SET).join(ends, list(SET)).where(F.struct(*own) != F.col("first_row"))
+    lost = rows.select(*own, *SET).join(ends, list(SET)).where(F.struct(*own) != F.col("first_row"))
     gone = materialize(lost.select(*own).distinct(), "nd_gone")
-    again = materialize(signed.groupBy(*own).count().where("count > 1").select(*own), "nd_again")
+    again = materialize(rows.groupBy(*own).count().where("count > 1").select(*own), "nd_again")
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
     names = unused(docs, *[f"_{c}" for c in own])
     marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(name) for name, c in zip(names, [doc, *text_marks()], strict=True)])
 
-    def among(rows, table, how):
-        return rows.join(table.select(*[F.col(c).alias(name) for name, c in zip(names, own, strict=True)]), names, how)
+    def among(some, table, how):
+        return some.join(table.select(*[F.col(c).alias(name) for name, c in zip(names, own, strict=True)]), names, how)
 
     kept = among(marked, gone, "left_anti")
     if again.isEmpty():

@@ -579,3 +579,22 @@ def test_rare_shingles_refute_noisy_copies_without_pairs(spark):
     met = near_duplicates.sharing_rare(table, member, 0.8).collect()
     assert linked <= {(r.a, r.b) for r in met}
     assert len({(r.a, r.b) for r in met}) <= len(texts)  # thousands without the places of shingles
+
+
+@pytest.mark.parametrize("most", [1, 1 << 19])
+def test_sifting_keeps_all_that_is_wanted(spark, monkeypatch, most):
+    monkeypatch.setattr(near_duplicates, "WORDS", most)
+    rows = spark.range(4000).selectExpr("id * 7 - 900 AS key", "1L AS _word", "2L AS _bits").cache()
+    wanted = spark.range(0, 28_000, 210).selectExpr("id - 900 AS key").cache()
+    some, others = (near_duplicates._sifted(rows, "key", wanted, how) for how in ("left_semi", "left_anti"))
+    assert some.columns == rows.columns and some.join(wanted, "key").count() == wanted.count()
+    assert some.count() + others.count() == 4000 and some.unionByName(others).distinct().count() == 4000
+    if most > 1:
+        assert some.count() < 1000
+    rng = random.Random(43)
+    texts = [words(rng, 20, 10_000) for _ in range(20)]
+    texts += [*[f"{t} again" for t in texts[:4]], texts[0], *EDGE]
+    docs = docs_of(spark, texts)
+    sizes, root = brute_groups(texts)
+    got = {r.doc_id: r for r in near_duplicates.groups(docs.unionByName(docs)).collect()}
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == list(zip(sizes, root, strict=True))
