@@ -523,11 +523,13 @@ def without_copies(docs: DataFrame, key: str = "doc_id", k: int = 5, limit: floa
     names = unused(docs, *[f"_{c}" for c in own])
     marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(name) for name, c in zip(names, [doc, *text_marks()], strict=True)])
 
+    touched = materialize(gone.unionByName(again).select("key").distinct(), "nd_touched")
+
     def among(some, table, how):
         return some.join(table.select(*[F.col(c).alias(name) for name, c in zip(names, own, strict=True)]), names, how)
 
-    kept = among(marked, gone, "left_anti")
-    if again.isEmpty():
-        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-    once = among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates([key, "text"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = among(_sifted(marked, names[0], touched), gone, "left_anti")
+    if not again.isEmpty():
+        kept = among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates([key, "text"]))
+    # the rows of other keys stay where they are
+    return _sifted(marked, names[0], touched, "left_anti").unionByName(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -581,6 +581,45 @@ def test_rare_shingles_refute_noisy_copies_without_pairs(spark):
     assert len({(r.a, r.b) for r in met}) <= len(texts)  # thousands without the places of shingles
 
 
+def shuffled_rows(df):
+    """Rows written to shuffles by the plan of ``df``, which has run."""
+    def walk(p):
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        if name in ("ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage"):
+            return walk(p.plan())
+        kids = p.children()
+        own = p.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        return own + sum(walk(kids.apply(i)) for i in range(kids.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_only_rows_that_are_wanted_move(spark, monkeypatch):
+    rng = random.Random(41)
+    texts = [words(rng, 40, 10_000) for _ in range(600)]
+    texts += [f"{t} again" for t in texts[:6]]
+    store, moved = near_duplicates.materialize, {}
+
+    def watched(df, name, *others):
+        if name in ("nd_sets", "nd_likely", "nd_possible", "nd_links"):
+            df.collect()
+            moved[name] = max(moved.get(name, 0), shuffled_rows(df))
+        return store(df, name, *others)
+
+    monkeypatch.setattr(near_duplicates, "materialize", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_duplicates.without_copies(docs_of(spark, texts))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(600))
+        moved["kept"] = shuffled_rows(kept)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all(n < 200 for n in moved.values()), moved
+
+
 @pytest.mark.parametrize("most", [1, 1 << 19])
 def test_sifting_keeps_all_that_is_wanted(spark, monkeypatch, most):
     monkeypatch.setattr(near_duplicates, "WORDS", most)
