@@ -93,6 +93,28 @@ def sketch(registers: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
 
 
+#: Parities of a set's shingles by their low bits. With twice as many numbers the code of a join is too long to be compiled
+#: to machine code, and the join takes several times as long.
+ODD = tuple(f"o{i}" for i in range(8))
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For rows of sets, a bit for each value of the low bits: whether an odd number of shingles have it; as numbers of 64 bits.
+    A shingle that is in one of two sets only changes one bit, so the rows differ in no more bits than the sets in shingles."""
+    slots = 64 * len(ODD)
+    bits = np.zeros((len(sets), slots), np.uint8)
+    for row, s in zip(bits, sets, strict=True):
+        row[:] = np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def few_differ(limit: float, a: str = "a", b: str = "b") -> str:
+    """Whether the parities of two sets differ in no more bits than linked sets can have different shingles: certain, and for
+    sets of up to 300 shingles nearly as sharp as the sets themselves. Names are as in ``alike``."""
+    top = round(limit * 100)
+    return f"{100 + top} * ({' + '.join(f'bit_count({c}{a} ^ {c}{b})' for c in ODD)}) <= {100 - top} * (n{a} + n{b})"
+
+
 def alike(limit: float, a: str = "a", b: str = "b") -> str:
     """Whether two sketches differ in no more registers than those of a linked pair can: the mean at the limit and six
     standard errors, and never more than the sets can have different shingles, as each changes one register. ``a`` and
@@ -298,16 +320,25 @@ def _members(batches):
             )
 
 
+def _parities(batches):
+    for batch in batches:
+        odd = parities([np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *[pa.array(odd[:, i]) for i in range(len(ODD))]], names=["doc", *ODD])
+
+
 def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
     """Pairs (a, b) of different roots that can be linked, among the sets of ``member`` (doc, root, sketch).
 
     Two linked sets share one of their rarest shingles: of n shingles in order of frequency, the first n - limit n + 1.
     What very many sets have in common (a passage, common words) comes last in that order. Of sets that meet at a shingle
-    only those become a pair whose sketches are alike and that have enough shingles from there on (``at`` counts those
-    before) to be linked, as is so at the first shingle that linked sets share. So neither a passage that many sets hold
+    only those become a pair whose sketches are alike, that have enough shingles from there on (``at`` counts those
+    before) to be linked, as is so at the first shingle that linked sets share, and whose parities do not tell that they
+    differ in too many. Noisy copies of one text share its shingles and have similar sketches, linked or not. So neither a passage that many sets hold
     nor the text that noisy copies go back to makes rows of its own.
     """
-    items = materialize(sets.select("doc", "set").join(member.select("doc"), "doc").mapInArrow(_members, "doc long, n long, shingle long"), "nd_items")
+    own = sets.select("doc", "set").join(member.select("doc"), "doc")
+    items = materialize(own.mapInArrow(_members, "doc long, n long, shingle long"), "nd_items")
+    odd = materialize(own.mapInArrow(_parities, f"doc long, {', '.join(f'{c} long' for c in ODD)}"), "nd_odd")
     often = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ranked = items.join(often, "shingle").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
     # shingles of one set only come first in the order; they are not in the list, which is that much shorter
@@ -317,7 +348,7 @@ def sharing_rare(sets: DataFrame, member: DataFrame, limit: float) -> DataFrame:
     heads = all_heads = materialize(heads.join(member, "doc"), "nd_heads")
     discard(items)
     mixed_ = heads.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    heads = materialize(heads.join(mixed_, "shingle", "left_semi"), "nd_heads")
+    heads = materialize(heads.join(mixed_, "shingle", "left_semi").join(odd, "doc"), "nd_heads")
     discard(all_heads)
     return _meeting(heads, "shingle", limit)
 
@@ -368,12 +399,14 @@ def _with_partner(rows: DataFrame, limit: float) -> DataFrame:
 
 def _meeting(rows: DataFrame, key: str, limit: float) -> DataFrame:
     """Pairs (a, b) of ``rows`` (key, doc, root, n, sketch) under one key that are of different roots and can be linked;
-    with a column ``at``, by the shingles from there on."""
+    with a column ``at``, by the shingles from there on, and with parities by those."""
     top = round(limit * 100)
-    rows = rows.select(key, "doc", "root", "n", *[c for c in ("at",) if c in rows.columns], *BITS)
+    rows = rows.select(key, "doc", "root", "n", *[c for c in ("at",) if c in rows.columns], *BITS, *[c for c in ODD if c in rows.columns])
     pairs = _matched(rows, rows, key, limit).where("a < b")
     if "at" in rows.columns:
         pairs = pairs.where(f"{100 + top} * least(na - ata, nb - atb) >= {top} * (na + nb)")
+    if ODD[0] in rows.columns:
+        pairs = pairs.where(few_differ(limit))
     return pairs.select("a", "b")
 
 

@@ -581,6 +581,41 @@ def test_rare_shingles_refute_noisy_copies_without_pairs(spark):
     assert len({(r.a, r.b) for r in met}) <= len(texts)  # thousands without the places of shingles
 
 
+def test_noisy_copies_of_one_text_make_few_pairs(spark):
+    rng = random.Random(51)
+    texts = []
+    for _ in range(300):  # each near the source, which is not there; hardly any two of them near each other
+        own = [f"w{j}" for j in range(146)]
+        for j in rng.sample(range(146), 3):
+            own[j] = f"x{rng.randrange(10**7)}"
+        texts.append(" ".join(own))
+    texts += [f"{t} more" for t in texts[::30]]
+    memo = near_duplicates.word_hashes()
+    sets = [near_duplicates.shingle_set(t.encode(), 5, memo) for t in texts]
+    plain = [set(s.tolist()) for s in sets]
+    linked = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j])}
+    bits = near_duplicates.sketch(np.stack([near_duplicates.signature(s) for s in sets])).tolist()
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "doc long, set binary")
+    member = spark.createDataFrame([(i, i, *b) for i, b in enumerate(bits)], ["doc", "root", *near_duplicates.BITS])
+    met = {(r.a, r.b) for r in near_duplicates.sharing_rare(table, member, 0.8).collect()}
+    assert len(linked) >= 10 and linked <= met
+    assert len(met) <= len(texts) + len(linked), (len(met), len(linked))
+
+
+def test_parities_never_tell_linked_sets_apart(spark):
+    rng = np.random.default_rng(52)
+    rows = []
+    for n in [1, 4, 5, 9, 20, 40, 150, 400, 3000] * 40:
+        union = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        differ = rng.permutation(n)[: n // 5]  # the most that a linked pair can differ in
+        cut = rng.integers(0, len(differ) + 1)
+        sets = [np.sort(np.delete(union, differ[:cut])), np.sort(np.delete(union, differ[cut:]))]
+        odd = near_duplicates.parities(sets)
+        rows.append((len(sets[0]), len(sets[1]), *map(int, odd[0]), *map(int, odd[1])))
+    names = ["na", "nb", *[f"{c}a" for c in near_duplicates.ODD], *[f"{c}b" for c in near_duplicates.ODD]]
+    assert spark.createDataFrame(rows, names).where(near_duplicates.few_differ(0.8)).count() == len(rows)
+
+
 def shuffled_rows(df):
     """Rows written to shuffles by the plan of ``df``, which has run."""
     def walk(p):
